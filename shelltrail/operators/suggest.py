@@ -70,6 +70,11 @@ def _sum(parts: list[Column], empty: Column) -> Column:
     return total
 
 
+def settled(score: Column) -> Column:
+    """Without the last bits, so that the order of a sum never decides between equal scores."""
+    return F.round(score, 9)
+
+
 def env_context_match(events: DataFrame, context: dict[str, str]) -> DataFrame:
     """Per event, how many context variables it shares and the sum of their boosts. Row by row, no join."""
     shared = [(_equals(key, value).cast("int"), boost(key)) for key, value in sorted(context.items())]
@@ -105,7 +110,7 @@ def context_score(
     hits = events.where((F.col("pwd") == pwd) & (F.col("return_code") == 0))
     if scoring == "boost":
         parts = [_equals(key, value).cast("double") * boost(key) for key, value in scored.items()]
-        return hits.withColumn("score", _sum(parts, F.lit(0.0)))
+        return hits.withColumn("score", settled(_sum(parts, F.lit(0.0))))
     if scoring != "bm25":
         raise ValueError(f"unknown scoring: {scoring}")
     weighted = hits.withColumn("_weights", match_weights(events, pwd, scored).scalar())
@@ -113,7 +118,7 @@ def context_score(
         F.when(_equals(key, value), F.col("_weights")[i + 1] * boost(key)).otherwise(0.0)
         for i, (key, value) in enumerate(scored.items())
     ]
-    return weighted.withColumn("score", _sum(parts, F.col("_weights")[0] + 1.0)).drop("_weights")
+    return weighted.withColumn("score", settled(_sum(parts, F.col("_weights")[0] + 1.0))).drop("_weights")
 
 
 def reason(matches: Column) -> Column:
@@ -155,7 +160,7 @@ def command_usage(ranked: DataFrame, by: list[str], as_of) -> DataFrame:
         F.min_by("context", "hit").alias("context"),
     )
     final = F.col("_score") + F.col("frequency") * 0.1 + recency_score(F.col("last_used"), as_of)
-    return used.withColumn("score", final).drop("_score")
+    return used.withColumn("score", settled(final)).drop("_score")
 
 
 def suggest_commands(
@@ -187,7 +192,7 @@ def suggest_commands(
             F.min_by("context", "hit").alias("context"),
         )
         final = F.col("_score") + F.col("frequency") * 0.1 + recency_score(F.col("last_used"), as_of)
-        suggestions = used.withColumn("score", final)
+        suggestions = used.withColumn("score", settled(final))
     else:
         best = hits.orderBy(*hit_order()).limit(2 * limit)
         suggestions = command_usage(hit_rank(best), [], as_of)
@@ -246,10 +251,10 @@ def suggest_commands_bulk(
     )
     if scoring == "bm25":
         scores = scores.join(_pwd_weights(events, contexts), "pwd").withColumn(
-            "score", F.col("_clauses") + F.col("_pwd_weight") + 1.0
+            "score", settled(F.col("_clauses") + F.col("_pwd_weight") + 1.0)
         )
     else:
-        scores = scores.withColumn("score", F.col("_clauses"))
+        scores = scores.withColumn("score", settled(F.col("_clauses")))
 
     hits = candidates.drop("_seen").join(scores, ["pwd", "_profile"])
     best = first_per_key(hits, ["pwd", "_ask"], hit_order(), 2 * limit, "event_id", rank="hit")
