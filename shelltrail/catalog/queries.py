@@ -73,7 +73,7 @@ def flat(rows: DataFrame) -> DataFrame:
 
 
 def env_rows(rows: DataFrame, *also: str) -> DataFrame:
-    return rows.select("event_id", *also, F.explode("env").alias("key", "value"))
+    return rows.select("event_id", *also, F.explode_outer("env").alias("key", "value")).where("key IS NOT NULL")
 
 
 def stored(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:

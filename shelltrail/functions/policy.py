@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
@@ -155,10 +156,7 @@ class EnvPolicy:
         return _one_of(name, self.allow_names) | _matches(name, self.allow_patterns)
 
     def sensitive(self, name: Column) -> Column:
-        patterns = dict.fromkeys(self.hash_patterns)
-        if self.hash_sensitive_values:
-            patterns.update(dict.fromkeys(self.built_in_sensitive))
-        return _matches(name, tuple(patterns))
+        return _matches(name, self._sensitive_patterns())
 
     def verdict(self, name: Column) -> Column:
         return (
@@ -173,8 +171,12 @@ class EnvPolicy:
         hashed = hash_value(value)
         if keep_hashed:
             hashed = F.when(value.rlike(HASHED_VALUE), value).otherwise(hashed)
+        # Listed names are most of every environment, so their verdicts come first, from a set.
+        listed = self._listed()
         return (
-            F.when(self.denied(name) | ~self.allowed(name), F.lit(None).cast("string"))
+            F.when(_one_of(name, listed[PLAIN]), value)
+            .when(_one_of(name, listed[HASH]), hashed)
+            .when(~self.allowed(name) | self.denied(name), F.lit(None).cast("string"))
             .when(self.sensitive(name), hashed)
             .otherwise(value)
         )
@@ -191,7 +193,31 @@ class EnvPolicy:
             ),
             lambda entry: entry["value"].isNotNull(),
         )
-        return F.when(F.size(entries) > 0, F.map_from_entries(entries))
+        # A list of one, so that the entries are worked out once and not for each mention.
+        return F.transform(
+            F.array(entries), lambda kept: F.when(F.size(kept) > 0, F.map_from_entries(kept))
+        )[0]
+
+    def _sensitive_patterns(self) -> tuple[str, ...]:
+        patterns = dict.fromkeys(self.hash_patterns)
+        if self.hash_sensitive_values:
+            patterns.update(dict.fromkeys(self.built_in_sensitive))
+        return tuple(patterns)
+
+    def _listed(self) -> dict[str, tuple[str, ...]]:
+        """The allowed names with a known verdict. Empty where a pattern means nothing to this side."""
+        try:
+            deny = [re.compile(pattern) for pattern in (*self.absolute_deny, *self.own_names)]
+            sensitive = [re.compile(pattern) for pattern in self._sensitive_patterns()]
+        except re.error:
+            return {PLAIN: (), HASH: ()}
+        kept = [
+            name
+            for name in self.allow_names
+            if name not in self.deny_names and not any(pattern.search(name) for pattern in deny)
+        ]
+        hashed = tuple(name for name in kept if any(pattern.search(name) for pattern in sensitive))
+        return {PLAIN: tuple(name for name in kept if name not in hashed), HASH: hashed}
 
 
 # The older, narrower rule: nothing is dropped, three words are hashed.
@@ -227,9 +253,18 @@ def env_from_entries(entries: Column) -> Column:
 
 
 def _matches(name: Column, patterns: tuple[str, ...]) -> Column:
-    if not patterns:
+    """Whether any pattern is found in the name. Those tied to its start share one anchor."""
+    anchored = [pattern[1:] for pattern in patterns if pattern.startswith("^") and "|" not in pattern]
+    loose = [pattern for pattern in patterns if not (pattern.startswith("^") and "|" not in pattern)]
+    parts = []
+    if anchored:
+        parts.append("^(?:" + "|".join(f"(?:{pattern})" for pattern in anchored) + ")")
+    if loose:
+        parts.append("|".join(f"(?:{pattern})" for pattern in loose))
+    if not parts:
         return F.lit(False)
-    return name.rlike("|".join(f"(?:{pattern})" for pattern in patterns))
+    found = name.rlike(parts[0])
+    return found | name.rlike(parts[1]) if len(parts) > 1 else found
 
 
 def _one_of(name: Column, names: tuple[str, ...]) -> Column:

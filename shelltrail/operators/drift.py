@@ -16,7 +16,7 @@ def classify_env_values(events: DataFrame, mode: str = "basic") -> DataFrame:
 def env_type_consistency(events: DataFrame, mode: str = "basic") -> DataFrame:
     """Per variable the events of each value class, and whether it has more than one."""
     counted = (
-        events.select(F.explode("env").alias("key", "value"))
+        env_entries(events)
         .groupBy("key", value_class(F.col("value"), mode).alias("value_class"))
         .agg(count_rows().alias("n_events"))
     )

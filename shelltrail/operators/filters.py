@@ -37,10 +37,15 @@ def filter_time_range(events: DataFrame, hours: int, as_of, until=None) -> DataF
 
 
 def filter_env_equals(events: DataFrame, key: str, value: str) -> DataFrame:
-    return events.where(F.col("env")[key] == value)
+    """By the variable's own column where the history has one, else inside the map."""
+    own = f"env_{key}"
+    return events.where((F.col(own) if own in events.columns else F.col("env")[key]) == value)
 
 
 def filter_env_exists(events: DataFrame, key: str) -> DataFrame:
+    own = f"env_{key}"
+    if own in events.columns:
+        return events.where(F.col(own).isNotNull())
     return events.where(F.map_contains_key("env", key))
 
 

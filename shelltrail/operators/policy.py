@@ -8,8 +8,12 @@ from shelltrail.functions.policy import HASH, HASHED_VALUE, PLAIN, SIMPLE_POLICY
 
 
 def env_entries(events: DataFrame) -> DataFrame:
-    """One row per event and variable: (event_id, key, value)."""
-    return events.select("event_id", F.explode("env").alias("key", "value"))
+    """One row per event and variable: (event_id, key, value).
+
+    The outer form comes without a guard on the map's size, for which a map that
+    is computed on the fly would be computed again.
+    """
+    return events.select("event_id", F.explode_outer("env").alias("key", "value")).where(F.col("key").isNotNull())
 
 
 def classify_env_vars(events: DataFrame, policy: EnvPolicy) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelltrail.functions.policy import EnvPolicy
 from shelltrail.functions.times import age_hours
+from shelltrail.operators.policy import env_entries
 from shelltrail.plans.top import first_per_key
 
 # The weight of a matching variable, and the names that are left out of the score.
@@ -224,41 +225,37 @@ def suggest_commands_bulk(
     """
     names = contexts.select(F.explode(F.map_keys("env")).alias("key")).agg(F.collect_set("key")).scalar()
     asked = contexts.where(F.col("env").isNotNull()).withColumn("_ask", F.to_json(_sorted_entries(F.col("env"))))
-    distinct = asked.groupBy("pwd", "_ask").agg(F.any_value("env").alias("_wanted"))
+    weighted = _weighted_contexts(events, asked, key_mode, scoring)
 
-    good = events.where(F.col("return_code") == 0).join(contexts.select("pwd").distinct(), "pwd", "left_semi")
     seen = F.map_filter("env", lambda key, _: F.array_contains(F.col("_names"), key))
     profiled = (
-        good.withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
+        events.where(F.col("return_code") == 0)
+        .join(asked.select("pwd").distinct(), "pwd", "left_semi")
+        .withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
         .withColumn("_seen", F.coalesce(seen, F.create_map().cast("map<string,string>")))
         .withColumn("_profile", F.to_json(_sorted_entries(F.col("_seen"))))
         .select("event_id", "command", "start_timestamp", "pwd", "_seen", "_profile")
     )
     newest = [F.desc("start_timestamp"), F.asc("event_id")]
-    candidates = first_per_key(profiled, ["pwd", "_profile"], newest, 2 * limit, "event_id")
+    candidates = first_per_key(profiled, ["pwd", "_profile"], newest, 2 * limit, "event_id").drop("_profile")
 
-    # One score per directory, profile and context: the events share it.
-    profiles = candidates.groupBy("pwd", "_profile").agg(F.any_value("_seen").alias("_seen"))
-    pairs = profiles.join(distinct, "pwd").select(
-        "pwd", "_profile", "_ask", "_seen", F.explode_outer("_wanted").alias("key", "value")
-    )
-    entries = _entry_weights(events, contexts, scoring)
-    scored = pairs.join(entries, ["key", "value"], "left")
-    match = F.coalesce(F.col("_seen")[F.col("key")] == F.col("value"), F.lit(False))
-    clause = F.when(match & scored_column(F.col("key"), key_mode), boost_column(F.col("key")) * F.col("weight"))
-    scores = scored.groupBy("pwd", "_profile", "_ask").agg(
-        F.coalesce(F.sum(clause), F.lit(0.0)).alias("_clauses"), F.count_if(match).alias("_matches")
-    )
-    if scoring == "bm25":
-        scores = scores.join(_pwd_weights(events, contexts), "pwd").withColumn(
-            "score", settled(F.col("_clauses") + F.col("_pwd_weight") + 1.0)
+    matched = F.filter("_clauses", lambda clause: F.col("_seen")[clause["key"]] == clause["value"])
+    total = F.aggregate("_matched", F.col("_base"), lambda sum, clause: sum + clause["weight"])
+    hits = (
+        candidates.join(weighted, "pwd")
+        .withColumn("_matched", matched)
+        .select(
+            "pwd",
+            "_ask",
+            "event_id",
+            "command",
+            "start_timestamp",
+            settled(total).alias("score"),
+            reason(F.size("_matched")).alias("context"),
         )
-    else:
-        scores = scores.withColumn("score", settled(F.col("_clauses")))
-
-    hits = candidates.drop("_seen").join(scores, ["pwd", "_profile"])
+    )
     best = first_per_key(hits, ["pwd", "_ask"], hit_order(), 2 * limit, "event_id", rank="hit")
-    used = command_usage(best.withColumn("context", reason(F.col("_matches"))), ["pwd", "_ask"], as_of)
+    used = command_usage(best, ["pwd", "_ask"], as_of)
     final = first_per_key(
         used, ["pwd", "_ask"], [F.desc("score"), F.asc("command")], limit, "command", rank="place"
     )
@@ -273,13 +270,30 @@ def _sorted_entries(env: Column) -> Column:
     return F.array_sort(F.map_entries(env))
 
 
-def _entry_weights(events: DataFrame, contexts: DataFrame, scoring: str) -> DataFrame:
+def _weighted_contexts(events: DataFrame, asked: DataFrame, key_mode: str, scoring: str) -> DataFrame:
+    """The distinct contexts: their clauses (key, value, weight) as a list, and the score of a hit without any match."""
+    distinct = asked.groupBy("pwd", "_ask").agg(F.any_value("env").alias("_wanted"))
+    clauses = distinct.select("pwd", "_ask", F.explode_outer("_wanted").alias("key", "value"))
+    boosted = F.when(scored_column(F.col("key"), key_mode), boost_column(F.col("key"))).otherwise(0.0)
+    if scoring == "bm25":
+        weighed = clauses.join(_entry_rarity(events, asked), ["key", "value"], "left")
+        weight = boosted * F.coalesce("_rarity", F.lit(0.0))
+    else:
+        weighed, weight = clauses, boosted
+    # A list is as long as one context has variables.
+    listed = weighed.groupBy("pwd", "_ask").agg(
+        F.array_sort(F.collect_list(F.struct("key", "value", weight.alias("weight")))).alias("_clauses")
+    )
+    if scoring == "bm25":
+        return listed.join(_pwd_weights(events, asked), "pwd").withColumn("_base", F.col("_pwd_weight") + 1.0)
+    return listed.withColumn("_base", F.lit(0.0))
+
+
+def _entry_rarity(events: DataFrame, contexts: DataFrame) -> DataFrame:
     """The rarity of each (key, value) that any context asks for."""
     wanted = contexts.select(F.explode("env").alias("key", "value")).distinct()
-    if scoring == "boost":
-        return wanted.withColumn("weight", F.lit(1.0))
     per_value = (
-        events.select(F.explode("env").alias("key", "value")).groupBy("key", "value").agg(F.count(F.lit(1)).alias("_n"))
+        env_entries(events).groupBy("key", "value").agg(F.count(F.lit(1)).alias("_n"))
     )
     per_key = per_value.groupBy("key").agg(F.sum("_n").alias("_total"))
     return (
@@ -288,7 +302,7 @@ def _entry_weights(events: DataFrame, contexts: DataFrame, scoring: str) -> Data
         .select(
             "key",
             "value",
-            rarity(F.coalesce("_total", F.lit(0)), F.coalesce("_n", F.lit(0))).alias("weight"),
+            rarity(F.coalesce("_total", F.lit(0)), F.coalesce("_n", F.lit(0))).alias("_rarity"),
         )
     )
 

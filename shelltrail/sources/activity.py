@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelltrail.functions.times import wire_time
+from shelltrail.plans.once import spread
 from shelltrail.plans.ordered import with_neighbour
 from shelltrail.session import prepare
 
@@ -17,7 +18,8 @@ AS_OF = "2024-01-31 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, rows.columns[0])
 
 
 def as_commands(events: DataFrame) -> DataFrame:

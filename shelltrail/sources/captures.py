@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelltrail.functions.policy import EnvPolicy, env_from_entries, without_capture_noise
 from shelltrail.functions.times import moment
 from shelltrail.functions.wire import address_or_null, decode_base64, is_json_object, strict_time
+from shelltrail.plans.once import worked_out
 from shelltrail.schema import CAPTURE_SCHEMA, derived_event_id
 
 # White space as the hooks trim it around a command.
@@ -18,12 +19,14 @@ def decode_captures(raw: DataFrame, policy: EnvPolicy) -> tuple[DataFrame, DataF
 
     Returns the decoded rows and the rejected ones; other columns pass through.
     """
-    text = raw.withColumn("_text", decode_base64(F.col("capture")))
-    read = text.withColumn("_record", F.from_json("_text", CAPTURE_SCHEMA)).withColumn(
-        "_start", strict_time(F.col("_record.start_timestamp"))
+    text = worked_out(raw, {"_text": decode_base64(F.col("capture"))})
+    read = worked_out(
+        text, {"_object": is_json_object(F.col("_text")), "_record": F.from_json("_text", CAPTURE_SCHEMA)}
+    )
+    start = F.col("_record.start_timestamp")
+    judged = read.withColumn("_start", strict_time(start)).withColumn(
+        "_valid", F.col("_object") & (start.isNull() | F.col("_start").isNotNull())
     )
-    start_is_fine = F.col("_record.start_timestamp").isNull() | F.col("_start").isNotNull()
-    judged = read.withColumn("_valid", is_json_object(F.col("_text")) & start_is_fine)
     passed = [name for name in raw.columns if name != "capture"]
     good = judged.where("_valid").select(
         *passed,
@@ -37,7 +40,7 @@ def decode_captures(raw: DataFrame, policy: EnvPolicy) -> tuple[DataFrame, DataF
 
 def decode_env_blobs(raw: DataFrame, policy: EnvPolicy) -> tuple[DataFrame, DataFrame]:
     """The legacy ``blob``: base64 of ``K=V`` lines. An empty blob is an empty environment."""
-    read = raw.withColumn("_text", decode_base64(F.col("blob")))
+    read = worked_out(raw, {"_text": decode_base64(F.col("blob"))})
     passed = [name for name in raw.columns if name != "blob"]
     env = env_from_entries(F.split("_text", "\n"))
     good = read.where(F.col("_text").isNotNull()).select(*passed, policy.masked(env).alias("env"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelltrail.functions.wire import address_or_null, is_json_object, time_or_null
+from shelltrail.plans.once import worked_out
 from shelltrail.schema import EVENT_SCHEMA, WIRE_SCHEMA, derived_event_id
 from shelltrail.session import prepare
 
@@ -68,7 +69,7 @@ def line_status() -> Column:
 
 def split_valid_invalid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines that are a JSON object, unchanged, and the others; blank lines are in neither."""
-    judged = lines.withColumn("_status", line_status())
+    judged = worked_out(lines, {"_status": line_status()})
     return (
         judged.where(F.col("_status") == "valid").drop("_status"),
         judged.where(F.col("_status") == "invalid").drop("_status"),

@@ -15,9 +15,15 @@ def with_day(events: DataFrame) -> DataFrame:
     return events.withColumn(DAY, F.to_date("start_timestamp"))
 
 
-def write_history(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Files are balanced per day: small days share a task, a large day is split over several."""
-    with_day(events).hint("rebalance", DAY).write.mode(mode).partitionBy(DAY).parquet(path)
+def write_history(events: DataFrame, path: str, mode: str = "append", promote: tuple[str, ...] = ()) -> None:
+    """Files are balanced per day: small days share a task, a large day is split over several.
+
+    Rows are sorted by directory inside a file, so that a directory's history
+    is found by the file statistics. Variables in ``promote`` get a column of
+    their own (``env_NAME``), on which filters reach the scan.
+    """
+    dated = with_day(events).withColumns({f"env_{name}": F.col("env")[name] for name in promote})
+    dated.hint("rebalance", DAY).sortWithinPartitions(DAY, "pwd").write.mode(mode).partitionBy(DAY).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from shelltrail.functions.policy import EnvPolicy
 from shelltrail.operators.filters import WIRE_NAMES, as_on_wire, filter_subscription
 from shelltrail.operators.policy import mask_environment
+from shelltrail.plans.once import worked_out
 from shelltrail.plans.top import first_per_key
 from shelltrail.schema import ACTOR, with_user
 from shelltrail.sources.events import line_status, parse_lines
@@ -72,9 +73,9 @@ def ingest_stream(
     Publishing starts when the archive holds the batch, and reads it from there.
     A failure in between replays the batch: subscribers see it at least once.
     """
-    judged = lines.withColumn("_status", line_status())
+    judged = worked_out(lines, {"_status": line_status()})
 
-    def batch(frame: DataFrame, number: int) -> None:
+    def archive(frame: DataFrame, number: int) -> None:
         good = parse_lines(frame.where(F.col("_status") == "valid"), carried)
         archived = Observation()
         _archive(mask_environment(good, policy).observe(archived, F.count(F.lit(1)).alias("n")), path, number)
@@ -83,8 +84,15 @@ def ingest_stream(
                 "overwrite"
             ).option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(quarantine)
         if publish and archived.get["n"]:
-            stored = frame.sparkSession.read.schema(with_day(good).schema).parquet(f"{path}/batch={number}")
-            publish(stored, number)
+            publish(frame.sparkSession.read.schema(with_day(good).schema).parquet(f"{path}/batch={number}"), number)
+
+    def batch(frame: DataFrame, number: int) -> None:
+        # Lines are judged once for the archive and the quarantine.
+        frame.persist()
+        try:
+            archive(frame, number)
+        finally:
+            frame.unpersist()
 
     return (
         judged.writeStream.foreachBatch(batch)
