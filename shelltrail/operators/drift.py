@@ -32,9 +32,9 @@ def distinct_fields(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("key").agg(count_rows().alias("n_entries"))
 
 
-def unmapped_fields(events: DataFrame, mapped: DataFrame, hours: int, as_of) -> DataFrame:
-    """Variables used lately that the mapping (key) does not know."""
-    used = env_field_usage(events, hours, as_of)
+def unmapped_fields(events: DataFrame, mapped: DataFrame, hours: int, as_of, size: int | None = 1000) -> DataFrame:
+    """Variables used lately that the mapping (key) does not know; ``size=None`` looks beyond the most used."""
+    used = env_field_usage(events, hours, as_of, size)
     return used.join(mapped.select("key").distinct(), "key", "left_anti")
 
 

@@ -35,9 +35,9 @@ def weight_lookup(rows: DataFrame, weights: DataFrame, unit: str) -> DataFrame:
 
 
 def common_flag(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """Adds 1 for a command name in ``common`` (the top names, at most a hundred rows), else 0."""
+    """Adds 1 for a command name in ``common``, else 0. Its size is the caller's choice, so Spark picks the join."""
     found = common.select(F.col("command_name").alias("_name"))
-    joined = rows.join(F.broadcast(found), F.col("command_name") == F.col("_name"), "left")
+    joined = rows.join(found, F.col("command_name") == F.col("_name"), "left")
     return joined.withColumn("is_common", F.col("_name").isNotNull().cast("int")).drop("_name")
 
 
@@ -103,6 +103,12 @@ class NextCommandModel:
     accuracy: float | None
 
 
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _indexed(rows: DataFrame, labels: list[str]) -> DataFrame:
     known = F.when(F.col("next_cmd").isin(*labels[:-1]), F.col("next_cmd")).otherwise(OTHER)
     indexer = StringIndexerModel.from_labels(labels, "_label", "label", handleInvalid="keep")
@@ -129,15 +135,17 @@ def train_next_command(
     if max_commands is not None:
         good = scan_cap(good, max_commands)
     features = CommandFeatures.fit(good)
-    labelled = next_command(good, by, cuts)
+    # Written before training: many passes follow, and after a lost executor they must see the same rows.
+    labelled = _written(
+        next_command(good, by, cuts).select("event_id", "command", "ingest_timestamp", "end_timestamp", "next_cmd"),
+        "labelled",
+    )
     top = labelled.groupBy("next_cmd").agg(count_rows().alias("n")).orderBy(F.desc("n"), "next_cmd").limit(max_classes)
     labels = [row["next_cmd"] for row in top.collect()] + [OTHER]
-    # Written once: training passes over the rows many times, and must see the same ones after a lost executor.
-    path = scratch_path(events.sparkSession, "training")
-    features.transform(_indexed(labelled, labels)).select(
-        "event_id", "features", "label", "_label", "next_cmd"
-    ).write.parquet(path)
-    prepared = events.sparkSession.read.parquet(path)
+    prepared = _written(
+        features.transform(_indexed(labelled, labels)).select("event_id", "features", "label", "_label", "next_cmd"),
+        "training",
+    )
     part = F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(100))
     train, test = prepared.where(part < 80), prepared.where(part >= 80)
     forest = RandomForestClassifier(

@@ -72,16 +72,13 @@ def share_within(pairs: DataFrame, given: str, name: str = "probability") -> Dat
     return pairs.join(totals, given).withColumn(name, F.col("n") / F.col("_total")).drop("_total")
 
 
-def env_field_usage(events: DataFrame, hours: int, as_of, size: int = 1000) -> DataFrame:
-    """Environment variables used lately with their events, the most used first."""
+def env_field_usage(events: DataFrame, hours: int, as_of, size: int | None = 1000) -> DataFrame:
+    """Environment variables used lately with their events: the ``size`` most used, or all of them."""
     recent = filter_time_range(events, hours, as_of)
-    return (
-        recent.select(F.explode(F.map_keys("env")).alias("key"))
-        .groupBy("key")
-        .agg(count_rows().alias("n_events"))
-        .orderBy(F.desc("n_events"), "key")
-        .limit(size)
+    used = (
+        recent.select(F.explode(F.map_keys("env")).alias("key")).groupBy("key").agg(count_rows().alias("n_events"))
     )
+    return used if size is None else used.orderBy(F.desc("n_events"), "key").limit(size)
 
 
 def config_version_counts(events: DataFrame, as_of, days: int = 7, size: int = 10) -> DataFrame:
