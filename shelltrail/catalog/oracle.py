@@ -153,6 +153,7 @@ _ev(
     f"""SELECT {SCALARS}, strftime(start_timestamp, '%Y-%m-%d') AS event_date
     FROM ev WHERE start_timestamp >= {AS_OF} - INTERVAL 72 HOUR""",
 )
+SQL["write_history_stream"] = SQL["write_history"]
 _ev("rewrite_history", "SELECT event_id, '2.0.0' AS config_version, key, value FROM masked", _masked("entries"))
 _ev(
     "ingest_metrics",
@@ -521,16 +522,17 @@ _ev(
       (SELECT *, best_score + frequency * 0.1::DOUBLE + {RECENCY} AS final FROM used)) WHERE place <= 5""",
     """contexts AS (SELECT "user" AS context_id, event_id AS context_event, pwd FROM ev
       QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY start_timestamp DESC, event_id DESC) = 1)""",
-    "values_seen AS (SELECT key, value, count(*) AS n FROM entries GROUP BY 1, 2)",
+    "values_seen AS MATERIALIZED (SELECT key, value, count(*) AS n FROM entries GROUP BY 1, 2)",
     f"""entry_weights AS (SELECT key, value, {_rarity('sum(n) OVER (PARTITION BY key)', 'n')} AS weight FROM values_seen)""",
     f"""pwd_weights AS (SELECT pwd, {_rarity('(SELECT count(*) FROM ev)', 'count(*)')} AS weight FROM ev GROUP BY pwd)""",
-    """tried AS (SELECT c.context_id, c.context_event, e.* FROM contexts c JOIN ev e ON e.pwd = c.pwd AND e.return_code = 0)""",
+    """asked AS MATERIALIZED (SELECT c.context_id, e.key, e.value FROM contexts c JOIN entries e ON e.event_id = c.context_event)""",
+    """tried AS MATERIALIZED (SELECT c.context_id, e.* FROM contexts c JOIN ev e ON e.pwd = c.pwd AND e.return_code = 0)""",
+    """tried_entries AS MATERIALIZED (SELECT t.context_id, a.event_id, a.key, a.value FROM tried t JOIN entries a USING (event_id))""",
     f"""matched AS (
       SELECT t.context_id, t.event_id, count(*) AS matches,
-        coalesce(sum(CASE WHEN NOT {LITERAL.replace('key', 'a.key')} THEN {BOOST.replace('key', 'a.key')} * w.weight END), 0) AS clauses
-      FROM tried t JOIN entries a ON a.event_id = t.event_id
-      JOIN entries b ON b.event_id = t.context_event AND a.key = b.key AND a.value = b.value
-      JOIN entry_weights w ON w.key = a.key AND w.value = a.value GROUP BY 1, 2)""",
+        coalesce(sum(CASE WHEN NOT {LITERAL.replace('key', 't.key')} THEN {BOOST.replace('key', 't.key')} * w.weight END), 0) AS clauses
+      FROM tried_entries t JOIN asked b ON b.context_id = t.context_id AND t.key = b.key AND t.value = b.value
+      JOIN entry_weights w ON w.key = t.key AND w.value = t.value GROUP BY 1, 2)""",
     """scored AS (SELECT t.*, matches, round(clauses + weight + 1, 9) AS score FROM tried t JOIN matched USING (context_id, event_id)
       JOIN pwd_weights USING (pwd))""",
     """ranked AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY score DESC, start_timestamp DESC, event_id) AS hit FROM scored

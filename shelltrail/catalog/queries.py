@@ -152,6 +152,15 @@ def write_history(spark, sf_dir):
     )
 
 
+@query
+def write_history_stream(spark, sf_dir):
+    path, check = scratch_path(spark, "history"), scratch_path(spark, "check")
+    feeds.write_history_stream(_stream(spark, sf_dir), path, check, {"availableNow": True}).awaitTermination()
+    return filters.filter_time_range(history.read_history(spark, path), 72, AS_OF).select(
+        *SCALARS, F.col("event_date").cast("string").alias("event_date")
+    )
+
+
 @query
 def rewrite_history(spark, sf_dir):
     path = scratch_path(spark, "rewritten")
@@ -579,7 +588,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
 @query
 def suggest_commands_bulk(spark, sf_dir):
     rows = command_events(spark, sf_dir)
-    return suggest.suggest_commands_bulk(rows, _contexts(rows), 5, AS_OF)
+    return suggest.suggest_commands_bulk(rows, stored(spark, _contexts(rows), "contexts"), 5, AS_OF)
 
 
 @query

@@ -44,7 +44,10 @@ def match_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFram
         "subscriber_id", pairs.alias("_pairs"), pairs[0]["key"].alias("_key"), pairs[0]["value"].alias("_value")
     )
     fielded = events.withColumn("_fields", fields)
-    keyed = fielded.select("*", F.explode("_fields").alias("_key", "_value"))
+    # Only the fields that some filter starts with are looked at.
+    used = first.agg(F.collect_set("_key")).scalar()
+    wanted = F.map_filter("_fields", lambda key, _: F.array_contains(F.col("_used"), key))
+    keyed = fielded.withColumn("_used", used).select("*", F.explode(wanted).alias("_key", "_value"))
     met = keyed.join(first, ["_key", "_value"]).where(
         F.forall("_pairs", lambda pair: F.coalesce(F.col("_fields")[pair["key"]] == pair["value"], F.lit(False)))
     )
@@ -52,10 +55,23 @@ def match_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFram
 
 
 def _archive(good: DataFrame, path: str, batch: int) -> None:
-    # One folder per micro-batch: a batch that is replayed replaces its own files.
+    # Per day one folder for each micro-batch: a batch that is replayed replaces its own files.
     with_day(good).withColumn("batch", F.lit(batch)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch", DAY).parquet(path)
+    ).partitionBy(DAY, "batch").parquet(path)
+
+
+def write_history_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Appends a stream of events to the dated history, each of them once."""
+    return (
+        with_day(events)
+        .writeStream.format("parquet")
+        .partitionBy(DAY)
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "5 seconds"}))
+        .start()
+    )
 
 
 def ingest_stream(
@@ -84,7 +100,8 @@ def ingest_stream(
                 "overwrite"
             ).option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(quarantine)
         if publish and archived.get["n"]:
-            publish(frame.sparkSession.read.schema(with_day(good).schema).parquet(f"{path}/batch={number}"), number)
+            reader = frame.sparkSession.read.schema(with_day(good).schema).option("basePath", path)
+            publish(reader.parquet(f"{path}/{DAY}=*/batch={number}"), number)
 
     def batch(frame: DataFrame, number: int) -> None:
         # Lines are judged once for the archive and the quarantine.

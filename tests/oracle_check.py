@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -20,6 +21,9 @@ def sql_engine(sf_dir: str):
     import duckdb
 
     engine = duckdb.connect()
+    # Spilling goes to a folder of its own, and not without end.
+    engine.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='run-', dir='/tmp')}'")
+    engine.execute("SET max_temp_directory_size = '2GB'")
     for name in TABLES.split():
         engine.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return engine
