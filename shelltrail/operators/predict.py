@@ -134,12 +134,11 @@ def train_next_command(
     good = events.where(F.col("return_code") == 0)
     if max_commands is not None:
         good = scan_cap(good, max_commands)
+    # Written in between: many passes follow, and after a lost executor they must see the same rows.
+    times = ["event_id", "command", "ingest_timestamp", "end_timestamp"]
+    good = _written((with_user(good) if "user" in by else good).select(*times, *by), "successful")
     features = CommandFeatures.fit(good)
-    # Written before training: many passes follow, and after a lost executor they must see the same rows.
-    labelled = _written(
-        next_command(good, by, cuts).select("event_id", "command", "ingest_timestamp", "end_timestamp", "next_cmd"),
-        "labelled",
-    )
+    labelled = _written(next_command(good, by, cuts).select(*times, "next_cmd"), "labelled")
     top = labelled.groupBy("next_cmd").agg(count_rows().alias("n")).orderBy(F.desc("n"), "next_cmd").limit(max_classes)
     labels = [row["next_cmd"] for row in top.collect()] + [OTHER]
     prepared = _written(
