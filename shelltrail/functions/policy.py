@@ -172,11 +172,12 @@ class EnvPolicy:
         if keep_hashed:
             hashed = F.when(value.rlike(HASHED_VALUE), value).otherwise(hashed)
         # Listed names are most of every environment, so their verdicts come first, from a set.
-        listed = self._listed()
+        listed, dropped = self._listed(), F.lit(None).cast("string")
         return (
             F.when(_one_of(name, listed[PLAIN]), value)
             .when(_one_of(name, listed[HASH]), hashed)
-            .when(~self.allowed(name) | self.denied(name), F.lit(None).cast("string"))
+            .when(_one_of(name, self.deny_names), dropped)
+            .when(~self.allowed(name) | self.denied(name), dropped)
             .when(self.sensitive(name), hashed)
             .otherwise(value)
         )
