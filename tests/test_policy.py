@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shelltrail.functions.policy import SIMPLE_POLICY, EnvPolicy, hash_value
+from shelltrail.functions.policy import EnvPolicy, hash_value
 from shelltrail.operators import policy as operators
 
 VERDICTS = {
