@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from shelltrail.catalog.oracle import SQL
+from shelltrail.catalog.queries import QUERIES
 from oracle_check import DATA, difference, spark_rows, sql_engine, sql_rows
 
 SF_DIR = f"{DATA}/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no sample tables here")
-SQL = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +19,8 @@ def engine():
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(contract.queries())
-    assert set(contract.queries()) - set(SQL) == {
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) - set(SQL) == {
         "train_next_command", "evaluate_accuracy", "predict_next_command", "top_k_probabilities",
     }
 
@@ -31,7 +32,7 @@ def test_the_check_sees_differences():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, engine, name):
-    assert difference(spark_rows(contract.queries()[name](spark, SF_DIR)), sql_rows(engine, SQL[name])) is None
+    assert difference(spark_rows(QUERIES[name](spark, SF_DIR)), sql_rows(engine, SQL[name])) is None
 
 
 def test_entry(spark):
