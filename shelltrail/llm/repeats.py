@@ -13,8 +13,9 @@ from shelltrail.llm.common import Hasher, mixed, text_steps, written
 
 #: Bytes of a repeated string, and of the q-grams that make the initial buckets.
 LENGTH, GRAM = 200, 64
-#: Members of a bucket whose strings one task compares at once; larger buckets are dealt by offset.
-BLOCK = 4096
+#: Members of a bucket whose strings one task compares at once; larger buckets are dealt by
+#: ranges of the offset.
+BLOCK = 1 << 14
 CONTEXT = ["bucket", "part", "parts", "node", "start", "lead", "whole", "context"]
 SEED = 41
 
@@ -177,7 +178,8 @@ def _refined(length: int, gram: int):
         prefix = hasher.prefix(held)
         begin = (places[:-1] + rows.column("lead").to_numpy())[:, None] - np.arange(width)
         part, parts = rows.column("part").to_numpy()[:, None], rows.column("parts").to_numpy()[:, None]
-        good = (begin >= places[:-1, None]) & (begin + length <= places[1:, None]) & (np.arange(width) % parts == part)
+        mine = np.arange(width) * parts // width == part
+        good = (begin >= places[:-1, None]) & (begin + length <= places[1:, None]) & mine
         begin = np.where(good, begin, 0)
         out = np.zeros(begin.shape, np.uint64)
         out[good] = hasher.between(prefix, begin[good], begin[good] + length)
