@@ -1,26 +1,68 @@
-"""From documents to token ids: the stages of a training corpus, each written as Parquet and read again."""
+"""From documents to token ids: the stages of a training corpus, each written as Parquet and read again.
+
+Every stage works on all rows that the one before kept and returns the columns of documents; the last one returns ids.
+Column names that begin with `_quality`, `_predicted`, `_spans`, `_node` or `_mix_` are taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelltrail.llm import bpe, jaccard, mixing, quality, repeats
+from shelltrail.llm.common import fold, table, written
+from shelltrail.llm.queries import HELD_OUT_QUALITY
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """`n_chars`, where there is one, of the texts as they are now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. It learns from labels of the rows that op5 learns from."""
+    model = quality.quality_model(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != HELD_OUT_QUALITY)
+    return quality.score(docs, model).filter("_predicted = 1").select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingles the one with the smallest id stays.
+
+    Rows that share an id are one document and stay or go together; rows without an id, and those without words, stay.
+    """
+    found = jaccard.similarity_components(docs)
+    kept = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept-ids")
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return named.union(docs.filter(F.col("doc_id").isNull()))
+
 
-from shelltrail.llm import bpe, mixing
-from shelltrail.llm.common import table, written
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur more than once are cut out of the texts, all of their occurrences."""
+    return _counted(repeats.without_repeats(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Source `i` in code-point order weighs 1, 2 or 3 in turn; no source is repeated more than three times."""
-    return mixing.mix(docs)
+    """Sources in code-point order weigh 1, 2 and 3 in turn; none is repeated more than three times."""
+    return _counted(mixing.mix(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids per row, with the digest of the decoded bytes."""
-    return bpe.encode_documents(docs, bpe.vocabulary("byte_bpe_50k.tiktoken"))
+    """doc_id, n_tokens, ids and digests per row of the mixture."""
+    return bpe.encode_documents(docs, bpe.vocabulary("byte_bpe_50k.tiktoken"), keep_ids=True)
 
 
-STAGES = [("mixing", mix_sources), ("encoding", encode)]
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each),
+    ("repeats", cut_repeats),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
 
-#: Model scores, and with them the rows that are left, are not expressible in SQL; see tests/llm/test_pipeline.py.
+#: A model's scores, and with them the rows that are left, cannot be stated in SQL; tests/llm/test_pipeline.py holds each
+#: stage against a brute-force version.
 ORACLE_SQL = None
 
 
