@@ -11,8 +11,9 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pieces that the transducer keeps whole outputs of, and longest such piece in bytes; it forgets all and starts anew beyond.
-MOST_PIECES = 200_000
+#: States of the transducer, pieces whose whole output it keeps, and the longest such piece in bytes.
+MOST_STATES = 200_000
+MOST_PIECES = 400_000
 LONGEST_PIECE = 64
 
 NOTHING = -1
@@ -40,91 +41,127 @@ class Transducer:
 
     The tokens of a piece are those of merging by rank. Two facts make that a left-to-right machine. The tokens of a
     prefix are the tokens of a shorter prefix and one last token; and a row of tokens is the right one exactly if each
-    neighbouring pair, merged by itself, stays as it is. So the state after a byte is, for each place within the longest
-    token's reach, the last token there; the next state follows from the tokens that end at the new byte, longest first,
-    and the first one that fits the state at its start. Pairs are judged by their merges once and remembered. A token
-    is written as soon as all readings within the reach agree on it (`feed`), which is the bounded lookahead.
+    neighbouring pair, merged by itself, stays as it is. So the last token after a byte is the longest token that ends
+    there and fits the last token at its start. Only so many bytes back matter as can still begin a token: a state is
+    the longest suffix of the read bytes that a token begins with, and the last tokens at the places in it where one can.
 
-    States and transitions are made when a text first needs them: `outputs` is the determinised part, from whole short
-    pieces to their output. It is bounded by MOST_PIECES.
+    States and transitions are made when a text first needs them, and kept: at most MOST_STATES, then the machine starts
+    anew. Later tokens begin within the state's suffix, so what all its places agree on is written (`feed`): the lookahead
+    is bounded by the longest token. `outputs` keeps what short pieces gave, MOST_PIECES at most.
     """
 
-    def __init__(self, rank_file: bytes):
+    def __init__(self, rank_file: bytes, splits: dict[int, tuple[int, int]] | None = None):
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.reach = max(map(len, self.ranks))
+        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
+        self.begins = {token[:n] for token in self.ranks for n in range(1, len(token))}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.splits = self.merges() if splits is None else splits
+        self.unmade = {rank for rank, size in self.sizes.items() if size > 1 and rank not in self.splits}
         self.outputs: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.lengths = self._lengths()
+        self.start: dict = {None: (b"", (NOTHING,))}
+        self.states: dict[tuple, dict] = {}
 
-    def _lengths(self) -> dict[bytes, tuple[int, ...]]:
-        """Token lengths by the last two bytes, longest first."""
-        found: dict[bytes, set[int]] = {}
-        for token in self.ranks:
-            found.setdefault(token[-2:], set()).add(len(token))
-        return {end: tuple(sorted(lengths, reverse=True)) for end, lengths in found.items()}
-
-    def merged(self, data: bytes) -> list[int]:
-        """Merging by rank as defined: the lowest pair first, the leftmost of equals. For two tokens' length only."""
+    def merged(self, data: bytes, below: int = 1 << 60) -> list[int]:
+        """Merging by rank as defined, with ranks less than `below`: the lowest pair first, the leftmost of equals."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            best, place = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if best == 1 << 60:
+            best, place = min((self.ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+            if best >= below:
                 break
             parts[place : place + 2] = [parts[place] + parts[place + 1]]
         return [self.ranks[part] for part in parts]
 
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """For each token of several bytes the two whose merge makes it. A token that merges never make is left out."""
+        found = {}
+        for token, data in self.tokens.items():
+            if len(data) > 1:
+                parts = self.merged(data, token)
+                if len(parts) == 2:
+                    found[token] = (parts[0], parts[1])
+        return found
+
     def pair_fits(self, left: int, right: int) -> bool:
+        """Whether the two, merged by rank from their bytes, stay apart.
+
+        Undo the merges of both, the latest first. If ever the two tokens that face each other make a token of lower
+        rank than the merge that was undone last, merging would have joined them across the border instead.
+        """
+        if left == NOTHING:
+            return right not in self.unmade
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) > 4 * MOST_PIECES:
                 self.fits.clear()
-            pair = [right] if left == NOTHING else [left, right]
-            known = self.fits[key] = self.merged(b"".join(self.tokens[x] for x in pair)) == pair
+            known = self.fits[key] = self._apart(left, right)
         return known
 
-    def feed(self, data: bytes):
-        """Token ids of one piece, written with a lookahead of at most a few token lengths behind the read byte."""
-        ranks, lengths = self.ranks, self.lengths
-        last: list[int] = [0]  # last[i]: the last token of the first i bytes
-        size: list[int] = [0]
-        written = 0
-        for end in range(1, len(data) + 1):
-            tail = data[max(0, end - 2) : end]
-            for length in (*lengths.get(tail, ()), 1) if end > 1 else (1,):
-                start = end - length
-                if start < 0:
-                    continue
-                token = ranks.get(data[start:end])
-                if token is not None and self.pair_fits(last[start] if start else NOTHING, token):
-                    break
+    def _apart(self, left: int, right: int) -> bool:
+        ranks, tokens, splits = self.ranks, self.tokens, self.splits
+        if left in self.unmade or right in self.unmade:
+            return False
+        undone = 1 << 60
+        one, other = splits.get(left), splits.get(right)
+        while True:
+            joined = ranks.get(tokens[left] + tokens[right])
+            if joined is not None and joined < undone:
+                return False
+            # Of merges of equal rank the left one came first, so the right one is undone first.
+            if other is None or (one is not None and left > right):
+                if one is None:
+                    return True
+                undone, left = left, one[1]
+                one = splits.get(left)
             else:
-                raise ValueError(f"the ranks hold no token for {data[end - 1 : end]!r}")
-            last.append(token)
-            size.append(length)
-            if end - written > 4 * self.reach and end % self.reach == 0:
-                agreed = self._agreed(size, written, end)
-                if agreed > written:
-                    yield from self._between(last, size, written, agreed)
-                    written = agreed
-        yield from self._between(last, size, written, len(data))
-
-    def _agreed(self, size: list[int], written: int, end: int) -> int:
-        """The furthest place that every reading still alive passes: later tokens start within `reach` of `end`."""
-        paths = set(range(max(written, end - self.reach), end + 1))
-        while len(paths) > 1:
-            furthest = max(paths)
-            paths.remove(furthest)
-            paths.add(max(written, furthest - size[furthest]))
-        return paths.pop()
-
-    @staticmethod
-    def _between(last: list[int], size: list[int], start: int, end: int) -> list[int]:
+                undone, right = right + 1, other[0]
+                other = splits.get(right)
+
+    def _grow(self, state: dict, byte: int) -> tuple[dict, int]:
+        """The transition of a state for a byte: the next state, and the last token after the byte."""
+        suffix, lasts = state[None]
+        read = suffix + bytes((byte,))
+        for start in range(len(read)):
+            token = self.ranks.get(read[start:])
+            if token is not None and self.pair_fits(lasts[start], token):
+                break
+        else:
+            raise ValueError(f"the ranks hold no token for {read[-1:]!r}")
+        # No later token begins at a place whose rest no token begins with: what came last there does not matter.
+        matters = [read[i:] in self.begins for i in range(len(read))]
+        start = matters.index(True) if True in matters else len(read)
+        kept = [last if matter else NOTHING for last, matter in zip(lasts[start:], matters[start:])]
+        key = (read[start:], (*kept, token))
+        if len(self.states) >= MOST_STATES:
+            self.states, self.start = {}, {None: (b"", (NOTHING,))}
+        to = self.states.setdefault(key, {None: key})
+        state[byte] = (to, token)
+        return to, token
+
+    def feed(self, data: bytes, at_once: int = 1024):
+        """Token ids of one piece; of a long one those that no later byte can change, after every `at_once` bytes."""
+        state, lasts, sizes = self.start, [], self.sizes
+        for n, byte in enumerate(data, 1):
+            step = state.get(byte)
+            state, token = step if step is not None else self._grow(state, byte)
+            lasts.append(token)
+            if n % at_once == 0:
+                paths = set(range(len(lasts) - len(state[None][0]), len(lasts) + 1))
+                while len(paths) > 1:
+                    furthest = max(paths)
+                    paths.remove(furthest)
+                    paths.add(furthest - sizes[lasts[furthest - 1]])
+                agreed = paths.pop()
+                yield from self._back(lasts, agreed)
+                del lasts[:agreed]
+        yield from self._back(lasts, len(lasts))
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
         found = []
-        while end > start:
-            found.append(last[end])
-            end -= size[end]
+        while end > 0:
+            found.append(lasts[end - 1])
+            end -= self.sizes[lasts[end - 1]]
         return found[::-1]
 
     def piece(self, text: str) -> tuple[str, tuple[int, ...]]:
@@ -173,15 +210,16 @@ def encode_documents(docs: DataFrame, rank_file: bytes, split: str | None = None
     Each match of `split` is encoded separately, special tokens are plain text. `ids_sha256` is of the decimal ids joined
     by one space, `decoded_sha256` of the bytes that the ids decode to. Null and empty texts have no tokens and the
     digests of nothing. Rows are independent: nothing is shuffled, repeated rows give repeated results.
-    The rank file (about 1 MB, a fixed size) goes to the workers with the function.
+    The rank file and the merges behind its tokens (about 2 MB, a fixed size) go to the workers.
     """
     split = split or pattern()
-    held = docs.sparkSession.sparkContext.broadcast(rank_file)
+    # What the merges of each token are is worked out once, here.
+    held = docs.sparkSession.sparkContext.broadcast((rank_file, Transducer(rank_file).splits))
 
     def encode(batches):
         import regex
 
-        machine, matches = Transducer(held.value), regex.compile(split)
+        machine, matches = Transducer(*held.value), regex.compile(split)
         known = machine.outputs
         for batch in batches:
             rows = []
@@ -214,7 +252,7 @@ def decode_documents(encoded: DataFrame, rank_file: bytes, at_once: int = 4096)
     held = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
     def decode(batches):
-        tokens = Transducer(held.value).tokens
+        tokens = Transducer(held.value, {}).tokens
         for batch in batches:
             texts = []
             for ids in batch.column("ids"):

@@ -1,6 +1,7 @@
 """The transducer next to the tiktoken library, and exact round trips."""
 
 import hashlib
+import random
 
 import pytest
 import regex
@@ -39,7 +40,15 @@ def test_equals_the_library_on_any_text(text):
 
 def test_a_long_piece_is_written_before_its_end():
     feed = MACHINE.feed(b"ab" * 50_000)
-    assert next(feed) is not None and feed.gi_frame.f_locals["end"] < 5000
+    assert next(feed) is not None and feed.gi_frame.f_locals["n"] < 5000
+
+
+def test_a_full_machine_starts_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_STATES", 20)
+    monkeypatch.setattr(bpe, "MOST_PIECES", 5)
+    machine = bpe.Transducer(RANKS)
+    for text in TEXTS:
+        assert [i for piece in MATCHES.findall(text) for i in machine.piece(piece)[1]] == LIBRARY.encode_ordinary(text)
 
 
 def test_documents_and_round_trip(spark):
@@ -62,3 +71,12 @@ def test_no_rows(spark):
 def test_long_texts_are_read_in_parts():
     text = "some words, " * 2000
     assert [p for some in bpe.pieces(MATCHES, text, 100, 50) for p in some] == MATCHES.findall(text)
+
+
+def test_pairs_that_fit():
+    rng = random.Random(3)
+    tokens = rng.sample(sorted(MACHINE.tokens), 300)
+    for left in tokens[:60]:
+        for right in tokens:
+            pair = MACHINE.merged(MACHINE.tokens[left] + MACHINE.tokens[right])
+            assert MACHINE.pair_fits(left, right) == (pair == [left, right])
