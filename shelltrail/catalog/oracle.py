@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from shelltrail.functions import policy
-from shelltrail.catalog.queries import CONTEXT, HERE, MAPPED
-
+# The parameters of the queries and the fixed values of the policy, stated here once more, so that a wrong
+# entry in the library shows.
+HERE = "/home/u1/src/api"
+CONTEXT = [
+    ("PWD", "/home/u1/src/api"), ("HOME", "/home/u1"), ("USER", "u1"), ("SHELL", "/bin/bash"), ("TERM", "xterm"),
+    ("ENVIRONMENT", "production"), ("NODE_ENV", "production"), ("AWS_PROFILE", "main"),
+]
+MAPPED = ["PWD", "HOME", "USER", "SHELL", "NODE_ENV", "LANG"]
+ALLOWED = """
+PWD OLDPWD USER HOME SHELL LANG LC_ALL TZ EDITOR PAGER BROWSER TMPDIR XDG_CONFIG_HOME XDG_DATA_HOME
+XDG_CACHE_HOME NODE_ENV RAILS_ENV DJANGO_SETTINGS_MODULE FLASK_ENV ENVIRONMENT ENV STAGE DEPLOY_ENV
+RBENV_VERSION PYENV_VERSION NVM_CURRENT JAVA_HOME GOPATH GOROOT CARGO_HOME RUSTUP_HOME AWS_PROFILE AWS_REGION
+GOOGLE_CLOUD_PROJECT AZURE_RESOURCE_GROUP DOCKER_HOST KUBERNETES_NAMESPACE KUBECTL_CONTEXT CI GITHUB_ACTIONS
+JENKINS_URL GITLAB_CI TRAVIS CIRCLECI
+""".split()
+DENIED = """
+_ PS1 PS2 PS3 PS4 TERM LINES COLUMNS HISTFILE HISTSIZE HISTCONTROL HISTTIMEFORMAT IFS OPTIND OPTARG OPTERR
+RANDOM SECONDS BASH_VERSINFO BASH_VERSION BASH_ARGC BASH_ARGV BASH_ARGV0 BASH_COMMAND BASH_EXECUTION_STRING
+BASH_LINENO BASH_SOURCE BASH_SUBSHELL FUNCNAME BASH_REMATCH PIPESTATUS REPLY SHELLOPTS BASHOPTS
+""".split()
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -32,16 +49,25 @@ def _terms(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda t: t <> '')"
 
 
-DENY = "|".join(f"(?:{p})" for p in policy.ABSOLUTE_DENY)
-ALLOW = f"^[A-Z_]+_(?:{'|'.join(policy.ALLOWED_SUFFIXES)})$|^(?:{'|'.join(policy.ALLOWED_PREFIXES)})"
-SENSITIVE = "(?i)" + "|".join(policy.SENSITIVE_WORDS + policy.SENSITIVE_LOCATIONS)
-SENSITIVE_ONLY_WORDS = "(?i)" + "|".join(policy.SENSITIVE_WORDS)
+DENY = (
+    r"^___PREEXEC_|^__|^BASH_FUNC_|^_$|^PS[1-4]$|^TERM$|^LINES$|^COLUMNS$|^HIST|^IFS$|^OPT|"
+    r"^RANDOM$|^SECONDS$|^BASH_|^FUNCNAME$|^PIPESTATUS$|^REPLY$|^SHELLOPTS$|^BASHOPTS$"
+)
+ALLOW = (
+    r"^[A-Z_]+_(ENV|ENVIRONMENT|STAGE|PROFILE|NAMESPACE|CLUSTER|REGION|ZONE|BRANCH|VERSION|PATH|HOME|ROOT|CONFIG|"
+    r"URL|HOST|PORT|KEY)$|^(GIT_|DOCKER_|K8S_|KUBE_|HELM_|TERRAFORM_)"
+)
+SENSITIVE_ONLY_WORDS = (
+    r"(?i)password|secret|key|token|auth|credential|private|session|cookie|cert|ssl|tls|oauth|jwt|bearer|access|"
+    r"refresh|salt|hash|signature|license|serial"
+)
+SENSITIVE = SENSITIVE_ONLY_WORDS + "|url|dsn|connection|endpoint"
 
 
 def _verdict(sensitive: str = SENSITIVE) -> str:
     return f"""CASE
-      WHEN regexp_matches(key, '{DENY}') OR key IN {_quoted(policy.DENIED_NAMES)} THEN 'deny'
-      WHEN NOT (key IN {_quoted(policy.ALLOWED_NAMES)} OR regexp_matches(key, '{ALLOW}')) THEN 'not_allowed'
+      WHEN regexp_matches(key, '{DENY}') OR key IN {_quoted(DENIED)} THEN 'deny'
+      WHEN NOT (key IN {_quoted(ALLOWED)} OR regexp_matches(key, '{ALLOW}')) THEN 'not_allowed'
       WHEN regexp_matches(key, '{sensitive}') THEN 'hash' ELSE 'plain' END"""
 
 
@@ -109,6 +135,9 @@ def _ev(name: str, select: str, *ctes: str) -> None:
 WIRE = f"SELECT {SCALARS[len('event_id, '):]}, 'secret' || k AS api_key FROM ev"
 _ev("read_events", WIRE)
 _ev("stream_events", WIRE)
+DAMAGED = """SELECT command, CASE WHEN event_id % 10 <> 6 THEN return_code END AS return_code, start_timestamp, pwd FROM ev WHERE event_id % 10 < 7"""
+_ev("read_damaged_events", DAMAGED)
+_ev("stream_damaged_events", DAMAGED)
 _ev(
     "split_valid_invalid",
     """SELECT event_id, CASE WHEN event_id % 10 IN (7, 8) THEN 'invalid' ELSE 'valid' END AS status,
@@ -258,7 +287,7 @@ _ev(
 
 # -- joins --
 
-CONTEXT_ROWS = "context(key, value) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in CONTEXT.items()) + ")"
+CONTEXT_ROWS = "context(key, value) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in CONTEXT) + ")"
 BOOST = """CASE WHEN key IN ('NODE_ENV', 'RAILS_ENV', 'ENVIRONMENT', 'AWS_PROFILE', 'KUBERNETES_NAMESPACE') THEN 3.0::DOUBLE
   WHEN key IN ('USER', 'HOME', 'SHELL') THEN 2.0 ELSE 1.5 END"""
 SKIP = "(contains(key, 'HIST') OR contains(key, 'LESS') OR contains(key, 'LS_COLORS') OR contains(key, 'TERM') OR contains(key, 'PWD') OR {underscore})"
@@ -412,6 +441,8 @@ _ev("distinct_fields", "SELECT key, count(*) AS n_entries FROM entries GROUP BY
 # -- order and windows --
 
 IN_ORDER = 'OVER (PARTITION BY hostname, "user" ORDER BY end_timestamp, event_id)'
+_ev("previous_command_cut", f"SELECT event_id, command, coalesce(lag(command) {IN_ORDER}, '') AS previous_cmd FROM ev")
+_ev("next_command_cut", f"SELECT event_id, command, lead(command) {IN_ORDER} AS next_cmd FROM ev QUALIFY next_cmd IS NOT NULL")
 _ev("previous_command", f"SELECT event_id, command, coalesce(lag(command) {IN_ORDER}, '') AS previous_cmd FROM ev")
 _ev(
     "next_command",
@@ -514,6 +545,28 @@ _ev(
     WEIGHTS,
     _hits("bm25", 20).replace("FROM here", "FROM here JOIN scores USING (event_id)"),
 )
+_ev(
+    "suggest_commands_all_hits",
+    f"""SELECT command, round(final, 6) AS score, frequency, last_used, '{HERE}' AS directory,
+      {CONTEXT_TEXT.replace('matches', '(matches - 1)')} AS context
+    FROM suggested ORDER BY round(final, 9) DESC, command LIMIT 10""",
+    CONTEXT_ROWS,
+    SHARED,
+    WEIGHTS,
+    _hits("bm25", 1_000_000_000).replace("FROM here", "FROM here JOIN scores USING (event_id)"),
+)
+_ev(
+    "suggest_commands_plain_contexts",
+    f"""SELECT * FROM (SELECT context_id, CAST(row_number() OVER (PARTITION BY context_id ORDER BY round(final, 9) DESC, command) AS INTEGER) AS place,
+        command, round(final, 6) AS score, frequency, last_used, '{HERE}' AS directory,
+        {CONTEXT_TEXT} AS context FROM
+        (SELECT *, best_score + frequency * 0.1::DOUBLE + {RECENCY} AS final FROM
+          (SELECT context_id, command, count(*) AS frequency, max(start_timestamp) AS last_used, arg_max(score, (start_timestamp, score, -event_id)) AS best_score,
+             arg_max(matches, (score, start_timestamp, -event_id)) AS matches FROM tried GROUP BY 1, 2))) WHERE place <= 4""",
+    f"""contexts(context_id, wanted) AS (VALUES ('none', NULL), ('empty', NULL), ('stage', 'production'))""",
+    f"""tried AS (SELECT context_id, e.*, CASE WHEN wanted = s.value THEN 1 ELSE 0 END AS matches, CASE WHEN wanted = s.value THEN 3.0::DOUBLE ELSE 0 END AS score
+      FROM contexts CROSS JOIN ev e JOIN entries s ON s.event_id = e.event_id AND s.key = 'NODE_ENV' WHERE e.pwd = '{HERE}' AND e.return_code = 0)""",
+)
 _ev(
     "suggest_commands_bulk",
     f"""SELECT context_id, CAST(place AS INTEGER) AS place, command, round(final, 6) AS score, frequency, last_used, directory,
@@ -671,11 +724,20 @@ _ev(
     UNION ALL SELECT event_id, 'invalid', NULL FROM ev WHERE event_id % 10 IN (7, 8)""",
     _masked("entries"),
 )
+_ev(
+    "ingest_stream_masked",
+    "SELECT event_id, value AS api_key FROM masked WHERE key = 'API_KEY'",
+    _masked("entries"),
+)
+UNTIMED = 'row_number() OVER (PARTITION BY hostname, "user" ORDER BY CASE WHEN event_id % 7 <> 3 THEN start_timestamp END DESC NULLS LAST, event_id DESC)'
+_ev("recent_untimed_stream", f'SELECT event_id, hostname, "user", command, pwd FROM ev QUALIFY {UNTIMED} <= 5')
 _ev("recent_events_stream", f'SELECT event_id, hostname, "user", command, pwd FROM ev QUALIFY {LAST} <= 20')
 _ev("live_suggestions_stream", LIVE, LIVE_CTE)
 _ev("latest_directory_stream", f'SELECT hostname, "user", pwd, start_timestamp FROM ev QUALIFY {LAST} = 1')
 _ev("commands_over_time_stream", OVER_TIME)
 _ev("dedupe_stream", f"SELECT {SCALARS} FROM ev")
+_ev("dedupe_late_stream", f"SELECT {SCALARS} FROM ev")
+_ev("commands_over_time_late_stream", OVER_TIME)
 _ev("stream_metrics", "SELECT count(*) AS published, count(*) FILTER (return_code <> 0) AS failed FROM ev")
 
 # -- models --
@@ -683,9 +745,17 @@ _ev("stream_metrics", "SELECT count(*) AS published, count(*) FILTER (return_cod
 _ev(
     "command_features",
     f"""SELECT event_id, round(h.weight, 6) AS hour_weight, round(d.weight, 6) AS weekday_weight,
-      CAST(1 AS INTEGER) AS is_common, CAST(len({_words('command')}) - 1 AS INTEGER) AS num_args
-    FROM good g JOIN hours h ON hour(g.end_timestamp) = h.hour JOIN days d ON isodow(g.end_timestamp) = d.day""",
-    "good AS (SELECT * FROM ev WHERE return_code = 0)",
+      CAST(g.name IN (SELECT name FROM common) AS INTEGER) AS is_common, CAST(len({_words('command')}) - 1 AS INTEGER) AS num_args,
+      coalesce(n_grams, 0) AS n_grams, coalesce(gram_kinds, 0) AS gram_kinds
+    FROM good g JOIN hours h ON hour(g.end_timestamp) = h.hour JOIN days d ON isodow(g.end_timestamp) = d.day
+      LEFT JOIN grams USING (event_id)""",
+    f"good AS (SELECT *, {_name('command')} AS name FROM ev WHERE return_code = 0)",
+    "common AS (SELECT name FROM good GROUP BY name ORDER BY count(*) DESC, min(end_timestamp), name LIMIT 2)",
+    f"padded AS (SELECT event_id, unnest({_padded_words('command')}) AS p FROM good)",
+    f"every_gram AS MATERIALIZED (SELECT event_id, ngram FROM ({GRAMS}))",
+    "known AS (SELECT ngram FROM every_gram GROUP BY ngram ORDER BY count(*) DESC, ngram LIMIT 50)",
+    """grams AS (SELECT event_id, CAST(count(*) AS BIGINT) AS n_grams, CAST(count(DISTINCT ngram) AS BIGINT) AS gram_kinds
+      FROM every_gram WHERE ngram IN (SELECT ngram FROM known) GROUP BY event_id)""",
     HOUR.format(source="good"),
     "days AS (SELECT isodow(end_timestamp) AS day, count(*) * 1.0::DOUBLE / (SELECT count(*) FROM good) AS weight FROM good GROUP BY 1)",
 )
@@ -695,3 +765,35 @@ _ev(
       SELECT *, row_number() OVER (PARTITION BY prev_name ORDER BY n DESC, next_name) AS rank FROM transitions) WHERE rank <= 3""",
     TRANSITIONS,
 )
+
+# A forest cannot be repeated in SQL; what it learns from and the shape of what it says can.
+FOLLOWED = """followed AS (SELECT *, lead(command) OVER (PARTITION BY hostname, "user" ORDER BY end_timestamp, event_id) AS next_cmd
+  FROM ev WHERE return_code = 0 QUALIFY next_cmd IS NOT NULL)"""
+_ev(
+    "train_next_command",
+    """SELECT 'label' AS fact, next_cmd AS name, count(*) AS n FROM followed GROUP BY next_cmd
+    UNION ALL SELECT 'rows', CASE WHEN ((event_id % 1000003) * 7919) % 1000 < 800 THEN 'train' ELSE 'test' END, count(*) FROM followed GROUP BY 2""",
+    FOLLOWED,
+)
+_ev("evaluate_accuracy", "SELECT count(*) AS n_events, 1 AS beats_guessing FROM ev")
+_ev(
+    "predict_next_command",
+    """SELECT hostname, "user", least(5, (SELECT count(DISTINCT next_cmd) FROM followed)) AS n_places, 1 AS in_order, 1 AS all_are_commands
+    FROM ev WHERE return_code = 0 GROUP BY hostname, "user\"""",
+    FOLLOWED,
+)
+_ev(
+    "top_k_probabilities",
+    """SELECT count(*) AS n_events, 1 AS sums_to_one, 1 AS complete FROM ev WHERE return_code = 0""",
+)
+_ev(
+    "match_statistics",
+    f"""SELECT kind, key, value, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS days FROM (
+      SELECT CAST(start_timestamp AS DATE) AS day, 'directory' AS kind, '' AS key, pwd AS value, count(*) AS n FROM ev GROUP BY ALL
+      UNION ALL SELECT CAST(start_timestamp AS DATE), 'variable', key, value, count(*) FROM entries WHERE NOT {LITERAL} GROUP BY ALL) GROUP BY 1, 2, 3""",
+)
+SQL["context_score_kept"] = SQL["context_score"]
+CUSTOM = """CASE WHEN regexp_matches(key, '{DENY}') OR key IN ('SHELL') THEN NULL
+  WHEN NOT (key IN ('USER', 'SHELL', 'API_KEY', 'TERM') OR regexp_matches(key, '^[A-Z]+_ENV$|^DATA')) THEN NULL
+  WHEN regexp_matches(key, '(?i)base|_env') THEN {HASHED} ELSE value END""".format(DENY=DENY, HASHED=HASHED)
+_ev("mask_environment_custom", f"SELECT * FROM (SELECT event_id, key, {CUSTOM} AS value FROM entries) WHERE value IS NOT NULL")

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelltrail.functions.policy import EnvPolicy, hash_value, without_capture_noise
 from shelltrail.functions.text import char_ngrams, word_ngrams, words
 from shelltrail.operators import directories, drift, filters, live, policy, predict, sequence, suggest, usage
+from shelltrail.plans.ordered import Cuts
 from shelltrail.session import scratch_path
+from shelltrail.plans.once import worked_out
 from shelltrail.sources import captures, events as event_source, history
 from shelltrail.sources.activity import (
     AS_OF,
@@ -114,6 +117,21 @@ def stream_events(spark, sf_dir):
     return spark.read.parquet(out).select(*SCALARS[1:], F.col("env")["API_KEY"].alias("api_key"))
 
 
+@query
+def read_damaged_events(spark, sf_dir):
+    path = scratch_path(spark, "ndjson")
+    wire_lines(command_events(spark, sf_dir)).select("value").write.text(path)
+    return event_source.read_events(spark, [path]).select("command", "return_code", "start_timestamp", "pwd")
+
+
+@query
+def stream_damaged_events(spark, sf_dir):
+    source, out, check = (scratch_path(spark, name) for name in ("ndjson", "events", "check"))
+    wire_lines(command_events(spark, sf_dir)).select("value").write.text(source)
+    feeds.store_batches(event_source.stream_events(spark, source), out, check, mode="append").awaitTermination()
+    return spark.read.parquet(out).select("command", "return_code", "start_timestamp", "pwd")
+
+
 @query
 def split_valid_invalid(spark, sf_dir):
     good, bad = event_source.split_valid_invalid(raw_lines(spark, sf_dir))
@@ -306,6 +324,17 @@ def mask_environment(spark, sf_dir):
     return env_rows(policy.mask_environment(command_events(spark, sf_dir, oldpwd=True), DEFAULT))
 
 
+CUSTOM = """{"version": "7", "hash_sensitive_values": false,
+  "allowlist": {"exact": ["USER", "SHELL", "API_KEY", "TERM"], "patterns": ["^[A-Z]+_ENV$", "^DATA"]},
+  "denylist": {"exact": ["SHELL"], "patterns": ["(?i)base", "(?i)_env"]}}"""
+
+
+@query
+def mask_environment_custom(spark, sf_dir):
+    """Under a policy read from JSON."""
+    return env_rows(policy.mask_environment(command_events(spark, sf_dir), EnvPolicy.from_json(CUSTOM)))
+
+
 @query
 def mask_simple(spark, sf_dir):
     return env_rows(policy.mask_simple(command_events(spark, sf_dir)))
@@ -380,7 +409,7 @@ def commands_over_time(spark, sf_dir):
 
 @query
 def top_commands(spark, sf_dir):
-    return usage.top_commands(command_events(spark, sf_dir), 15)
+    return usage.top_commands(command_events(spark, sf_dir), 15, 1024)
 
 
 @query
@@ -424,7 +453,7 @@ def directory_usage(spark, sf_dir):
 
 @query
 def env_field_usage(spark, sf_dir):
-    return usage.env_field_usage(command_events(spark, sf_dir, oldpwd=True), 24, AS_OF)
+    return usage.env_field_usage(command_events(spark, sf_dir, oldpwd=True), 24, AS_OF, 1000)
 
 
 @query
@@ -460,6 +489,17 @@ def previous_command(spark, sf_dir):
     return sequence.previous_command(command_events(spark, sf_dir)).select("event_id", "command", "previous_cmd")
 
 
+@query
+def previous_command_cut(spark, sf_dir):
+    """With pieces so small that the sample is cut."""
+    return sequence.previous_command(command_events(spark, sf_dir), cuts=Cuts(2)).select("event_id", "command", "previous_cmd")
+
+
+@query
+def next_command_cut(spark, sf_dir):
+    return sequence.next_command(command_events(spark, sf_dir), cuts=Cuts(2)).select("event_id", "command", "next_cmd")
+
+
 @query
 def next_command(spark, sf_dir):
     return sequence.next_command(command_events(spark, sf_dir)).select("event_id", "command", "next_cmd")
@@ -513,13 +553,13 @@ def scan_cap(spark, sf_dir):
 
 @query
 def score_order(spark, sf_dir):
-    found = suggest.suggest_commands(command_events(spark, sf_dir), HERE, CONTEXT, 40, AS_OF, scoring="boost")
+    found = suggest.suggest_commands(command_events(spark, sf_dir), HERE, CONTEXT, 40, AS_OF, scoring="boost", best_hits=80)
     return found.select("command", "score", "frequency")
 
 
 @query
 def display_rows(spark, sf_dir):
-    found = suggest.suggest_commands(command_events(spark, sf_dir), HERE, CONTEXT, 3, AS_OF, scoring="boost")
+    found = suggest.suggest_commands(command_events(spark, sf_dir), HERE, CONTEXT, 3, AS_OF, scoring="boost", best_hits=6)
     return filters.suggestion_rows(found, AS_OF)
 
 
@@ -566,6 +606,19 @@ def context_score(spark, sf_dir):
     return suggest.context_score(command_events(spark, sf_dir), HERE, CONTEXT).select("event_id", "score")
 
 
+@query
+def match_statistics(spark, sf_dir):
+    counted = suggest.match_statistics(command_events(spark, sf_dir))
+    return counted.groupBy("kind", "key", "value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("days"))
+
+
+@query
+def context_score_kept(spark, sf_dir):
+    rows = command_events(spark, sf_dir)
+    kept = stored(spark, suggest.match_statistics(rows), "statistics")
+    return suggest.context_score(rows, HERE, CONTEXT, statistics=kept).select("event_id", "score")
+
+
 @query
 def context_score_intended(spark, sf_dir):
     return suggest.context_score(
@@ -575,10 +628,24 @@ def context_score_intended(spark, sf_dir):
 
 @query
 def suggest_commands(spark, sf_dir):
+    masked = policy.mask_environment(command_events(spark, sf_dir), DEFAULT)
+    return suggest.suggest_commands(masked, HERE, CONTEXT, 10, AS_OF, best_hits=20)
+
+
+@query
+def suggest_commands_all_hits(spark, sf_dir):
     masked = policy.mask_environment(command_events(spark, sf_dir), DEFAULT)
     return suggest.suggest_commands(masked, HERE, CONTEXT, 10, AS_OF)
 
 
+@query
+def suggest_commands_plain_contexts(spark, sf_dir):
+    """Contexts without an environment, with an empty one, and with one variable."""
+    asked = [("none", HERE, None), ("empty", HERE, {}), ("stage", HERE, {"NODE_ENV": "production"})]
+    contexts = spark.createDataFrame(asked, "context_id string, pwd string, env map<string,string>")
+    return suggest.suggest_commands_bulk(command_events(spark, sf_dir), contexts, 4, AS_OF, key_mode="intended", scoring="boost")
+
+
 def _contexts(rows: DataFrame) -> DataFrame:
     """The newest event of every user is that user's current context."""
     newest = sequence.last_n_events(rows, 1, ["user"])
@@ -588,19 +655,19 @@ def _contexts(rows: DataFrame) -> DataFrame:
 @query
 def suggest_commands_bulk(spark, sf_dir):
     rows = command_events(spark, sf_dir)
-    return suggest.suggest_commands_bulk(rows, stored(spark, _contexts(rows), "contexts"), 5, AS_OF)
+    return suggest.suggest_commands_bulk(rows, stored(spark, _contexts(rows), "contexts"), 5, AS_OF, best_hits=10)
 
 
 @query
 def rank_directories(spark, sf_dir):
-    return directories.rank_directories(command_events(spark, sf_dir), AS_OF, cwd=HERE, limit=20)
+    return directories.rank_directories(command_events(spark, sf_dir), AS_OF, cwd=HERE, cap_cd=500, cap_pwd=200, limit=20)
 
 
 @query
 def rank_directories_fleet(spark, sf_dir):
     rows = command_events(spark, sf_dir)
     current = sequence.latest_directory(rows).select("hostname", "user", F.col("pwd").alias("cwd"))
-    return directories.rank_directories(rows, AS_OF, cwd=current, by=["hostname", "user"])
+    return directories.rank_directories(rows, AS_OF, cwd=current, cap_cd=500, cap_pwd=200, by=["hostname", "user"])
 
 
 @query
@@ -643,8 +710,11 @@ def command_records(spark, sf_dir):
 
 @query
 def char_ngram_counts(spark, sf_dir):
-    rows = command_events(spark, sf_dir).select("event_id", F.explode(char_ngrams(F.col("command"))).alias("ngram"))
-    return rows.groupBy("event_id", "ngram").agg(F.count(F.lit(1)).alias("n"))
+    grams = char_ngrams(F.col("command"))
+    counted = F.transform(F.array_distinct("_grams"), lambda gram: F.struct(gram.alias("ngram"), F.size(F.filter("_grams", lambda other: other == gram)).cast("long").alias("n")))
+    # The count is local to the row: nothing is shuffled.
+    rows = worked_out(command_events(spark, sf_dir).select("event_id", "command"), {"_grams": grams})
+    return rows.select("event_id", F.inline(counted))
 
 
 @query
@@ -756,16 +826,39 @@ def ingest_stream(spark, sf_dir):
     return kept.unionByName(sent, allowMissingColumns=True).unionByName(refused, allowMissingColumns=True)
 
 
+@query
+def ingest_stream_masked(spark, sf_dir):
+    """Lines that the capture side has masked already."""
+    source, archive, check = (scratch_path(spark, name) for name in ("lines", "archive", "check"))
+    masked = policy.mask_environment(command_events(spark, sf_dir), DEFAULT)
+    masked.select("event_id", F.to_json(wire_struct()).alias("value")).write.parquet(source)
+    lines = spark.readStream.schema("event_id long, value string").parquet(source)
+    feeds.ingest_stream(lines, DEFAULT, archive, check, carried=("event_id",), trigger={"availableNow": True}).awaitTermination()
+    return spark.read.parquet(archive).select("event_id", F.col("env")["API_KEY"].alias("api_key"))
+
+
+def _recent(spark: SparkSession, stream: DataFrame, n: int) -> DataFrame:
+    out, check = scratch_path(spark, "recent"), scratch_path(spark, "check")
+    feeds.recent_events_stream(stream, out, check, n).awaitTermination()
+    return feeds.latest_lists(spark, out)
+
+
 @query
 def recent_events_stream(spark, sf_dir):
-    listed = feeds.recent_events_stream(_stream(spark, sf_dir), 20, shards=4)
-    return feeds.latest_lists(_stored(spark, listed, "update"), 20).select("event_id", "hostname", "user", "command", "pwd")
+    return _recent(spark, _stream(spark, sf_dir), 20).select("event_id", "hostname", "user", "command", "pwd")
+
+
+@query
+def recent_untimed_stream(spark, sf_dir):
+    """Some events have no readable start time."""
+    timed = F.when(F.col("event_id") % 7 != 3, F.col("start_timestamp"))
+    listed = _recent(spark, _stream(spark, sf_dir).withColumn("start_timestamp", timed), 5)
+    return listed.select("event_id", "hostname", "user", "command", "pwd")
 
 
 @query
 def live_suggestions_stream(spark, sf_dir):
-    listed = feeds.recent_events_stream(_stream(spark, sf_dir), 20, shards=4)
-    return live.live_suggestions(feeds.latest_lists(_stored(spark, listed, "update"), 20))
+    return live.live_suggestions(_recent(spark, _stream(spark, sf_dir), 20))
 
 
 @query
@@ -782,11 +875,40 @@ def commands_over_time_stream(spark, sf_dir):
     return updates.groupBy("bucket").agg(F.max_by("n", "batch").alias("n"))
 
 
+def _deduped(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    out, check = scratch_path(spark, "once"), scratch_path(spark, "check")
+    feeds.dedupe_stream(stream, out, check, {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query
 def dedupe_stream(spark, sf_dir):
-    once = _stream(spark, sf_dir)
-    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return _stored(spark, feeds.dedupe_stream(twice).select(*SCALARS), "append").drop("batch")
+    twice = _stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _deduped(spark, twice).select(*SCALARS)
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in three files, a batch each: the newest third of its time comes first, and some of it comes again."""
+    rows = command_events(spark, sf_dir)
+    first, last = rows.agg(F.min(F.unix_seconds("start_timestamp")), F.max(F.unix_seconds("start_timestamp"))).first()
+    part = F.floor((F.unix_seconds("start_timestamp") - first) * 3 / (last - first + 1))
+    folder = scratch_path(spark, "late")
+    for number in (2, 1, 0):
+        again = (part == 2) & (F.col("event_id") % 3 == 0) if number < 2 else F.lit(False)
+        rows.where((part == number) | again).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query
+def dedupe_late_stream(spark, sf_dir):
+    return _deduped(spark, _late(spark, sf_dir)).select(*SCALARS)
+
+
+@query
+def commands_over_time_late_stream(spark, sf_dir):
+    once = _late(spark, sf_dir).dropDuplicates(["event_id"])
+    updates = _stored(spark, feeds.commands_over_time_stream(once, "1 hour"), "update")
+    return updates.groupBy("bucket").agg(F.max_by("n", "batch").alias("n"))
 
 
 @query
@@ -807,41 +929,64 @@ def stream_metrics(spark, sf_dir):
 @query
 def command_features(spark, sf_dir):
     good = filters.successful_commands(command_events(spark, sf_dir))
-    fitted = predict.CommandFeatures.fit(good)
-    return fitted.numbers(good).select("event_id", "hour_weight", "weekday_weight", "is_common", "num_args")
+    fitted = predict.CommandFeatures.fit(good, vocabulary_size=50, common_size=2)
+    grams = F.slice(vector_to_array("features"), 1, 50)
+    return fitted.transform(good).select(
+        "event_id",
+        "hour_weight",
+        "weekday_weight",
+        "is_common",
+        "num_args",
+        F.aggregate(grams, F.lit(0.0), lambda sum, n: sum + n).cast("long").alias("n_grams"),
+        F.size(F.filter(grams, lambda n: n > 0)).cast("long").alias("gram_kinds"),
+    )
 
 
 def _model(spark: SparkSession, sf_dir: str, trees: int = 10) -> tuple[predict.NextCommandModel, DataFrame]:
     rows = command_events(spark, sf_dir)
-    return predict.train_next_command(rows, trees=trees, max_depth=8, max_classes=50), rows
+    return predict.train_next_command(rows, trees=trees, max_depth=8), rows
 
 
 @query
 def train_next_command(spark, sf_dir):
+    """What was learned from: every label with its rows, and the rows of either part."""
     model, rows = _model(spark, sf_dir)
-    good = filters.successful_commands(rows)
-    scored = model.forest.transform(model.features.transform(good))
-    return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    labels = spark.createDataFrame([(name,) for name in model.labels], "name string")
+    followed = sequence.next_command(filters.successful_commands(rows)).groupBy(F.col("next_cmd").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    parts = spark.createDataFrame([("rows", "train", model.train_rows), ("rows", "test", model.test_rows)], "fact string, name string, n long")
+    return labels.join(followed, "name").select(F.lit("label").alias("fact"), "name", "n").unionByName(parts)
 
 
 @query
 def evaluate_accuracy(spark, sf_dir):
     model, rows = _model(spark, sf_dir)
-    return rows.agg(F.count(F.lit(1)).alias("n_events"), F.lit(model.accuracy).alias("accuracy"))
+    guessed = 1 / (2 * max(1, len(model.labels)))
+    return rows.agg(F.count(F.lit(1)).alias("n_events"), F.lit(int((model.accuracy or 0) > guessed)).alias("beats_guessing"))
 
 
 @query
 def predict_next_command(spark, sf_dir):
     model, rows = _model(spark, sf_dir)
-    return predict.predict_next_command(model, rows, ["hostname", "user"], 5)
+    found = predict.predict_next_command(model, rows, ["hostname", "user"], 5)
+    places = F.array_sort(F.collect_list(F.struct("place", "probability", "command")))
+    listed = found.groupBy("hostname", "user").agg(places.alias("p"))
+    steps = F.sequence(F.lit(1), F.size("p"))
+    ordered = F.forall(steps, lambda i: (F.element_at("p", i)["place"] == i) & ((i == 1) | (F.element_at("p", F.greatest(i - 1, F.lit(1)))["probability"] >= F.element_at("p", i)["probability"])))
+    named = F.forall("p", lambda x: x["command"].isin(*model.labels))
+    return listed.select("hostname", "user", F.size("p").alias("n_places"), ordered.alias("in_order"), named.alias("all_are_commands"))
 
 
 @query
 def top_k_probabilities(spark, sf_dir):
     model, rows = _model(spark, sf_dir)
     scored = model.forest.transform(model.features.transform(filters.successful_commands(rows)))
-    best = predict.top_k_probabilities(scored, model.labels, ["event_id"], 3)
-    return best.groupBy("place", "command").agg(F.count(F.lit(1)).alias("n"))
+    best = predict.top_k_probabilities(scored, model.labels, ["event_id"], len(model.labels))
+    each = best.groupBy("event_id").agg(F.sum("probability").alias("sum"), F.count_distinct("command").alias("n"))
+    return each.agg(
+        F.count(F.lit(1)).alias("n_events"),
+        (F.max(F.abs(F.col("sum") - 1)) < 1e-6).alias("sums_to_one"),
+        (F.min("n") == len(model.labels)).alias("complete"),
+    )
 
 
 @query

@@ -23,43 +23,49 @@ HASHED_VALUE = r"^h8_[a-f0-9]{8}$"
 
 # --- Fixed values: the default lists. Results must equal these exactly. ---
 
-ALLOWED_NAMES = """
-PWD OLDPWD USER HOME SHELL LANG LC_ALL TZ EDITOR PAGER BROWSER TMPDIR
-XDG_CONFIG_HOME XDG_DATA_HOME XDG_CACHE_HOME
-NODE_ENV RAILS_ENV DJANGO_SETTINGS_MODULE FLASK_ENV ENVIRONMENT ENV STAGE DEPLOY_ENV
-RBENV_VERSION PYENV_VERSION NVM_CURRENT JAVA_HOME GOPATH GOROOT CARGO_HOME RUSTUP_HOME
-AWS_PROFILE AWS_REGION GOOGLE_CLOUD_PROJECT AZURE_RESOURCE_GROUP
-DOCKER_HOST KUBERNETES_NAMESPACE KUBECTL_CONTEXT
-CI GITHUB_ACTIONS JENKINS_URL GITLAB_CI TRAVIS CIRCLECI
-""".split()
-
-ALLOWED_SUFFIXES = """
-ENV ENVIRONMENT STAGE PROFILE NAMESPACE CLUSTER REGION ZONE BRANCH VERSION
-PATH HOME ROOT CONFIG URL HOST PORT KEY
-""".split()
-
-ALLOWED_PREFIXES = "GIT_ DOCKER_ K8S_ KUBE_ HELM_ TERRAFORM_".split()
-
-DENIED_NAMES = """
-_ PS1 PS2 PS3 PS4 TERM LINES COLUMNS HISTFILE HISTSIZE HISTCONTROL HISTTIMEFORMAT
-IFS OPTIND OPTARG OPTERR RANDOM SECONDS
-BASH_VERSINFO BASH_VERSION BASH_ARGC BASH_ARGV BASH_ARGV0 BASH_COMMAND BASH_EXECUTION_STRING
-BASH_LINENO BASH_SOURCE BASH_SUBSHELL FUNCNAME BASH_REMATCH PIPESTATUS REPLY SHELLOPTS BASHOPTS
-""".split()
+ALLOWED_NAMES = [
+    "PWD", "OLDPWD", "USER", "HOME", "SHELL", "LANG", "LC_ALL", "TZ", "EDITOR", "PAGER", "BROWSER", "TMPDIR",
+    "XDG_CONFIG_HOME", "XDG_DATA_HOME", "XDG_CACHE_HOME", "NODE_ENV", "RAILS_ENV", "DJANGO_SETTINGS_MODULE",
+    "FLASK_ENV", "ENVIRONMENT", "ENV", "STAGE", "DEPLOY_ENV", "RBENV_VERSION", "PYENV_VERSION", "NVM_CURRENT",
+    "JAVA_HOME", "GOPATH", "GOROOT", "CARGO_HOME", "RUSTUP_HOME", "AWS_PROFILE", "AWS_REGION", "GOOGLE_CLOUD_PROJECT",
+    "AZURE_RESOURCE_GROUP", "DOCKER_HOST", "KUBERNETES_NAMESPACE", "KUBECTL_CONTEXT", "CI", "GITHUB_ACTIONS",
+    "JENKINS_URL", "GITLAB_CI", "TRAVIS", "CIRCLECI",
+]
+
+ALLOWED_PATTERNS = [
+    r"^[A-Z_]+_ENV$", r"^[A-Z_]+_ENVIRONMENT$", r"^[A-Z_]+_STAGE$", r"^[A-Z_]+_PROFILE$", r"^[A-Z_]+_NAMESPACE$",
+    r"^[A-Z_]+_CLUSTER$", r"^[A-Z_]+_REGION$", r"^[A-Z_]+_ZONE$", r"^[A-Z_]+_BRANCH$", r"^[A-Z_]+_VERSION$",
+    r"^[A-Z_]+_PATH$", r"^[A-Z_]+_HOME$", r"^[A-Z_]+_ROOT$", r"^[A-Z_]+_CONFIG$", r"^[A-Z_]+_URL$", r"^[A-Z_]+_HOST$",
+    r"^[A-Z_]+_PORT$", r"^[A-Z_]+_KEY$", r"^GIT_", r"^DOCKER_", r"^K8S_", r"^KUBE_", r"^HELM_", r"^TERRAFORM_",
+]
+
+DENIED_NAMES = [
+    "_", "PS1", "PS2", "PS3", "PS4", "TERM", "LINES", "COLUMNS", "HISTFILE", "HISTSIZE", "HISTCONTROL",
+    "HISTTIMEFORMAT", "IFS", "OPTIND", "OPTARG", "OPTERR", "RANDOM", "SECONDS", "BASH_VERSINFO", "BASH_VERSION",
+    "BASH_ARGC", "BASH_ARGV", "BASH_ARGV0", "BASH_COMMAND", "BASH_EXECUTION_STRING", "BASH_LINENO", "BASH_SOURCE",
+    "BASH_SUBSHELL", "FUNCNAME", "BASH_REMATCH", "PIPESTATUS", "REPLY", "SHELLOPTS", "BASHOPTS",
+]
 
 # Names that no configuration can let through.
-ABSOLUTE_DENY = """
-^___PREEXEC_ ^__ ^BASH_FUNC_ ^_$ ^PS[1-4]$ ^TERM$ ^LINES$ ^COLUMNS$ ^HIST ^IFS$ ^OPT
-^RANDOM$ ^SECONDS$ ^BASH_ ^FUNCNAME$ ^PIPESTATUS$ ^REPLY$ ^SHELLOPTS$ ^BASHOPTS$
-""".split()
-
-SENSITIVE_WORDS = """
-password secret key token auth credential private session cookie cert ssl tls oauth jwt bearer
-access refresh salt hash signature license serial
-""".split()
-
-# The built-in check covers these as well; they may carry credentials inside.
-SENSITIVE_LOCATIONS = "url dsn connection endpoint".split()
+ABSOLUTE_DENY = [
+    r"^___PREEXEC_", r"^__", r"^BASH_FUNC_", r"^_$", r"^PS[1-4]$", r"^TERM$", r"^LINES$", r"^COLUMNS$", r"^HIST",
+    r"^IFS$", r"^OPT", r"^RANDOM$", r"^SECONDS$", r"^BASH_", r"^FUNCNAME$", r"^PIPESTATUS$", r"^REPLY$",
+    r"^SHELLOPTS$", r"^BASHOPTS$",
+]
+
+HASH_PATTERNS = [
+    r"(?i)password", r"(?i)secret", r"(?i)key", r"(?i)token", r"(?i)auth", r"(?i)credential", r"(?i)private",
+    r"(?i)session", r"(?i)cookie", r"(?i)cert", r"(?i)ssl", r"(?i)tls", r"(?i)oauth", r"(?i)jwt", r"(?i)bearer",
+    r"(?i)access", r"(?i)refresh", r"(?i)salt", r"(?i)hash", r"(?i)signature", r"(?i)license", r"(?i)serial",
+]
+
+# The built-in check; it covers what may carry credentials inside as well.
+BUILT_IN_SENSITIVE = [
+    r"(?i)password", r"(?i)secret", r"(?i)key", r"(?i)token", r"(?i)auth", r"(?i)credential", r"(?i)private",
+    r"(?i)session", r"(?i)cookie", r"(?i)cert", r"(?i)ssl", r"(?i)tls", r"(?i)oauth", r"(?i)jwt", r"(?i)bearer",
+    r"(?i)access", r"(?i)refresh", r"(?i)salt", r"(?i)hash", r"(?i)signature", r"(?i)license", r"(?i)serial",
+    r"(?i)url", r"(?i)dsn", r"(?i)connection", r"(?i)endpoint",
+]
 
 # Entries the capture hook leaves out before anything else looks at them.
 CAPTURE_NOISE = r"^(___PREEXEC_|_=|PS1=|PS2=|BASH_|FUNCNAME=|PIPESTATUS=)"
@@ -67,10 +73,6 @@ CAPTURE_NOISE = r"^(___PREEXEC_|_=|PS1=|PS2=|BASH_|FUNCNAME=|PIPESTATUS=)"
 # --- End of fixed values. ---
 
 
-def _any_case(words: Iterable[str]) -> tuple[str, ...]:
-    return tuple(f"(?i){word}" for word in words)
-
-
 @dataclass(frozen=True)
 class EnvPolicy:
     """Which variables to keep. The default is the stock policy.
@@ -80,14 +82,12 @@ class EnvPolicy:
     """
 
     allow_names: tuple[str, ...] = tuple(ALLOWED_NAMES)
-    allow_patterns: tuple[str, ...] = tuple(
-        [f"^[A-Z_]+_{suffix}$" for suffix in ALLOWED_SUFFIXES] + [f"^{prefix}" for prefix in ALLOWED_PREFIXES]
-    )
+    allow_patterns: tuple[str, ...] = tuple(ALLOWED_PATTERNS)
     deny_names: tuple[str, ...] = tuple(DENIED_NAMES)
-    hash_patterns: tuple[str, ...] = _any_case(SENSITIVE_WORDS)
+    hash_patterns: tuple[str, ...] = tuple(HASH_PATTERNS)
     hash_sensitive_values: bool = True
     absolute_deny: tuple[str, ...] = tuple(ABSOLUTE_DENY)
-    built_in_sensitive: tuple[str, ...] = _any_case(SENSITIVE_WORDS + SENSITIVE_LOCATIONS)
+    built_in_sensitive: tuple[str, ...] = tuple(BUILT_IN_SENSITIVE)
     own_names: tuple[str, ...] = ()
     allow_everything: bool = False
     version: str = "unknown"
@@ -226,7 +226,7 @@ SIMPLE_POLICY = EnvPolicy(
     allow_names=(),
     allow_patterns=(),
     deny_names=(),
-    hash_patterns=_any_case(["secret", "password", "key"]),
+    hash_patterns=("(?i)secret", "(?i)password", "(?i)key"),
     hash_sensitive_values=False,
     absolute_deny=(),
     allow_everything=True,

@@ -12,7 +12,9 @@ from shelltrail.schema import with_user
 EVIDENCE = ["path", "seen", "assumed"]
 
 
-def _newest(events: DataFrame, by: list[str], n: int) -> DataFrame:
+def _newest(events: DataFrame, by: list[str], n: int | None) -> DataFrame:
+    if n is None:
+        return events
     order = [F.desc("start_timestamp"), F.desc("event_id")]
     if by:
         return first_per_key(events, by, order, n, "event_id")
@@ -21,7 +23,7 @@ def _newest(events: DataFrame, by: list[str], n: int) -> DataFrame:
 
 def cd_target(command: Column, pwd: Column, home: Column) -> Column:
     """The directory a ``cd`` command names: unquoted, ``~`` and relative paths resolved where they can be."""
-    named = F.btrim(F.split(command, " ", 2)[1], F.lit("\"' "))
+    named = F.btrim(F.get(F.split(command, " ", 2), F.lit(1)), F.lit("\"' "))
     return (
         F.when(named.startswith("~"), F.concat(F.coalesce(home, F.lit("~")), named.substr(F.lit(2), F.length(named))))
         .when(~named.startswith("/") & (F.coalesce(pwd, F.lit("")) != ""), F.concat(pwd, F.lit("/"), named))
@@ -37,7 +39,7 @@ def existing_directories(dirs: DataFrame, inventory: DataFrame | None) -> DataFr
     return dirs.join(inventory, on, "left_semi")
 
 
-def cd_evidence(events: DataFrame, by: list[str], cap: int, home: str | None) -> DataFrame:
+def cd_evidence(events: DataFrame, by: list[str], cap: int | None, home: str | None) -> DataFrame:
     """Targets among the latest ``cap`` events with a word starting with ``cd``; the cap comes before the check for a real ``cd``."""
     candidates = events.where(F.exists(search_terms(F.col("command")), lambda term: term.startswith("cd")))
     latest = _newest(candidates, by, cap).where(F.col("command").startswith("cd "))
@@ -46,7 +48,7 @@ def cd_evidence(events: DataFrame, by: list[str], cap: int, home: str | None) ->
     return _evidence(latest, by, target)
 
 
-def pwd_evidence(events: DataFrame, by: list[str], cap: int) -> DataFrame:
+def pwd_evidence(events: DataFrame, by: list[str], cap: int | None) -> DataFrame:
     """Working directories of the latest ``cap`` events."""
     latest = _newest(events, by, cap)
     return _evidence(latest, by, F.col("env")["PWD"]).where(F.coalesce(F.col("path"), F.lit("")) != "")
@@ -101,14 +103,15 @@ def rank_directories(
     cwd: str | DataFrame | None = None,
     home: str | None = None,
     inventory: DataFrame | None = None,
-    cap_cd: int = 500,
-    cap_pwd: int = 200,
+    cap_cd: int | None = None,
+    cap_pwd: int | None = None,
     limit: int = 10,
     by: list[str] | None = None,
 ) -> DataFrame:
     """The best ``limit`` directories, of one person or (with ``by``) of every key.
 
-    ``cwd`` is the current directory, or a table of ``by`` and ``cwd``.
+    ``cwd`` is the current directory, or a table of ``by`` and ``cwd``. All evidence
+    counts; the caps keep the newest rows of either kind only.
     """
     by = list(by or [])
     source = with_user(events) if "user" in by else events

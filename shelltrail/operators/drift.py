@@ -32,19 +32,21 @@ def distinct_fields(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("key").agg(count_rows().alias("n_entries"))
 
 
-def unmapped_fields(events: DataFrame, mapped: DataFrame, hours: int, as_of, size: int | None = 1000) -> DataFrame:
-    """Variables used lately that the mapping (key) does not know; ``size=None`` looks beyond the most used."""
-    used = env_field_usage(events, hours, as_of, size)
-    return used.join(mapped.select("key").distinct(), "key", "left_anti")
+def unmapped_fields(events: DataFrame, mapped: DataFrame, hours: int, as_of, size: int | None = None) -> DataFrame:
+    """Variables used lately that the mapping (key) does not know: all of them, or the ``size`` most used."""
+    unmapped = env_field_usage(events, hours, as_of).join(mapped.select("key").distinct(), "key", "left_anti")
+    return unmapped if size is None else unmapped.orderBy(F.desc("n_events"), "key").limit(size)
 
 
 def drift_report(
     events: DataFrame, mapped: DataFrame, as_of, hours: int = 24, threshold: int = 10, show: int = 20, suggest: int = 10
 ) -> DataFrame:
-    """A status row, the most used unmapped variables, and those worth allowing, as (section, place, key, n)."""
+    """A status row, the most used unmapped variables, and those worth allowing, as (section, place, key, n).
+
+    All variables are counted; only the two lists are cut, to ``show`` and ``suggest`` rows.
+    """
     used = env_field_usage(events, hours, as_of)
     marked = used.join(mapped.select("key").distinct().withColumn("_mapped", F.lit(True)), "key", "left")
-    # At most a thousand names from here on.
     unmapped = marked.where(F.col("_mapped").isNull())
     counts = marked.agg(
         F.count_if(F.col("_mapped").isNull()).alias("n_unmapped"),
@@ -63,21 +65,20 @@ def drift_report(
         F.col("fields_in_use").alias("n"),
     )
     alert = counts.select(F.col("n_unmapped") > threshold).scalar()
-    ranked = unmapped.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n_events")).alias("order"), "key"))).alias("_all")
-    )
-    wanted = F.filter("_all", lambda row: row["key"].rlike(SUGGESTED_NAME))
 
-    def section(name: str, rows, most: int) -> DataFrame:
-        listed = ranked.where(alert).select(F.posexplode(F.slice(rows, 1, most)).alias("place", "_row"))
-        return listed.select(
+    def section(name: str, rows: DataFrame, most: int) -> DataFrame:
+        best = rows.orderBy(F.desc("n_events"), "key").limit(most)
+        listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("n_events")).alias("order"), "key"))).alias("_all"))
+        placed = listed.where(alert).select(F.posexplode("_all").alias("place", "_row"))
+        return placed.select(
             F.lit(name).alias("section"),
             (F.col("place") + 1).alias("place"),
             F.col("_row.key").alias("key"),
             (-F.col("_row.order")).alias("n"),
         )
 
-    return status.unionByName(in_use).unionByName(section("unmapped", F.col("_all"), show)).unionByName(
+    wanted = unmapped.where(F.col("key").rlike(SUGGESTED_NAME))
+    return status.unionByName(in_use).unionByName(section("unmapped", unmapped, show)).unionByName(
         section("suggestion", wanted, suggest)
     )
 

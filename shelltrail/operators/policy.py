@@ -20,9 +20,9 @@ def classify_env_vars(events: DataFrame, policy: EnvPolicy) -> DataFrame:
     return env_entries(events).withColumn("verdict", policy.verdict(F.col("key")))
 
 
-def mask_environment(events: DataFrame, policy: EnvPolicy) -> DataFrame:
-    """Drops, hashes or keeps every variable, inside the row: no shuffle."""
-    return events.withColumn("env", policy.masked(F.col("env")))
+def mask_environment(events: DataFrame, policy: EnvPolicy, keep_hashed: bool = False) -> DataFrame:
+    """Drops, hashes or keeps every variable, inside the row: no shuffle. ``keep_hashed`` leaves hashed values as they are."""
+    return events.withColumn("env", policy.masked(F.col("env"), keep_hashed))
 
 
 def mask_simple(events: DataFrame) -> DataFrame:

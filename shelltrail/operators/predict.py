@@ -7,17 +7,18 @@ from dataclasses import dataclass
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelltrail.functions.text import char_ngrams, command_name, is_blank, shell_words, word_ngrams, words
 from shelltrail.operators.sequence import BY, newest_first, next_command, scan_cap
-from shelltrail.operators.usage import count_rows, command_name_frequency, time_unit, time_weights
+from shelltrail.operators.usage import count_rows, command_name_frequency, time_unit
 from shelltrail.plans.ordered import DEFAULT_CUTS, Cuts
 from shelltrail.plans.top import first_per_key
 from shelltrail.schema import with_user
-from shelltrail.session import scratch_path
+from shelltrail.session import Folder, scratch_path
 
-OTHER = "OTHER"
+#: More labels than this are refused, unless the caller asks for the most frequent ones only.
+MOST_CLASSES = 10_000
 
 
 def ngram_vocabulary(rows: DataFrame, size: int = 200, column: str = "command") -> DataFrame:
@@ -54,6 +55,13 @@ def with_parts(events: DataFrame) -> DataFrame:
     )
 
 
+def _shares(counts: list[tuple]) -> list[tuple]:
+    total, found = sum(n for _, n in counts), {}
+    for unit, n in counts:
+        found[unit] = found.get(unit, 0) + n
+    return [(unit, n / total) for unit, n in sorted(found.items())]
+
+
 @dataclass
 class CommandFeatures:
     """Fitted feature tables. All of them are small whatever the size of the log:
@@ -67,10 +75,13 @@ class CommandFeatures:
     @staticmethod
     def fit(events: DataFrame, vocabulary_size: int = 200, common_size: int = 100) -> CommandFeatures:
         commands = _commands(events)
+        # At most 168 rows, which give the shares of both units.
+        timed = commands.groupBy(time_unit("hour").alias("hour"), time_unit("weekday").alias("weekday")).agg(count_rows().alias("n"))
+        counted = [(row["hour"], row["weekday"], row["n"]) for row in timed.collect()]
         return CommandFeatures(
             vocabulary=[row["ngram"] for row in ngram_vocabulary(commands, vocabulary_size).collect()],
-            hours=[tuple(row) for row in time_weights(commands, "hour").collect()],
-            weekdays=[tuple(row) for row in time_weights(commands, "weekday").collect()],
+            hours=_shares([(hour, n) for hour, _, n in counted]),
+            weekdays=_shares([(weekday, n) for _, weekday, n in counted]),
             common=[row["command_name"] for row in command_name_frequency(commands, common_size).collect()],
         )
 
@@ -97,29 +108,31 @@ class CommandFeatures:
 
 @dataclass
 class NextCommandModel:
+    """``labels`` are commands; a row beyond them has the class after the last, which has no name."""
+
     features: CommandFeatures
     labels: list[str]
     forest: RandomForestClassificationModel
     accuracy: float | None
+    train_rows: int
+    test_rows: int
 
 
-def _written(rows: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+def _indexed(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """Adds ``label``; commands that are not among the labels get the number after the last."""
+    return StringIndexerModel.from_labels(labels, "next_cmd", "label", handleInvalid="keep").transform(rows)
 
 
-def _indexed(rows: DataFrame, labels: list[str]) -> DataFrame:
-    known = F.when(F.col("next_cmd").isin(*labels[:-1]), F.col("next_cmd")).otherwise(OTHER)
-    indexer = StringIndexerModel.from_labels(labels, "_label", "label", handleInvalid="keep")
-    return indexer.transform(rows.withColumn("_label", known))
+def is_training_row() -> Column:
+    """Four fifths of the rows, by their id, so that the split survives a retry. Neighbouring ids are spread."""
+    return F.pmod(F.pmod(F.col("event_id"), F.lit(1_000_003)) * 7919, F.lit(1000)) < 800
 
 
 def train_next_command(
     events: DataFrame,
     trees: int = 100,
     max_depth: int = 30,
-    max_classes: int = 200,
+    max_classes: int | None = None,
     seed: int = 42,
     by: list[str] = BY,
     max_commands: int | None = None,
@@ -127,43 +140,54 @@ def train_next_command(
 ) -> NextCommandModel:
     """Learns from the successful history; the label is the next whole command.
 
-    A fleet has more distinct commands than a forest has use for, so labels
-    beyond the ``max_classes`` most frequent are one class. Four fifths of the
-    rows, chosen by their id, are for training, and the rest gives the accuracy.
+    With ``max_classes`` only the most frequent commands are labels, and all
+    others one class that is never offered and never a hit. Training rows give
+    the forest, the others its accuracy.
     """
+    spark = events.sparkSession
     good = events.where(F.col("return_code") == 0)
     if max_commands is not None:
         good = scan_cap(good, max_commands)
-    # Written in between: many passes follow, and after a lost executor they must see the same rows.
-    times = ["event_id", "command", "ingest_timestamp", "end_timestamp"]
-    good = _written((with_user(good) if "user" in by else good).select(*times, *by), "successful")
-    features = CommandFeatures.fit(good)
-    labelled = _written(next_command(good, by, cuts).select(*times, "next_cmd"), "labelled")
-    top = labelled.groupBy("next_cmd").agg(count_rows().alias("n")).orderBy(F.desc("n"), "next_cmd").limit(max_classes)
-    labels = [row["next_cmd"] for row in top.collect()] + [OTHER]
-    prepared = _written(
-        features.transform(_indexed(labelled, labels)).select("event_id", "features", "label", "_label", "next_cmd"),
-        "training",
-    )
-    part = F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(100))
-    train, test = prepared.where(part < 80), prepared.where(part >= 80)
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, seed=seed, featuresCol="features", labelCol="label", maxMemoryInMB=1024
-    ).fit(train)
-    return NextCommandModel(features, labels, forest, evaluate_accuracy(forest, test))
+    paths: list[str] = []
+
+    def written(rows: DataFrame, label: str) -> DataFrame:
+        # In between: many passes follow, and after a lost executor they must see the same rows.
+        paths.append(scratch_path(spark, label))
+        rows.write.parquet(paths[-1])
+        return spark.read.parquet(paths[-1])
+
+    try:
+        times = ["event_id", "command", "ingest_timestamp", "end_timestamp"]
+        good = written((with_user(good) if "user" in by else good).select(*times, *by), "successful")
+        features = CommandFeatures.fit(good)
+        labelled = written(next_command(good, by, cuts).select(*times, "next_cmd"), "labelled")
+        counted = labelled.groupBy("next_cmd").agg(count_rows().alias("n")).orderBy(F.desc("n"), "next_cmd")
+        labels = [row["next_cmd"] for row in counted.limit(max_classes or MOST_CLASSES + 1).collect()]
+        if max_classes is None and len(labels) > MOST_CLASSES:
+            raise ValueError(f"more than {MOST_CLASSES} different commands; pass max_classes")
+        prepared = written(
+            features.transform(_indexed(labelled, labels)).select("event_id", "features", "label", (F.col("label") < len(labels)).alias("known")),
+            "training",
+        )
+        train, test = prepared.where(is_training_row()), prepared.where(~is_training_row())
+        forest = RandomForestClassifier(
+            numTrees=trees, maxDepth=max_depth, seed=seed, featuresCol="features", labelCol="label", maxMemoryInMB=1024
+        ).fit(train)
+        return NextCommandModel(features, labels, forest, evaluate_accuracy(forest, test), train.count(), test.count())
+    finally:
+        for path in paths:
+            Folder(spark, path).delete()
 
 
 def evaluate_accuracy(forest: RandomForestClassificationModel, test: DataFrame) -> float | None:
-    """The share of exact matches; a label that training never saw counts as an error."""
-    scored = forest.transform(test).withColumn(
-        "label", F.when(F.col("next_cmd") == F.col("_label"), F.col("label")).otherwise(-1.0)
-    )
-    return scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+    """The share of exact matches; a command that is no label counts as an error."""
+    hit = F.col("known") & (F.col("label") == F.col("prediction"))
+    return forest.transform(test).agg(F.avg(hit.cast("double"))).first()[0]
 
 
 def top_k_probabilities(predicted: DataFrame, labels: list[str], keys: list[str], k: int = 5) -> DataFrame:
-    """The ``k`` most probable labels per row, best first. There are at most as many entries as classes."""
-    names = F.array(*[F.lit(name) for name in labels])
+    """The ``k`` most probable labels per row, best first. The class without a name is never among them."""
+    names = F.array(*[F.lit(name) for name in labels], F.lit(None).cast("string"))
     pairs = F.zip_with(
         vector_to_array("probability"),
         names,

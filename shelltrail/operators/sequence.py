@@ -104,15 +104,18 @@ def _cwd(cwd_key: str) -> Column:
 def command_records(
     events: DataFrame, by: list[str] = BY, cwd_key: str = "OLDPWD", as_of=None, cuts: Cuts = DEFAULT_CUTS
 ) -> DataFrame:
-    """One feature row per command: name, arguments, hour, weekday, predecessor, directory, outcome."""
+    """One feature row per command: name, arguments, hour, weekday, predecessor, directory, outcome.
+
+    A command whose time is unreadable has the hour and weekday of ``as_of``.
+    """
     rows = parse_commands(previous_command(events, by, cuts))
     return rows.select(
         "event_id",
         "command",
         "command_name",
         "num_args",
-        time_unit("hour").alias("hour"),
-        time_unit("weekday").alias("weekday"),
+        time_unit("hour", as_of).alias("hour"),
+        time_unit("weekday", as_of).alias("weekday"),
         "previous_cmd",
         _cwd(cwd_key).alias("cwd"),
         F.coalesce("return_code", F.lit(0)).alias("return_code"),

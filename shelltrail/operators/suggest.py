@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelltrail.functions.policy import EnvPolicy
@@ -9,7 +12,8 @@ from shelltrail.functions.times import age_hours
 from shelltrail.operators.policy import env_entries
 from shelltrail.plans.top import first_per_key
 
-# The weight of a matching variable, and the names that are left out of the score.
+# The weight of a matching variable, the names that are left out of the score, the
+# points for a use within so many days, and the words of a reason.
 BOOSTS = {
     3.0: ["NODE_ENV", "RAILS_ENV", "ENVIRONMENT", "AWS_PROFILE", "KUBERNETES_NAMESPACE"],
     2.0: ["USER", "HOME", "SHELL"],
@@ -17,6 +21,8 @@ BOOSTS = {
 DEFAULT_BOOST = 1.5
 SKIPPED_PARTS = ["HIST", "LESS", "LS_COLORS", "TERM", "PWD", "_"]
 RECENCY = [(1, 2.0), (7, 1.0), (30, 0.5)]
+WORKFLOWS = [(["git"], "git workflow"), (["docker"], "docker operations"), (["kubectl", "k8s"], "kubernetes")]
+SIMILAR = "similar directory"
 
 
 def is_scored(key: str, key_mode: str = "literal") -> bool:
@@ -99,13 +105,50 @@ def match_weights(events: DataFrame, pwd: str, scored: dict[str, str]) -> DataFr
     return events.agg(*counts).select(F.array(*names).alias("weights"))
 
 
+DIRECTORY = "directory"
+
+
+def match_statistics(events: DataFrame, key_mode: str = "literal") -> DataFrame:
+    """day, kind, key, value, n: per day the events of each directory and of each scored variable's value.
+
+    Days add up, so a job that keeps the table counts the new day only. Kind ``directory`` has no key. An event without
+    a time is in the null day.
+    """
+    dated = events.withColumn("day", F.to_date("start_timestamp"))
+    places = dated.where(F.col("pwd").isNotNull()).select("day", F.lit(DIRECTORY).alias("kind"), F.lit("").alias("key"), F.col("pwd").alias("value"))
+    entries = dated.select("day", F.lit("variable").alias("kind"), F.explode("env").alias("key", "value"))
+    scored = entries.where(scored_column(F.col("key"), key_mode) & F.col("value").isNotNull())
+    return places.unionByName(scored).groupBy("day", "kind", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kept_weights(statistics: DataFrame, pwd: str, scored: dict[str, str]) -> DataFrame:
+    """The row of ``match_weights`` from a table of ``match_statistics`` instead of the log."""
+    n = F.col("n")
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    place = F.col("kind") == DIRECTORY
+    weights = [rarity(total(place), total(place & (F.col("value") == pwd)))]
+    for key, value in scored.items():
+        own = ~place & (F.col("key") == key)
+        weights.append(rarity(total(own), total(own & (F.col("value") == value))))
+    return statistics.agg(F.array(*weights).alias("weights"))
+
+
 def context_score(
-    events: DataFrame, pwd: str, env: dict[str, str], key_mode: str = "literal", scoring: str = "bm25"
+    events: DataFrame,
+    pwd: str,
+    env: dict[str, str],
+    key_mode: str = "literal",
+    scoring: str = "bm25",
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Successful events of the directory with their ``score`` for the context.
 
     ``bm25`` weighs each match by how rare it is in the log and adds the constant
-    share of the two required clauses; ``boost`` is the plain sum of boosts.
+    share of the two required clauses; ``boost`` is the plain sum of boosts. With
+    ``statistics`` (of the same key mode) the log is only read for the directory.
     """
     scored = {key: env[key] for key in sorted(env) if is_scored(key, key_mode)}
     hits = events.where((F.col("pwd") == pwd) & (F.col("return_code") == 0))
@@ -114,7 +157,8 @@ def context_score(
         return hits.withColumn("score", settled(_sum(parts, F.lit(0.0))))
     if scoring != "bm25":
         raise ValueError(f"unknown scoring: {scoring}")
-    weighted = hits.withColumn("_weights", match_weights(events, pwd, scored).scalar())
+    weights = match_weights(events, pwd, scored) if statistics is None else kept_weights(statistics, pwd, scored)
+    weighted = hits.withColumn("_weights", weights.scalar())
     parts = [
         F.when(_equals(key, value), F.col("_weights")[i + 1] * boost(key)).otherwise(0.0)
         for i, (key, value) in enumerate(scored.items())
@@ -124,15 +168,9 @@ def context_score(
 
 def reason(matches: Column) -> Column:
     """Why a command is suggested."""
-    command = F.col("command")
-    parts = F.concat_ws(
-        ", ",
-        F.when(matches > 0, F.concat(matches.cast("string"), F.lit(" env vars match"))),
-        F.when(command.contains("git"), "git workflow"),
-        F.when(command.contains("docker"), "docker operations"),
-        F.when(command.contains("kubectl") | command.contains("k8s"), "kubernetes"),
-    )
-    return F.when(parts == "", "similar directory").otherwise(parts)
+    workflows = [F.when(reduce(or_, [F.col("command").contains(word) for word in words]), text) for words, text in WORKFLOWS]
+    parts = F.concat_ws(", ", F.when(matches > 0, F.concat(matches.cast("string"), F.lit(" env vars match"))), *workflows)
+    return F.when(parts == "", SIMILAR).otherwise(parts)
 
 
 def recency_score(last_used: Column, as_of) -> Column:
@@ -172,18 +210,22 @@ def suggest_commands(
     as_of,
     key_mode: str = "literal",
     scoring: str = "bm25",
-    count_all_hits: bool = False,
+    best_hits: int | None = None,
+    mask: EnvPolicy | None = None,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``limit`` commands for one context.
 
-    Frequencies count within the ``2 * limit`` best hits, or on request within all
-    hits of the directory.
+    Frequency and last use count within all hits of the directory, or within the
+    ``best_hits`` best of them. ``mask`` is the policy that the log was stored
+    under, so that hashed variables can match.
     """
+    env = masked_context(mask, env, events.sparkSession) if mask else env
     shared = _sum([_equals(key, value).cast("int") for key, value in sorted(env.items())], F.lit(0))
-    hits = context_score(events, pwd, env, key_mode, scoring).select(
+    hits = context_score(events, pwd, env, key_mode, scoring, statistics).select(
         "event_id", "command", "start_timestamp", "score", reason(shared).alias("context")
     )
-    if count_all_hits:
+    if best_hits is None:
         # Every hit counts, so the order within a command stands in for the overall rank.
         ordered = hits.withColumn("hit", F.struct(-F.col("score"), -F.unix_micros("start_timestamp"), "event_id"))
         used = ordered.groupBy("command").agg(
@@ -195,7 +237,7 @@ def suggest_commands(
         final = F.col("_score") + F.col("frequency") * 0.1 + recency_score(F.col("last_used"), as_of)
         suggestions = used.withColumn("score", settled(final))
     else:
-        best = hits.orderBy(*hit_order()).limit(2 * limit)
+        best = hits.orderBy(*hit_order()).limit(best_hits)
         suggestions = command_usage(hit_rank(best), [], as_of)
     return (
         suggestions.withColumn("directory", F.lit(pwd))
@@ -214,35 +256,53 @@ def masked_context(policy: EnvPolicy, env: dict[str, str], spark) -> dict[str, s
 
 
 def suggest_commands_bulk(
-    events: DataFrame, contexts: DataFrame, limit: int, as_of, key_mode: str = "literal", scoring: str = "bm25"
+    events: DataFrame,
+    contexts: DataFrame,
+    limit: int,
+    as_of,
+    key_mode: str = "literal",
+    scoring: str = "bm25",
+    best_hits: int | None = None,
+    mask: EnvPolicy | None = None,
 ) -> DataFrame:
-    """Suggestions for many contexts (context_id, pwd, env) at once.
+    """Suggestions for many contexts (context_id, pwd, env) at once, each as ``suggest_commands`` gives them.
 
-    All events of a directory whose context variables are equal score the same
-    in every context, so only their ``2 * limit`` newest can ever be a hit. They
-    are cut to those before contexts and events meet on the directory; equal
-    contexts are answered once.
+    Events of a directory whose scored variables are equal score the same in
+    every context. So before contexts and events meet on the directory, they are
+    counted per such profile and command, or with ``best_hits`` cut to as many of
+    each profile. Equal contexts are answered once; a context without an
+    environment has an empty one.
     """
-    names = contexts.select(F.explode(F.map_keys("env")).alias("key")).agg(F.collect_set("key")).scalar()
-    asked = contexts.where(F.col("env").isNotNull()).withColumn("_ask", F.to_json(_sorted_entries(F.col("env"))))
+    no_env = F.create_map().cast("map<string,string>")
+    env = F.coalesce(mask.masked(F.col("env")) if mask else F.col("env"), no_env)
+    asked = contexts.withColumn("env", env).withColumn("_ask", F.to_json(_sorted_entries(F.col("env"))))
     weighted = _weighted_contexts(events, asked, key_mode, scoring)
 
-    seen = F.map_filter("env", lambda key, _: F.array_contains(F.col("_names"), key))
+    scored = F.map_filter("_seen", lambda key, _: scored_column(key, key_mode))
     profiled = (
         events.where(F.col("return_code") == 0)
         .join(asked.select("pwd").distinct(), "pwd", "left_semi")
-        .withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
-        .withColumn("_seen", F.coalesce(seen, F.create_map().cast("map<string,string>")))
-        .withColumn("_profile", F.to_json(_sorted_entries(F.col("_seen"))))
+        .withColumn("_seen", F.coalesce("env", no_env))
+        .withColumn("_profile", F.to_json(_sorted_entries(scored)))
         .select("event_id", "command", "start_timestamp", "pwd", "_seen", "_profile")
     )
-    newest = [F.desc("start_timestamp"), F.asc("event_id")]
-    candidates = first_per_key(profiled, ["pwd", "_profile"], newest, 2 * limit, "event_id").drop("_profile")
+    newest_first = [F.desc("start_timestamp"), F.asc("event_id")]
+    if best_hits is None:
+        latest = F.struct("start_timestamp", -F.col("event_id"))
+        candidates = profiled.groupBy("pwd", "_profile", "command").agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.max_by("event_id", latest).alias("event_id"),
+            F.max("start_timestamp").alias("start_timestamp"),
+            F.max_by("_seen", latest).alias("_seen"),
+        )
+    else:
+        candidates = first_per_key(profiled, ["pwd", "_profile"], newest_first, best_hits, "event_id").withColumn("_n", F.lit(1))
 
     matched = F.filter("_clauses", lambda clause: F.col("_seen")[clause["key"]] == clause["value"])
     total = F.aggregate("_matched", F.col("_base"), lambda sum, clause: sum + clause["weight"])
     hits = (
-        candidates.join(weighted, "pwd")
+        candidates.drop("_profile")
+        .join(weighted, "pwd")
         .withColumn("_matched", matched)
         .select(
             "pwd",
@@ -250,18 +310,28 @@ def suggest_commands_bulk(
             "event_id",
             "command",
             "start_timestamp",
+            "_n",
             settled(total).alias("score"),
             reason(F.size("_matched")).alias("context"),
         )
     )
-    best = first_per_key(hits, ["pwd", "_ask"], hit_order(), 2 * limit, "event_id", rank="hit")
-    used = command_usage(best, ["pwd", "_ask"], as_of)
-    final = first_per_key(
-        used, ["pwd", "_ask"], [F.desc("score"), F.asc("command")], limit, "command", rank="place"
-    )
+    keys = ["pwd", "_ask"]
+    if best_hits is None:
+        hit = F.struct(-F.col("score"), -F.unix_micros("start_timestamp"), "event_id")
+        used = hits.groupBy(*keys, "command").agg(
+            F.sum("_n").alias("frequency"),
+            F.max("start_timestamp").alias("last_used"),
+            F.max_by("score", F.struct("start_timestamp", "score", -F.col("event_id"))).alias("_score"),
+            F.min_by("context", hit).alias("context"),
+        )
+        final = F.col("_score") + F.col("frequency") * 0.1 + recency_score(F.col("last_used"), as_of)
+        used = used.withColumn("score", settled(final)).drop("_score")
+    else:
+        used = command_usage(first_per_key(hits, keys, hit_order(), best_hits, "event_id", rank="hit"), keys, as_of)
+    best = first_per_key(used, keys, [F.desc("score"), F.asc("command")], limit, "command", rank="place")
     return (
         asked.select("context_id", "pwd", "_ask")
-        .join(final, ["pwd", "_ask"])
+        .join(best, keys)
         .select("context_id", "place", "command", "score", "frequency", "last_used", F.col("pwd").alias("directory"), "context")
     )
 
@@ -276,7 +346,7 @@ def _weighted_contexts(events: DataFrame, asked: DataFrame, key_mode: str, scori
     clauses = distinct.select("pwd", "_ask", F.explode_outer("_wanted").alias("key", "value"))
     boosted = F.when(scored_column(F.col("key"), key_mode), boost_column(F.col("key"))).otherwise(0.0)
     if scoring == "bm25":
-        weighed = clauses.join(_entry_rarity(events, asked), ["key", "value"], "left")
+        weighed = clauses.join(_entry_rarity(events, asked, key_mode), ["key", "value"], "left")
         weight = boosted * F.coalesce("_rarity", F.lit(0.0))
     else:
         weighed, weight = clauses, boosted
@@ -289,13 +359,13 @@ def _weighted_contexts(events: DataFrame, asked: DataFrame, key_mode: str, scori
     return listed.withColumn("_base", F.lit(0.0))
 
 
-def _entry_rarity(events: DataFrame, contexts: DataFrame) -> DataFrame:
-    """The rarity of each (key, value) that any context asks for."""
-    wanted = contexts.select(F.explode("env").alias("key", "value")).distinct()
-    per_value = (
-        env_entries(events).groupBy("key", "value").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    per_key = per_value.groupBy("key").agg(F.sum("_n").alias("_total"))
+def _entry_rarity(events: DataFrame, contexts: DataFrame, key_mode: str) -> DataFrame:
+    """The rarity of each scored (key, value) that any context asks for. Other values are dropped before any shuffle
+    that the plan can spare."""
+    wanted = contexts.select(F.explode("env").alias("key", "value")).where(scored_column(F.col("key"), key_mode)).distinct()
+    entries = env_entries(events).where(scored_column(F.col("key"), key_mode))
+    per_value = entries.join(wanted, ["key", "value"], "left_semi").groupBy("key", "value").agg(F.count(F.lit(1)).alias("_n"))
+    per_key = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_total"))
     return (
         wanted.join(per_value, ["key", "value"], "left")
         .join(per_key, "key", "left")

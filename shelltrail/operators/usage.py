@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelltrail.functions.text import command_name, is_blank
+from shelltrail.functions.times import moment
 from shelltrail.operators.filters import filter_time_range, has_hashed_env
 from shelltrail.schema import event_time
 
@@ -22,10 +23,11 @@ def commands_over_time(events: DataFrame, interval: str = "1 hour") -> DataFrame
     return counted.select(F.col("_w.start").alias("bucket"), "n")
 
 
-def top_commands(events: DataFrame, n: int = 10, longest: int = 1024) -> DataFrame:
-    """Whole command texts by count; texts beyond the keyword limit are not countable."""
+def top_commands(events: DataFrame, n: int = 10, longest: int | None = None) -> DataFrame:
+    """Whole command texts by count; with ``longest`` texts beyond that many characters are left out."""
+    counted = events.where(F.col("command").isNotNull())
     return (
-        events.where(F.length("command") <= longest)
+        (counted if longest is None else counted.where(F.length("command") <= longest))
         .groupBy("command")
         .agg(count_rows().alias("n"))
         .orderBy(F.desc("n"), "command")
@@ -51,10 +53,10 @@ def command_name_frequency(events: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
-def time_unit(unit: str) -> Column:
-    """Hour 0-23 or weekday with Monday as 0; an event without a time counts as 0."""
-    part = {"hour": F.hour, "weekday": F.weekday}[unit](event_time())
-    return F.coalesce(part, F.lit(0))
+def time_unit(unit: str, as_of=None) -> Column:
+    """Hour 0-23 or weekday with Monday as 0; an event without a time counts as one of ``as_of``, or else as 0."""
+    at = event_time() if as_of is None else F.coalesce(event_time(), moment(as_of))
+    return F.coalesce({"hour": F.hour, "weekday": F.weekday}[unit](at), F.lit(0))
 
 
 def time_weights(events: DataFrame, unit: str) -> DataFrame:
@@ -72,8 +74,8 @@ def share_within(pairs: DataFrame, given: str, name: str = "probability") -> Dat
     return pairs.join(totals, given).withColumn(name, F.col("n") / F.col("_total")).drop("_total")
 
 
-def env_field_usage(events: DataFrame, hours: int, as_of, size: int | None = 1000) -> DataFrame:
-    """Environment variables used lately with their events: the ``size`` most used, or all of them."""
+def env_field_usage(events: DataFrame, hours: int, as_of, size: int | None = None) -> DataFrame:
+    """Environment variables used lately with their events: all of them, or the ``size`` most used."""
     recent = filter_time_range(events, hours, as_of)
     used = (
         recent.select(F.explode(F.map_keys("env")).alias("key")).groupBy("key").agg(count_rows().alias("n_events"))

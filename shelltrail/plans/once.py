@@ -1,4 +1,4 @@
-"""Keeping expensive work from being done twice, or on too few cores."""
+"""Keeping expensive work from being done twice."""
 
 from __future__ import annotations
 
@@ -14,9 +14,3 @@ def worked_out(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     made = F.struct(*[column.alias(name) for name, column in columns.items()])
     return rows.select("*", F.inline_outer(F.array(made)))
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Gives every core a share of a table that lies in fewer pieces than there are cores. Larger tables stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)

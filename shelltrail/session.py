@@ -33,6 +33,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "shellt
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.streaming.metricsEnabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -57,3 +58,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+class Folder:
+    """A folder in whatever store its path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.store = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        return [entry.getPath().getName() for entry in self.store.listStatus(self.path)] if self.store.exists(self.path) else []
+
+    def has(self, name: str) -> bool:
+        return self.store.exists(self.path.suffix(f"/{name}"))
+
+    def delete(self) -> None:
+        self.store.delete(self.path, True)

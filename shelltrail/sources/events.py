@@ -31,12 +31,14 @@ def from_wire(rows: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read_events(spark: SparkSession, paths: str | list[str], format: str = "json") -> DataFrame:
-    """Several paths, or patterns, are read as one log. Unknown fields are ignored, malformed ones nulled."""
+    """Several paths, or patterns, are read as one log. Unknown fields are ignored, malformed ones nulled, and a line
+    that is not a JSON object is no event."""
     reader = prepare(spark).read
     paths = [paths] if isinstance(paths, str) else list(paths)
     if format == "parquet":
         return reader.parquet(*paths)
-    return from_wire(reader.schema(WIRE_SCHEMA).json(paths))
+    good, _ = split_valid_invalid(reader.text(paths))
+    return parse_lines(good)
 
 
 def union_logs(logs: list[DataFrame]) -> DataFrame:
@@ -46,10 +48,13 @@ def union_logs(logs: list[DataFrame]) -> DataFrame:
 
 def stream_events(spark: SparkSession, path: str, format: str = "json", max_files: int | None = None) -> DataFrame:
     """The same events as they arrive in a folder."""
-    reader = prepare(spark).readStream.schema(WIRE_SCHEMA if format == "json" else EVENT_SCHEMA)
+    reader = prepare(spark).readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return from_wire(reader.json(path)) if format == "json" else reader.parquet(path)
+    if format == "parquet":
+        return reader.schema(EVENT_SCHEMA).parquet(path)
+    good, _ = split_valid_invalid(reader.text(path))
+    return parse_lines(good)
 
 
 def parse_lines(lines: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:

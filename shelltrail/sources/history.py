@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from shelltrail.functions.policy import EnvPolicy
-from shelltrail.session import prepare
+from shelltrail.session import Folder, prepare, scratch_path
 from shelltrail.sources.events import line_status
 
 DAY = "event_date"
@@ -15,21 +15,52 @@ def with_day(events: DataFrame) -> DataFrame:
     return events.withColumn(DAY, F.to_date("start_timestamp"))
 
 
-def write_history(events: DataFrame, path: str, mode: str = "append", promote: tuple[str, ...] = ()) -> None:
+def write_history(
+    events: DataFrame, path: str, mode: str = "append", promote: tuple[str, ...] = (), only_days: bool = False
+) -> None:
     """Files are balanced per day: small days share a task, a large day is split over several.
 
     Rows are sorted by directory inside a file, so that a directory's history
     is found by the file statistics. Variables in ``promote`` get a column of
-    their own (``env_NAME``), on which filters reach the scan.
+    their own (``env_NAME``), on which filters reach the scan. With ``only_days``
+    an overwrite replaces the days that the events have, and no others.
     """
     dated = with_day(events).withColumns({f"env_{name}": F.col("env")[name] for name in promote})
-    dated.hint("rebalance", DAY).sortWithinPartitions(DAY, "pwd").write.mode(mode).partitionBy(DAY).parquet(path)
+    writer = dated.hint("rebalance", DAY).sortWithinPartitions(DAY, "pwd").write.mode(mode).partitionBy(DAY)
+    writer.option("partitionOverwriteMode", "dynamic" if only_days else "static").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return prepare(spark).read.parquet(path)
 
 
+def compact_days(spark: SparkSession, streamed: str, path: str, before: str, promote: tuple[str, ...] = ()) -> list:
+    """Moves the days before ``before`` from a streamed archive (a folder per day and micro-batch) into the history.
+
+    What the history holds of those days, from an earlier run or for late events, is merged by event id, so a run that
+    broke off is simply run again. Returns the days, which are all that the driver sees.
+    """
+    old = prepare(spark).read.option("basePath", streamed).parquet(streamed).where(F.col(DAY) < F.lit(before).cast("date"))
+    days = [row[0] for row in old.select(DAY).distinct().collect()]
+    if not days:
+        return []
+    events = old.drop("batch", DAY)
+    if any(name.startswith(DAY) for name in Folder(spark, path).names()):
+        kept = read_history(spark, path).where(F.col(DAY).isin(*days))
+        events = events.unionByName(kept.select(*events.columns))
+    staged = scratch_path(spark, "compact")
+    once = events.groupBy("event_id").agg(F.any_value(F.struct(*events.columns)).alias("_e")).select("_e.*")
+    try:
+        once.write.parquet(staged)
+        dated = spark.read.parquet(staged)
+        write_history(dated, path, "overwrite", promote, only_days=True)
+    finally:
+        Folder(spark, staged).delete()
+    for day in days:
+        Folder(spark, f"{streamed}/{DAY}={day}").delete()
+    return sorted(days)
+
+
 def rewrite_history(events: DataFrame, policy: EnvPolicy, out: str | None = None) -> DataFrame:
     """Old events under the current policy; values that are hashed already stay as they are.
 

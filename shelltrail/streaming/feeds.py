@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shelltrail.functions.policy import EnvPolicy
 from shelltrail.operators.filters import WIRE_NAMES, as_on_wire, filter_subscription
@@ -15,6 +14,7 @@ from shelltrail.operators.policy import mask_environment
 from shelltrail.plans.once import worked_out
 from shelltrail.plans.top import first_per_key
 from shelltrail.schema import ACTOR, with_user
+from shelltrail.session import Folder
 from shelltrail.sources.events import line_status, parse_lines
 from shelltrail.sources.history import DAY, with_day
 
@@ -86,6 +86,7 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Validates raw lines, archives the events under the policy and then publishes them.
 
+    Lines that the capture side has masked already keep their hashed values.
     Publishing starts when the archive holds the batch, and reads it from there.
     A failure in between replays the batch: subscribers see it at least once.
     """
@@ -94,7 +95,7 @@ def ingest_stream(
     def archive(frame: DataFrame, number: int) -> None:
         good = parse_lines(frame.where(F.col("_status") == "valid"), carried)
         archived = Observation()
-        _archive(mask_environment(good, policy).observe(archived, F.count(F.lit(1)).alias("n")), path, number)
+        _archive(mask_environment(good, policy, keep_hashed=True).observe(archived, F.count(F.lit(1)).alias("n")), path, number)
         if quarantine:
             frame.where(F.col("_status") == "invalid").drop("_status").withColumn("batch", F.lit(number)).write.mode(
                 "overwrite"
@@ -119,79 +120,51 @@ def ingest_stream(
     )
 
 
-class LastEvents(StatefulProcessor):
-    """Keeps the last n events of a key; gives them back whenever the key has news."""
+RECENT = ["event_id", "start_timestamp", "command", "return_code", "pwd"]
 
-    def __init__(self, n: int, columns: list[str], schema: str):
-        self.n, self.columns, self.schema = n, columns, schema
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", self.schema)
+def recent_events_stream(
+    stream: DataFrame, path: str, checkpoint: str, n: int = 20, by: list[str] = BY, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keeps the last ``n`` events per key of a stream as a table under ``path``; ``latest_lists`` reads it.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [pd.DataFrame(list(self.kept.get()), columns=self.columns)] if self.kept.exists() else []
-        last = held[0] if held else None
-        for chunk in rows:
-            chunk = chunk[self.columns]
-            both = chunk if last is None else pd.concat([last, chunk], ignore_index=True)
-            last = both.sort_values(["start_us", "event_id"]).tail(self.n)
-        if last is None:
-            return
-        self.kept.put([tuple(_plain(value) for value in row) for row in last.itertuples(index=False)])
-        out = last.copy()
-        for position, value in enumerate(key):
-            out.insert(position, f"key_{position}", value)
-        yield out
+    A micro-batch is cut to ``n`` rows per key before its shuffle, joined with the
+    table that the batch before has left, and written as the next one. The table
+    has at most ``n`` narrow rows per key; of older ones the last two stay, so
+    that a replayed batch finds what it started from.
+    """
+    order = [F.desc("start_timestamp"), F.desc("event_id")]
 
-    def close(self) -> None:
-        pass
+    def batch(frame: DataFrame, number: int) -> None:
+        spark = frame.sparkSession
+        fresh = with_user(frame).select(*by, *RECENT)
+        before = [version for version in _versions(spark, path) if version < number]
+        known = fresh.unionByName(spark.read.schema(fresh.schema).parquet(_version(path, before[-1]))) if before else fresh
+        first_per_key(known, by, order, n, "event_id").write.mode("overwrite").parquet(_version(path, number))
+        for version in before[:-2]:
+            Folder(spark, _version(path, version)).delete()
 
+    return (
+        stream.writeStream.foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
 
-def _plain(value):
-    if value is None or value is pd.NaT:
-        return None
-    if isinstance(value, float) and value != value:
-        return None
-    return value.item() if hasattr(value, "item") else value
 
+def latest_lists(spark: SparkSession, path: str) -> DataFrame:
+    """The current last events per key that ``recent_events_stream`` keeps under ``path``."""
+    return spark.read.parquet(_version(path, _versions(spark, path)[-1]))
 
-def recent_events_stream(stream: DataFrame, n: int = 20, by: list[str] = BY, shards: int = 1) -> DataFrame:
-    """The last ``n`` events per key as a stream: each output is the whole current list of one key.
 
-    The state holds at most ``n`` narrow rows per key and shard. ``shards`` spreads
-    a key with very many events over several tasks; ``latest_lists`` joins the
-    shards again.
-    """
-    kept = ["event_id", "start_us", "command", "return_code", "pwd"]
-    state = "event_id long, start_us long, command string, return_code int, pwd string"
-    narrow = with_user(stream).select(
-        *by,
-        F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int").alias("shard"),
-        "event_id",
-        F.unix_micros("start_timestamp").alias("start_us"),
-        "command",
-        "return_code",
-        "pwd",
-    )
-    types = {field.name: field.dataType.simpleString() for field in narrow.schema.fields}
-    keys = [*by, "shard"]
-    out = ", ".join(f"key_{i} {types[name]}" for i, name in enumerate(keys)) + ", " + state
-    listed = narrow.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=LastEvents(n, kept, state),
-        outputStructType=out,
-        outputMode="Update",
-        timeMode="None",
-    )
-    renamed = listed.select(*[F.col(f"key_{i}").alias(name) for i, name in enumerate(keys)], *kept)
-    return renamed.withColumn("start_timestamp", F.timestamp_micros("start_us")).drop("start_us")
+def _version(path: str, number: int) -> str:
+    return f"{path}/version={number}"
 
 
-def latest_lists(outputs: DataFrame, n: int = 20, by: list[str] = BY) -> DataFrame:
-    """Stored outputs of ``recent_events_stream`` (with their ``batch``) to the current last ``n`` events per key."""
-    newest = outputs.groupBy(*by, "shard").agg(F.max("batch").alias("batch"))
-    current = outputs.join(newest, [*by, "shard", "batch"], "left_semi").drop("batch", "shard")
-    order = [F.desc("start_timestamp"), F.desc("event_id")]
-    return first_per_key(current, by, order, n, "event_id")
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions, oldest first."""
+    numbers = [int(name.partition("=")[2]) for name in Folder(spark, path).names() if name.startswith("version=")]
+    return sorted(number for number in numbers if Folder(spark, _version(path, number)).has("_SUCCESS"))
 
 
 def latest_directory_stream(stream: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -201,17 +174,54 @@ def latest_directory_stream(stream: DataFrame, by: list[str] = BY) -> DataFrame:
     return known.groupBy(*by).agg(newest.alias("_newest")).select(*by, "_newest.pwd", "_newest.start_timestamp")
 
 
-def commands_over_time_stream(stream: DataFrame, interval: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
-    """Live counts per interval. With a watermark closed intervals leave the state; events later than that are not counted."""
+def commands_over_time_stream(stream: DataFrame, interval: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Live counts per interval. The state is one row per interval that ever had an event, and late events are counted.
+
+    With ``late`` closed intervals leave the state; events later than that are then not counted.
+    """
     timed = stream.withWatermark("start_timestamp", late) if late else stream
     counted = timed.groupBy(F.window("start_timestamp", interval).alias("_w")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("_w.start").alias("bucket"), "n")
 
 
-def dedupe_stream(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Events that were delivered twice within the watermark pass once."""
-    return stream.withWatermark("start_timestamp", late).dropDuplicatesWithinWatermark(
-        ["hostname", "start_timestamp", "command"]
+#: What makes two deliveries the same event.
+IDENTITY = ["hostname", "user", "start_timestamp", "end_timestamp", "command"]
+
+
+def dedupe_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Archives a stream under ``path``, each event once, however late it or its second delivery comes.
+
+    A micro-batch is made distinct, and then held against the days of the archive
+    that its events fall on; so there is no state that grows, and nothing is too
+    late. A batch that is replayed replaces its own files. Null parts of an
+    identity are equal.
+    """
+
+    def batch(frame: DataFrame, number: int) -> None:
+        spark = frame.sparkSession
+        named = with_day(with_user(frame))
+        named = named.withColumn("_same", F.xxhash64(*IDENTITY)).withColumn("_same2", F.sha2(F.to_json(F.struct(*IDENTITY)), 256))
+        same = [DAY, "_same", "_same2"]
+        # The same row of equal ones in every run.
+        fresh = named.groupBy(*same).agg(F.min_by(F.struct(*frame.columns), "event_id").alias("_event"))
+        stored = fresh.select("_event.*", *same).schema
+        if any(name.startswith(f"{DAY}=") for name in Folder(spark, path).names()):
+            kept = spark.read.schema(StructType([*stored.fields, StructField("batch", LongType())])).parquet(path)
+            days = [row[0] for row in fresh.select(DAY).distinct().collect()]
+            dated = [day for day in days if day is not None]
+            here = F.col(DAY).isin(*dated) if dated else F.lit(False)
+            here = here | F.col(DAY).isNull() if len(dated) < len(days) else here
+            older = kept.where(here & (F.col("batch") != number)).select(*[F.col(c).alias(f"k{c}") for c in same])
+            on = [F.col(c).eqNullSafe(F.col(f"k{c}")) for c in same]
+            fresh = fresh.join(older, on, "left_anti")
+        rows = fresh.select("_event.*", *same).withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, "batch").parquet(path)
+
+    return (
+        stream.writeStream.foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "5 seconds"}))
+        .start()
     )
 
 

@@ -51,6 +51,16 @@ def test_read_events(spark, tmp_path):
     assert by_host[None]["end_timestamp"] is None and by_host["a"]["config_version"] == "1.0.0"
 
 
+def test_damaged_lines_are_no_events(spark, tmp_path):
+    lines = [json.dumps(EVENT), "not json", "[1]", "3", "", "null", json.dumps({**EVENT, "return_code": "xx"})]
+    (tmp_path / "bad.json").write_text("\n".join(lines) + "\n")
+    assert sorted(str(row["return_code"]) for row in source.read_events(spark, str(tmp_path)).collect()) == ["2", "None"]
+    stream = source.stream_events(spark, str(tmp_path))
+    running = stream.writeStream.format("memory").queryName("damaged").trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert spark.table("damaged").count() == 2
+
+
 def test_captures(spark):
     record = {"command": " ls ", "pwd": "/tmp", "start_timestamp": "2024-03-01T10:00:00Z"}
     env = ["CI=1", "CI=2", "no equals", "GIT_PAGER=", "GIT_EDITOR=a=b", "PS1=$", "BASH_X=1", "API_KEY=secret123"]

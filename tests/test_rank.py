@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelltrail.operators import directories, drift, filters, live, suggest
+from shelltrail.functions.policy import EnvPolicy
+from shelltrail.operators import directories, drift, filters, live, suggest, usage
+from shelltrail.operators.policy import mask_environment
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -30,14 +32,14 @@ def test_newest_score_and_best_context(make_events):
             {"command": "make", "pwd": "/p", "start_timestamp": "2024-01-20 12:00:00", "env": {"USER": "v"}},
         ]
     )
-    found = suggest.suggest_commands(events, "/p", {"USER": "u", "ENVIRONMENT": "p"}, 10, AS_OF, scoring="boost")
+    found = suggest.suggest_commands(events, "/p", {"USER": "u", "ENVIRONMENT": "p"}, 10, AS_OF, scoring="boost", best_hits=20)
     rows = [tuple(row)[:3] + (row["context"],) for row in found.collect()]
     assert rows == [
         ("git x", pytest.approx(0.0 + 0.2 + 2.0), 2, "2 env vars match, git workflow"),
         ("make", pytest.approx(0.1 + 0.5), 1, "similar directory"),
     ]
     whole = suggest.suggest_commands(
-        events, "/p", {"USER": "u", "ENVIRONMENT": "p"}, 10, AS_OF, scoring="boost", count_all_hits=True
+        events, "/p", {"USER": "u", "ENVIRONMENT": "p"}, 10, AS_OF, scoring="boost"
     )
     assert [tuple(row)[:3] for row in whole.collect()] == [row[:3] for row in rows]
 
@@ -46,10 +48,39 @@ def test_hits_are_cut_before_counting(make_events):
     events = make_events(
         [{"command": f"c{i % 2}", "pwd": "/p", "start_timestamp": f"2024-01-01 00:{i:02d}:00"} for i in range(10)]
     )
-    found = suggest.suggest_commands(events, "/p", {}, 2, AS_OF)
+    found = suggest.suggest_commands(events, "/p", {}, 2, AS_OF, best_hits=4)
     assert {row["command"]: row["frequency"] for row in found.collect()} == {"c0": 2, "c1": 2}
 
 
+def test_every_hit_counts_by_default(make_events):
+    events = make_events(
+        [{"command": f"c{i % 2}", "pwd": "/p", "start_timestamp": f"2024-01-01 00:{i:02d}:00"} for i in range(40)]
+    )
+    for limit in (1, 2):
+        found = suggest.suggest_commands(events, "/p", {}, limit, AS_OF)
+        assert {row["frequency"] for row in found.collect()} == {20}
+
+
+def test_hashed_variables_match_through_the_policy(spark, make_events):
+    policy = EnvPolicy()
+    stored = mask_environment(make_events([{"command": "x", "pwd": "/p", "start_timestamp": AS_OF, "env": {"API_KEY": "s"}}]), policy)
+    plain = suggest.suggest_commands(stored, "/p", {"API_KEY": "s"}, 1, AS_OF).first()["context"]
+    masked = suggest.suggest_commands(stored, "/p", {"API_KEY": "s"}, 1, AS_OF, mask=policy).first()["context"]
+    assert (plain, masked) == ("similar directory", "1 env vars match")
+    asked = spark.createDataFrame([(1, "/p", {"API_KEY": "s"})], "context_id int, pwd string, env map<string,string>")
+    assert suggest.suggest_commands_bulk(stored, asked, 1, AS_OF, mask=policy).first()["context"] == "1 env vars match"
+
+
+def test_kept_statistics_give_the_same_scores(make_events):
+    rows = [{"command": f"c{i % 3}", "pwd": f"/p{i % 2}", "start_timestamp": f"2024-01-{1 + i % 20:02d} 00:00:00", "env": {"USER": f"u{i % 4}", "X": str(i % 5)}} for i in range(60)]
+    events = make_events([*rows, {"command": "x", "pwd": None, "env": None}, {"command": "y", "pwd": "/p0", "env": {"USER": None}}])
+    first, second = events.where("event_id < 30"), events.where("event_id >= 30")
+    kept = suggest.match_statistics(first).unionByName(suggest.match_statistics(second))
+    for env in ({"USER": "u1", "X": "3", "NEW": "z"}, {}):
+        want = sorted(tuple(r) for r in suggest.context_score(events, "/p0", env).select("event_id", "score").collect())
+        assert sorted(tuple(r) for r in suggest.context_score(events, "/p0", env, statistics=kept).select("event_id", "score").collect()) == want
+
+
 def test_bulk_equals_one_by_one(spark, make_events):
     events = make_events(
         [
@@ -64,14 +95,14 @@ def test_bulk_equals_one_by_one(spark, make_events):
         ]
     )
     contexts = [(0, "/p0", {"USER": "u1", "ENVIRONMENT": "e0"}), (1, "/p1", {"USER": "u2", "X_Y": "5"}), (2, "/p0", {}),
-                (3, "/p0", {"USER": "u1", "ENVIRONMENT": "e0"}), (4, "/nowhere", {"USER": "u1"})]
+                (3, "/p0", {"USER": "u1", "ENVIRONMENT": "e0"}), (4, "/nowhere", {"USER": "u1"}), (5, "/p1", None)]
     frame = spark.createDataFrame(contexts, "context_id int, pwd string, env map<string,string>")
-    for scoring in ("bm25", "boost"):
-        bulk = suggest.suggest_commands_bulk(events, frame, 3, AS_OF, scoring=scoring).orderBy("context_id", "place")
+    for scoring, best_hits in (("bm25", 6), ("boost", 6), ("bm25", None)):
+        bulk = suggest.suggest_commands_bulk(events, frame, 3, AS_OF, scoring=scoring, best_hits=best_hits).orderBy("context_id", "place")
         got = [(r["context_id"], r["command"], r["score"], r["frequency"], r["context"]) for r in bulk.collect()]
         want = []
         for number, pwd, env in contexts:
-            single = suggest.suggest_commands(events, pwd, env, 3, AS_OF, scoring=scoring)
+            single = suggest.suggest_commands(events, pwd, env or {}, 3, AS_OF, scoring=scoring, best_hits=best_hits)
             want += [(number, r["command"], r["score"], r["frequency"], r["context"]) for r in single.collect()]
         assert [row[:2] + row[3:] for row in got] == [row[:2] + row[3:] for row in want]
         assert [row[2] for row in got] == pytest.approx([row[2] for row in want])
@@ -168,6 +199,20 @@ def test_outcome_filters(make_events):
     assert [r["command"] for r in filters.failed_commands(events).collect()] == ["1", "None"]
 
 
+def test_all_variables_are_counted(spark, make_events):
+    events = make_events([{"command": "x", "start_timestamp": AS_OF, "env": {f"V{i}": "1" for i in range(1500)}}])
+    mapped = spark.createDataFrame([("V0",)], "key string")
+    assert drift.unmapped_fields(events, mapped, 24, AS_OF).count() == 1499
+    assert drift.unmapped_fields(events, mapped, 24, AS_OF, 1000).count() == 1000
+    counts = {r["section"]: r["n"] for r in drift.drift_report(events, mapped, AS_OF).collect() if r["place"] == 1}
+    assert counts["status"] == 1499 and counts["fields_in_use"] == 1500
+
+
+def test_long_commands_are_counted(make_events):
+    events = make_events([{"command": "a" * 2000}] * 2)
+    assert usage.top_commands(events).first()["n"] == 2 and usage.top_commands(events, longest=1024).count() == 0
+
+
 def test_drift_report(spark, make_events):
     env = {f"V{i:02d}_PORT" if i % 2 else f"V{i:02d}": "x" for i in range(30)}
     events = make_events([{"command": "x", "start_timestamp": "2024-01-31 20:00:00", "env": {**env, "PWD": "/"}}])

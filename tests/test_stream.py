@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelltrail.functions.policy import EnvPolicy
 from shelltrail.operators import live, sequence, usage
-from shelltrail.sources import events as source
+from shelltrail.sources import events as source, history
 from shelltrail.streaming import feeds
 
 NOW = {"availableNow": True}
@@ -56,10 +56,13 @@ def test_subscribe(spark, arriving, tmp_path):
     assert feed.count() == 60 and feed.select("batch").distinct().count() == 3
 
 
-@pytest.mark.parametrize("shards", [1, 3])
-def test_last_events_over_several_batches(spark, arriving, tmp_path, shards):
-    listed = feeds.recent_events_stream(stream(spark, arriving), 7, shards=shards)
-    found = feeds.latest_lists(run(spark, listed, tmp_path), 7)
+def test_last_events_over_several_batches(spark, arriving, tmp_path):
+    lines = [wire(number, start_timestamp=None) for number in (200, 201, 202)] + [wire(0, hostname="h0")]
+    (tmp_path / "in" / "odd.json").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "out")
+    feeds.recent_events_stream(stream(spark, arriving), out, str(tmp_path / "check"), 7).awaitTermination()
+    found = feeds.latest_lists(spark, out)
+    assert len(list((tmp_path / "out").glob("version=*"))) <= 3
     whole = source.read_events(spark, arriving)
     want = sequence.last_n_events(whole, 7)
     assert rows(found, "hostname", "user", "event_id", "command") == rows(want, "hostname", "user", "event_id", "command")
@@ -82,10 +85,30 @@ def test_counts_over_time(spark, arriving, tmp_path):
     assert rows(newest, "bucket", "n") == rows(want, "bucket", "n")
 
 
-def test_repeated_delivery(spark, arriving, tmp_path):
-    (tmp_path / "in" / "again.json").write_text("\n".join(wire(number) for number in range(100, 120)) + "\n")
-    once = run(spark, feeds.dedupe_stream(stream(spark, arriving)).drop("env"), tmp_path, "append")
-    assert once.count() == 120
+def test_repeated_and_late_delivery(spark, arriving, tmp_path):
+    late = wire(7, start_timestamp="2024-02-29T07:00:00Z")
+    odd = [wire(8, start_timestamp=None), wire(8, start_timestamp=None)]
+    (tmp_path / "in" / "again.json").write_text("\n".join([*(wire(number) for number in range(100, 120)), late, *odd]) + "\n")
+    (tmp_path / "in" / "later.json").write_text("\n".join([wire(3), late, odd[0], wire(3, env={"USER": "other"})]) + "\n")
+    out = str(tmp_path / "out")
+    feeds.dedupe_stream(stream(spark, arriving), out, str(tmp_path / "check"), NOW).awaitTermination()
+    assert spark.read.parquet(out).count() == 120 + 1 + 1 + 1
+
+
+def test_late_events_are_counted(spark, arriving, tmp_path):
+    (tmp_path / "in" / "late.json").write_text(wire(7, start_timestamp="2024-03-01T07:00:00Z") + "\n")
+    updates = run(spark, feeds.commands_over_time_stream(stream(spark, arriving), "1 minute"), tmp_path)
+    newest = updates.groupBy("bucket").agg(F.max_by("n", "batch").alias("n"))
+    want = usage.commands_over_time(source.read_events(spark, arriving), "1 minute")
+    assert rows(newest, "bucket", "n") == rows(want, "bucket", "n") and newest.agg(F.sum("n")).first()[0] == 121
+
+
+def test_masked_lines_keep_their_hashes(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.txt").write_text(wire(1, env={"API_KEY": "h8_fcf730b6"}) + "\n" + wire(2, env={"API_KEY": "secret123"}) + "\n")
+    raw, archive = spark.readStream.text(str(tmp_path / "raw")), str(tmp_path / "archive")
+    feeds.ingest_stream(raw, EnvPolicy(), archive, str(tmp_path / "check"), trigger=NOW).awaitTermination()
+    assert {row[0] for row in spark.read.parquet(archive).select(F.col("env")["API_KEY"]).collect()} == {"h8_fcf730b6"}
 
 
 def test_ingest(spark, tmp_path):
@@ -129,3 +152,20 @@ def test_metrics(spark, arriving, tmp_path):
     running.awaitTermination()
     reports = [p["observedMetrics"]["feed"] for p in running.recentProgress if p["numInputRows"]]
     assert [(r["published"], r["failed"]) for r in reports] == [(40, 20)] * 3
+
+
+def test_closed_days_are_compacted(spark, arriving, tmp_path):
+    (tmp_path / "in" / "next.json").write_text(wire(500, start_timestamp="2024-03-02T07:00:00Z") + "\n")
+    archive, kept = str(tmp_path / "archive"), str(tmp_path / "kept")
+
+    def ingest():
+        lines = spark.readStream.option("maxFilesPerTrigger", 1).text(arriving)
+        feeds.ingest_stream(lines, EnvPolicy(), archive, str(tmp_path / "check"), trigger=NOW).awaitTermination()
+
+    ingest()
+    assert [str(day) for day in history.compact_days(spark, archive, kept, "2024-03-02")] == ["2024-03-01"]
+    assert history.read_history(spark, kept).count() == 120 and spark.read.parquet(archive).count() == 1
+    (tmp_path / "in" / "late.json").write_text(wire(501, start_timestamp="2024-03-01T08:00:00Z") + "\n" + wire(3) + "\n")
+    ingest()
+    history.compact_days(spark, archive, kept, "2024-03-02")
+    assert history.read_history(spark, kept).count() == 121 and history.compact_days(spark, archive, kept, "2024-03-02") == []
