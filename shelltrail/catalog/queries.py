@@ -710,11 +710,13 @@ def command_records(spark, sf_dir):
 
 @query
 def char_ngram_counts(spark, sf_dir):
-    grams = char_ngrams(F.col("command"))
-    counted = F.transform(F.array_distinct("_grams"), lambda gram: F.struct(gram.alias("ngram"), F.size(F.filter("_grams", lambda other: other == gram)).cast("long").alias("n")))
-    # The count is local to the row: nothing is shuffled.
-    rows = worked_out(command_events(spark, sf_dir).select("event_id", "command"), {"_grams": grams})
-    return rows.select("event_id", F.inline(counted))
+    # The count is local to the row: nothing is shuffled. In a sorted list equal grams stand together.
+    rows = worked_out(command_events(spark, sf_dir).select("event_id", "command"), {"_grams": F.array_sort(char_ngrams(F.col("command")))})
+    kinds = F.array_distinct("_grams")
+    rows = worked_out(rows, {"_kinds": kinds, "_starts": F.transform(kinds, lambda gram: F.array_position("_grams", gram))})
+    ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_grams").cast("long") + 1))
+    counted = F.zip_with("_starts", ends, lambda start, end: end - start)
+    return rows.select("event_id", F.inline(F.arrays_zip(F.col("_kinds").alias("ngram"), counted.alias("n"))).alias("ngram", "n"))
 
 
 @query
