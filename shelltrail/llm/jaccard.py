@@ -14,9 +14,13 @@ SHINGLE = 5
 #: Similarity intersection / union >= 3 / 4, in whole numbers.
 OVER, UNDER = 3, 4
 #: Sizes of a band go from its lower end to RATIO times it; its domain has CELLS partitions per element of its largest set.
-RATIO, CELLS = 3, 4
+RATIO, CELLS = 16, 1
 #: Documents looked at, and how many of those a shingle is in, for it to come late in the order of signatures.
-HOT_SAMPLE, HOT_IN = 4000, 8
+HOT_SAMPLE, HOT_IN = 10_000, 3
+#: Least and most buckets of the counts that bound how much two sets differ; a set has about half as many as elements.
+BUCKETS = (64, 1 << 20)
+#: Sets that meet each other in one go when pairs are verified.
+BLOCK = 64
 HOT_BIT = np.uint64(1 << 63)
 
 
@@ -26,19 +30,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, inside:
     lowered = LOWER[data]
     starts, ends, row = word_places(lowered, offsets, inside)
     words = hasher.between(hasher.prefix(lowered), starts, ends)
+    hashes, of = runs_of_words(words, row, tuple(range(SHINGLE)))
+    cuts = np.searchsorted(of, np.arange(rows + 1))
+    sets = [distinct(hashes[low:high]) for low, high in zip(cuts[:-1], cuts[1:])]
     counts = np.bincount(row, minlength=rows)
-    found = [runs_of_words(words, row, tuple(range(SHINGLE)))]
     for n in range(1, SHINGLE):  # a text of fewer words is one shingle
         short = np.flatnonzero(counts[row] == n)
-        hashes, of = runs_of_words(words[short], row[short], tuple(range(n)))
-        found.append((hashes + np.uint64(n), of))
-    hashes, of = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    order = np.lexsort((hashes, of))
-    hashes, of = hashes[order], of[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-    hashes, of = hashes[new], of[new]
-    return np.split(hashes, np.searchsorted(of, np.arange(1, rows)))
+        whole, owner = runs_of_words(words[short], row[short], tuple(range(n)))
+        for element, i in zip(whole + np.uint64(n), owner):
+            sets[i] = np.array([element], np.uint64)
+    return sets
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])] if len(hashes) > 1 else hashes
 
 
 def set_hashes(elements: np.ndarray) -> tuple[int, int]:
@@ -74,7 +80,8 @@ def signatures(elements: np.ndarray, hot: np.ndarray) -> np.ndarray:
     If a set has so few non-empty partitions that the agreeing ones may all be empty, its elements are values as well.
     """
     found = []
-    is_hot = np.isin(elements, hot, assume_unique=True)
+    at = np.searchsorted(hot, elements)
+    is_hot = hot[np.minimum(at, len(hot) - 1)] == elements if len(hot) else np.zeros(len(elements), bool)
     inner = mixed(elements)
     for band, cells, most in bands(len(elements)):
         cell = ((elements >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
@@ -90,12 +97,14 @@ def signatures(elements: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _sets(docs: DataFrame, what: str, hot=None) -> DataFrame:
-    """Per document: doc_id, n_shingles, h1, h2 and, by `what`, its `signatures`, its `elements`, or nothing more."""
-    late = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if hot is None else hot)
+def _sets(docs: DataFrame, what: str) -> DataFrame:
+    """Per document: doc_id, n_shingles, h1, h2 and, by `what`, its `counts` or its `elements`.
+
+    `counts` are the elements in each of the domain's parts, a byte each.
+    """
 
     def build(batches):
-        hasher, inside, hot = Hasher(29), word_bytes(), late.value
+        hasher, inside = Hasher(29), word_bytes()
         for batch in batches:
             sizes, ones, twos, more = [], [], [], []
             for _, _, data, offsets in text_steps(batch.column("text")):
@@ -104,84 +113,196 @@ def _sets(docs: DataFrame, what: str, hot=None) -> DataFrame:
                     sizes.append(len(elements))
                     ones.append(one)
                     twos.append(two)
-                    if what == "signatures":
-                        more.append(signatures(elements, hot).view(np.int64) if len(elements) else np.zeros(0, np.int64))
-                    elif what == "elements":
-                        more.append(elements.view(np.int64))
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, ones, twos))]
-            if what:
-                lengths = np.array([0, *map(len, more)], np.int64).cumsum()
-                columns.append(pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(more) if more else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", *[what] * bool(what)])
-
-    schema = "doc_id long, n_shingles long, h1 long, h2 long" + (f", {what} array<long>" if what else "")
+                    if what == "counts":
+                        more.append(bucket_counts(elements))
+                    else:
+                        more.append(elements.astype("<u8").tobytes())
+            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, ones, twos)), pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", what])
+
+    schema = f"doc_id long, n_shingles long, h1 long, h2 long, {what} binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema)
 
 
+def _signature_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """signature, node: a row per signature of each set, once per equal set of a batch. A node is 64 bits of the set."""
+    late = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def build(batches):
+        hasher, inside, hot = Hasher(29), word_bytes(), late.value
+        for batch in batches:
+            seen: set[int] = set()
+            for _, _, data, offsets in text_steps(batch.column("text")):
+                found, nodes = [], []
+                for elements in shingle_sets(data, offsets, hasher, inside):
+                    node = set_hashes(elements)[0] if len(elements) else None
+                    if node is not None and node not in seen:
+                        seen.add(node)
+                        found.append(signatures(elements, hot).view(np.int64))
+                        nodes.append(node)
+                if found:
+                    owners = np.repeat(np.array(nodes, np.int64), [len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owners)], names=["signature", "node"])
+
+    return docs.select("text").mapInArrow(build, "signature long, node long")
+
+
 def hot_shingles(docs: DataFrame, sample: int = HOT_SAMPLE, least: int = HOT_IN) -> np.ndarray:
     """Shingles in at least `least` of `sample` documents picked by a hash of the id: sample / least times a document's
     shingles at most, whatever the corpus. They only order signatures; results do not depend on them."""
     picked = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(31)), "doc_id").limit(sample)
     some = docs.select("doc_id", "text").join(F.broadcast(written(picked.distinct(), "hot-sample")), "doc_id")
-    counts = _sets(some, "elements").select(F.explode("elements").alias("e")).groupBy("e").count().filter(F.col("count") >= least)
+
+    def split(batches):
+        for batch in batches:
+            elements = np.frombuffer(b"".join(batch.column("elements").to_pylist()), "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64))], names=["e"])
+
+    every = _sets(some, "elements").select("elements").mapInArrow(split, "e long")
+    counts = every.groupBy("e").count().filter(F.col("count") >= least)
     return np.sort(counts.toPandas().e.to_numpy(np.int64).view(np.uint64))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose shingle sets, built anew from the whole texts, have similarity 3/4 or more."""
+def _compared(pairs: DataFrame, values: DataFrame, column: str, fits) -> DataFrame:
+    """Those of `pairs` (a, b) for whose two values, bytes in `column` of (node, ...), `fits` holds."""
 
     def compare(batches):
         for batch in batches:
-            one, other = batch.column("one"), batch.column("other")
-            keep = []
-            for x, y in zip(one, other):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(UNDER * both >= OVER * (len(x) + len(y) - both))
+            keep = [fits(x, y) for x, y in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "pair-ids")
-    sets = written(_sets(docs.join(ids, "doc_id", "left_semi"), "elements").select("doc_id", "elements"), "pair-sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("one"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("other"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(compare, "a long, b long").distinct()
+    one = values.select(F.col("node").alias("a"), F.col(column).alias("one"))
+    other = values.select(F.col("node").alias("b"), F.col(column).alias("other"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(compare, "a long, b long")
+
+
+def bucket_counts(elements: np.ndarray) -> bytes:
+    """Elements by their hash modulo a power of two that grows with the set, 255 at most in each."""
+    least, most = BUCKETS
+    buckets = min(most, max(least, 1 << max(0, len(elements) // 2 - 1).bit_length()))
+    counts = np.bincount((elements & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _may_fit(x: bytes, y: bytes) -> bool:
+    """False only for sets that differ in more than a seventh of their sizes' sum: each bucket shows at least how much."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if max(x.max(), y.max()) == 255:
+        return True  # the sum of the counts is not the size here
+    buckets = min(len(x), len(y))
+    x, y = (z.reshape(-1, buckets).sum(0, dtype=np.int32) for z in (x, y))
+    return int(np.abs(x - y).sum()) * (UNDER + OVER) <= int(x.sum() + y.sum()) * (UNDER - OVER)
+
+
+def _fit(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return UNDER * both >= OVER * (len(x) + len(y) - both)
+
+
+def _in_blocks(pairs: DataFrame) -> DataFrame:
+    """a, b, part, i, j: nodes that pairs connect are numbered, and a pair belongs to the blocks of its two numbers.
+
+    The members of a family of near copies are in many pairs; in blocks of BLOCK a set travels once for each block that
+    its own one meets, not once for each pair, and no task holds more than two blocks.
+    """
+    parts = components(pairs)
+    place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
+    numbered = written(parts.select("node", F.col("component").alias("part"), F.floor(place / BLOCK).cast("int").alias("block")), "blocks")
+    one = numbered.select(F.col("node").alias("a"), "part", F.col("block").alias("block_a"))
+    other = numbered.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
+    named = pairs.join(one, "a").join(other, "b")
+    return named.select("a", "b", "part", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"))
+
+
+def _fit_in_blocks(batches):
+    """Over rows sorted by (part, i, j), in each of which sets (a, elements) stand before pairs (a, b): the pairs that fit."""
+    sets, last = {}, None
+    for batch in batches:
+        found = []
+        for part, i, j, a, b, elements in zip(*(batch.column(c).to_pylist() for c in ("part", "i", "j", "a", "b", "elements"))):
+            if (part, i, j) != last:
+                sets, last = {}, (part, i, j)
+            if b is None:
+                sets[a] = elements
+            elif _fit(sets[a], sets[b]):
+                found.append((a, b))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) of nodes whose shingle sets, built anew from the whole texts, have similarity 3/4 or more.
+
+    The counts of `nodes` come first: most pairs that share a common passage only are ruled out by them, for certain.
+    """
+    close = _in_blocks(written(_compared(pairs, nodes, "counts", _may_fit), "close-pairs"))
+    close = written(close, "close-pairs")
+    key = ["part", "i", "j"]
+    needed = close.select(*key, "a").union(close.select(*key, "b")).distinct()
+    ids = needed.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+    named = written(ids.select(F.col("doc_id").alias("_doc")).distinct(), "pair-ids")
+    texts = docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("_doc"), "left_semi")
+    # An id may stand for several texts; the set's own hash tells which one is meant.
+    sets = written(_sets(texts, "elements").select(F.col("h1").alias("a"), "elements").dropDuplicates(["a"]), "pair-sets")
+    there = needed.join(sets, "a").select(*key, "a", F.lit(None).cast("long").alias("b"), "elements")
+    asked = close.select(*key, "a", "b", F.lit(None).cast("binary").alias("elements"))
+    ready = there.union(asked).repartition(*key).sortWithinPartitions(*key, F.col("b").isNotNull())
+    return ready.mapInArrow(_fit_in_blocks, "a long, b long").distinct()
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable by links of similarity 3/4 or more.
 
-    1. Equal sets become one node, its smallest id; partial aggregation keeps copies from travelling.
-    2. Nodes that share a signature stand next to each other after one shuffle. Each is first paired with the smallest
-       node of the signature it shares most often; those pairs are verified and joined to components.
+    1. Equal sets are one node, named by 64 bits of the set; copies in a batch give their signatures once.
+    2. Nodes that share a signature stand next to each other after one shuffle of (signature, node). Each is first
+       paired with the smallest node of the signature it shares most often; those pairs are verified and joined to
+       components.
     3. Pairs of different components that share a signature and fit in size are verified, all of them. So no link
        between components is missed, and links inside a component need not be listed.
     Texts without words, null ones too, have no shingles and link with nothing. Rows that share an id share their links;
     a null id links with nothing that has no other row. The order of words and lines that repeat does not matter.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = _sets(docs, "signatures", hot_shingles(docs)).filter(F.col("n_shingles") > 0)
-    nodes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signatures").alias("signatures"))
-    rows = nodes.filter(F.col("node").isNotNull()).select("node", "n", F.explode("signatures").alias("signature"))
+    member = written(_sets(docs, "counts"), "members")
+    nodes = member.filter("n_shingles > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
+    nodes = written(nodes.filter(F.col("doc_id").isNotNull()), "nodes")
+
     group = Window.partitionBy("signature")
-    met = rows.withColumn("first", F.min("node").over(group)).withColumn("last", F.max("node").over(group)).filter("first < last")
-    met = written(met.select("signature", "node", "n", "first"), "signatures")
+    rows = _signature_rows(docs.filter(F.col("doc_id").isNotNull()), hot_shingles(docs))
+    rows = rows.withColumn("before", F.lag("node").over(group.orderBy("node")))
+    met = rows.withColumn("first", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
+    # Equal sets of several batches are one row again.
+    met = met.filter((F.col("first") < F.col("last")) & ~F.col("before").eqNullSafe(F.col("node")))
+    met = written(met.select("signature", "node", "first"), "signatures")
 
     near = met.filter("node <> first").groupBy("node", "first").count().groupBy("node").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("first"))
-    links = written(verified(written(near.select(F.col("first").alias("a"), F.col("node").alias("b")), "pairs"), docs), "links")
+    tried = written(near.select(F.col("first").alias("a"), F.col("node").alias("b")), "pairs")
+    links = written(verified(tried, nodes, docs), "links")
     found = components(links)
 
-    named = met.select("signature", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Signatures that the same nodes share say the same: one of them is enough.
+    of = met.groupBy("signature").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
+    met = met.join(of.groupBy("n", "x", "y").agg(F.min("signature").alias("signature")).select("signature"), "signature", "left_semi")
+    named = written(
+        met.select("signature", "node").join(nodes.select("node", "n"), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")),
+        "signatures",
+    )
     spans = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("signature")
     open_ = named.join(spans, "signature", "left_semi")
     left = open_.select("signature", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
     right = open_.select("signature", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
     fits = (F.least("n_a", "n_b") * UNDER >= F.greatest("n_a", "n_b") * OVER) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    tried = near.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
     rest = written(left.join(right, "signature").filter(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = components(links.union(verified(rest, docs)))
+    found = components(links.union(verified(rest, nodes, docs)))
 
-    member = written(_sets(docs, ""), "members")
-    known = written(member.filter(F.col("n_shingles") > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("node")).join(found, "node", "left"), "nodes")
-    named = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "node").alias("component"))
-    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_shingles") > 0)
-    return member.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Components are named by sets so far; the smallest id of theirs is the name asked for.
+    parts = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    ids = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    parts = parts.join(ids, "component").select("node", "doc_id", "component_id")
+    # Rows that share an id share their links: their components are one.
+    shared = member.filter("n_shingles > 0").join(parts.select(F.col("node").alias("k"), F.col("component_id").alias("c")), F.col("h1") == F.col("k"))
+    pooled = components(shared.select(F.col("doc_id").alias("a"), F.col("c").alias("b")).filter(F.col("a") != F.col("b")))
+    out = member.select("doc_id", "n_shingles", "h1").join(parts.select(F.col("node").alias("k"), F.col("component_id").alias("c")), (F.col("h1") == F.col("k")) & (F.col("n_shingles") > 0), "left")
+    out = out.withColumn("c", F.coalesce("c", "doc_id")).join(pooled, F.col("c") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "c").alias("component_id"))

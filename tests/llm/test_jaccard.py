@@ -75,3 +75,17 @@ def test_odd_tables(spark):
     got = sorted((tuple(r) for r in jaccard.similarity_components(docs).collect()), key=str)
     assert got == sorted([(5, 2, 5), (5, 2, 5), (5, 3, 5), (9, 3, 5), (None, 2, 5), (None, 0, None)], key=str)
     assert jaccard.similarity_components(docs.limit(0)).count() == 0
+
+
+def test_counts_rule_out_no_similar_sets():
+    rng = np.random.default_rng(2)
+    for size in [1, 2, 5, 40, 129, 700, 5000]:
+        for _ in range(30):
+            shared = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            total = size * 4 // 3
+            extra = rng.integers(0, 1 << 63, total - size, dtype=np.uint64)
+            mine = rng.integers(0, total - size + 1)
+            a, b = np.append(shared, extra[:mine]), np.append(shared, extra[mine:])
+            assert jaccard._may_fit(jaccard.bucket_counts(a), jaccard.bucket_counts(b))
+    far = [jaccard.bucket_counts(rng.integers(0, 1 << 63, 6000, dtype=np.uint64)) for _ in range(2)]
+    assert not jaccard._may_fit(*far)
