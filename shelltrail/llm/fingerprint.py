@@ -11,12 +11,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import LOWER, Hasher, mixed, steps, word_bytes, word_places
+from shelltrail.llm.common import LOWER, STEP_BYTES, Hasher, mixed, steps, word_bytes, word_places
 
 #: Samples per signature; the standard error of a likeness is at most 1 / (2 sqrt(SAMPLES)).
 SAMPLES = 64
 #: (row, term) pairs that are sampled at once.
-BLOCK = 1 << 14
+BLOCK = 1 << 11
 
 
 class Sampler:
@@ -32,28 +32,39 @@ class Sampler:
         self.seeds = mixed(np.arange(1, 3 * samples + 1, dtype=np.uint64) + np.uint64(seed << 32)).reshape(3, samples)
 
     def _uniform(self, terms: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-        x = (terms[:, None] ^ self.seeds[which]) * np.uint64(0x9E3779B97F4A7C15)
+        """Two uniform draws in (0, 1) per term and place, from the upper and the lower half of one hash."""
+        x = terms[:, None] ^ self.seeds[which]
+        x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        scale = np.float32(2.0**-24)
-        high, low = (x >> np.uint64(40)).astype(np.float32), ((x >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32)
-        return (high + np.float32(0.5)) * scale, (low + np.float32(0.5)) * scale
-
-    def draws(self, terms: np.ndarray) -> tuple[np.ndarray, ...]:
-        """1 / r, r, b and ln c + r b - r."""
-        u, v = self._uniform(terms, 0)
-        r = -np.log(u * v)
-        u, v = self._uniform(terms, 1)
-        c = -np.log(u * v)
-        b, _ = self._uniform(terms, 2)
-        return 1 / r, r, b, np.log(c) + r * b - r
+        halves = x.view(np.uint32).reshape(*x.shape, 2) >> np.uint32(8)
+        uniform = halves.astype(np.float32)
+        uniform += np.float32(0.5)
+        uniform *= np.float32(2.0**-24)
+        return uniform[..., 1], uniform[..., 0]
+
+    def draws(self, terms: np.ndarray) -> np.ndarray:
+        """For each term and place: 1 / r, r, b and ln c + r b - r. In blocks that stay in the cache."""
+        out = np.empty((len(terms), 4, self.samples), np.float32)
+        for low in range(0, len(terms), 256):
+            some = terms[low : low + 256]
+            u, v = self._uniform(some, 0)
+            r = -np.log(u * v)
+            u, v = self._uniform(some, 1)
+            level = np.log(-np.log(u * v))
+            b, _ = self._uniform(some, 2)
+            level += r * b
+            level -= r
+            rows = out[low : low + 256]
+            rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = 1 / r, r, b, level
+        return out
 
     def signatures(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), self.samples), np.uint16)
         sizes = np.array([len(x) for x in texts], np.int64)
         places = np.concatenate([[0], np.cumsum(sizes)])
-        for first, last in steps(places):
+        for first, last in steps(places, 2 * STEP_BYTES):
             data = LOWER[np.frombuffer(b"".join(texts[first:last]), np.uint8)]
             offsets = places[first : last + 1] - places[first]
             starts, ends, row = word_places(data, offsets, self.inside)
@@ -65,19 +76,22 @@ class Sampler:
 
     def _sample(self, out: np.ndarray, terms: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         """Fills the rows of `out`. Terms stand in the order of their hashes, so equal texts meet ties alike."""
-        inverse, r, b, level = self.draws(terms)
+        draws = self.draws(terms)
         heads = np.flatnonzero(np.diff(row, prepend=-1))
         ends = np.append(heads[1:], len(row))
         i = 0
         while i < len(heads):
             j = max(i + 1, int(np.searchsorted(ends, heads[i] + BLOCK, "right")))
             at, own = term[heads[i] : ends[j - 1]], row[heads[i] : ends[j - 1]]
-            t = np.floor(weight[heads[i] : ends[j - 1], None] * inverse[at] + b[at])
-            a = level[at] - r[at] * t
+            drawn = draws[at]
+            t = weight[heads[i] : ends[j - 1], None] * drawn[:, 0]
+            t += drawn[:, 2]
+            np.floor(t, out=t)
+            a = drawn[:, 3] - drawn[:, 1] * t
             cuts = heads[i:j] - heads[i]
             least = np.minimum.reduceat(a, cuts, axis=0)
             which = np.repeat(np.arange(j - i), np.diff(np.append(cuts, len(at))))
-            pair, place = np.nonzero(a == least[which])
+            pair, place = np.divmod(np.flatnonzero(a == least[which]), self.samples)
             sample = mixed(terms[at[pair]] ^ (t[pair, place].astype(np.int64).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
             out[own[pair], place] = (sample >> np.uint64(48)).astype(np.uint16)
             i = j
@@ -138,9 +152,10 @@ def edited_likeness(docs: DataFrame, samples: int = SAMPLES, seed: int = 17, buc
         """Rows (id, text) of which each but the last, or the last by its guest, is followed by its next document."""
         texts = [text for _, text in rows]
         edited = [text[: len(text) - len(text) // 3] + after[: len(text) // 3] for text, after in zip(texts, texts[1:])]
-        signs = sampler.signatures([x.encode() for x in texts])
-        changed = sampler.signatures([x.encode() for x in edited])
         n = len(edited)
+        # Side by side, as a text and its edited form share most draws.
+        both = sampler.signatures([x.encode() for pair in zip(texts, edited) for x in pair] + [texts[n].encode()] * (len(texts) > n))
+        signs, changed = both[0::2], both[1::2]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([i for i, _ in rows[:n]], pa.int64()),
