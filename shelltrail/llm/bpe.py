@@ -213,13 +213,15 @@ def encode_documents(docs: DataFrame, rank_file: bytes, split: str | None = None
     The rank file and the merges behind its tokens (about 2 MB, a fixed size) go to the workers.
     """
     split = split or pattern()
-    # What the merges of each token are is worked out once, here.
-    held = docs.sparkSession.sparkContext.broadcast((rank_file, Transducer(rank_file).splits))
+    # What the merges of each token are is worked out once, here. The value stays in a worker from task to task, and
+    # so does the machine that the first task puts into it.
+    held = docs.sparkSession.sparkContext.broadcast({"ranks": rank_file, "splits": Transducer(rank_file).splits})
 
     def encode(batches):
         import regex
 
-        machine, matches = Transducer(*held.value), regex.compile(split)
+        shared, matches = held.value, regex.compile(split)
+        machine = shared.get("machine") or shared.setdefault("machine", Transducer(shared["ranks"], shared["splits"]))
         known = machine.outputs
         for batch in batches:
             rows = []
