@@ -256,8 +256,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 
     1. Equal sets are one node, named by 64 bits of the set; copies in a batch give their signatures once.
     2. Nodes that share a signature stand next to each other after one shuffle of (signature, node). Each is first
-       paired with the smallest node of the signature it shares most often; those pairs are verified and joined to
-       components.
+       paired with one node, which shares most signatures with most others; those pairs are verified and joined to
+       components, so that a family of copies is one before its members would meet each other.
     3. Pairs of different components that share a signature and fit in size are verified, all of them. So no link
        between components is missed, and links inside a component need not be listed.
     Texts without words, null ones too, have no shingles and link with nothing. Rows that share an id share their links;
@@ -271,13 +271,19 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     group = Window.partitionBy("signature")
     rows = _signature_rows(docs.filter(F.col("doc_id").isNotNull()), hot_shingles(docs))
     rows = rows.withColumn("before", F.lag("node").over(group.orderBy("node")))
-    met = rows.withColumn("first", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
+    met = rows.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group)).withColumn("size", F.count("*").over(group))
     # Equal sets of several batches are one row again.
-    met = met.filter((F.col("first") < F.col("last")) & ~F.col("before").eqNullSafe(F.col("node")))
-    met = written(met.select("signature", "node", "first"), "signatures")
-
-    near = met.filter("node <> first").groupBy("node", "first").count().groupBy("node").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("first"))
-    tried = written(near.select(F.col("first").alias("a"), F.col("node").alias("b")), "pairs")
+    met = met.filter((F.col("low") < F.col("high")) & ~F.col("before").eqNullSafe(F.col("node")))
+    met = written(met.select("signature", "node", "size"), "signatures")
+
+    # The original of a family of copies has the signatures that most of them kept: it is the one to compare them with.
+    weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    centre = met.join(weight, "node").groupBy("signature").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"), F.max("weight").alias("weight"))
+    with_centre = met.join(centre, "signature").filter("node <> centre")
+    # Of the centres a node meets, the one it shares most signatures with.
+    shared = with_centre.groupBy("node", "centre").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+    near = shared.groupBy("node").agg(F.max_by("centre", F.struct("n", "weight", "centre")).alias("centre"))
+    tried = written(near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
     links = written(verified(tried, nodes, docs), "links")
     found = components(links)
 
