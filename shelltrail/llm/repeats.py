@@ -16,6 +16,7 @@ LENGTH, GRAM = 200, 64
 #: Members of a bucket whose strings one task compares at once; larger buckets are dealt by
 #: ranges of the offset.
 BLOCK = 1 << 14
+SUFFIX = ["bucket", "refined", "node", "start", "lead", "size"]
 CONTEXT = ["bucket", "part", "parts", "node", "start", "lead", "whole", "context"]
 SEED = 41
 
@@ -51,13 +52,15 @@ def surroundings(chosen: np.ndarray, offsets: np.ndarray, length: int, gram: int
     return row, np.maximum(offsets[row], chosen - (length - gram)), np.minimum(offsets[row + 1], chosen + length)
 
 
-def _suffixes(docs: DataFrame, settled: bool, length: int, gram: int) -> DataFrame:
-    """With `settled` false: bucket, refined, node, at per sampled suffix, at most two of a refined bucket per batch, so
-    that copies combine before they travel. With `settled` true: node, start, stop for those that are not alone in
-    their refined bucket within the batch, the others need no more than that.
+def _suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """bucket, refined, node, start, lead, size per sampled suffix, at most two of a refined bucket per batch, so that
+    copies combine before they travel. The others of a batch repeat those two and need no more than their span: they
+    have null for bucket, refined and lead, and are joined where they touch. Both kinds come from one look at a batch
+    and have to be written before they part, as a second look may find the rows in other batches.
 
     `bucket` is the q-gram. `refined` is the string of all that can be covered around it, left and right of it.
     """
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int32())
 
     def sample(batches):
         hasher = Hasher(SEED)
@@ -78,31 +81,26 @@ def _suffixes(docs: DataFrame, settled: bool, length: int, gram: int) -> DataFra
             order = np.argsort(key, kind="stable")
             same = np.zeros(len(key) + 1, bool)
             same[1:-1] = key[order[1:]] == key[order[:-1]]
-            if settled:
-                keep = np.sort(order[same[1:] | same[:-1]])
-                if not len(keep):
-                    continue
+            twice = np.zeros(len(key), bool)
+            twice[2:] = same[1:-2] & same[2:-1] if len(key) > 2 else False
+            keep, rest = np.sort(order[~twice]), np.sort(order[twice])
+            columns = [bucket[keep].view(np.int64), refined[keep].view(np.int64), node[keep], begin[keep], left[keep], size[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], names=SUFFIX)
+            if len(rest):
                 # Spans of a document stand in order here: those that touch are joined before they travel.
-                node, begin, end = node[keep], begin[keep], (begin + size)[keep]
+                node, begin, end = node[rest], begin[rest], (begin + size)[rest]
                 heads = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (begin[1:] > end[:-1]) | (begin[1:] < begin[:-1])))
-                columns = [node[heads], begin[heads], end[np.append(heads[1:], len(keep)) - 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "start", "stop"])
-            else:
-                twice = np.zeros(len(key), bool)
-                twice[2:] = same[1:-2] & same[2:-1] if len(key) > 2 else False
-                keep = order[~twice]
-                columns = [bucket[keep].view(np.int64), refined[keep].view(np.int64), node[keep], begin[keep].astype(np.int32), left[keep].astype(np.int16), size[keep].astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "refined", "node", "start", "lead", "size"])
+                none, start = [None] * len(heads), begin[heads]
+                columns = [none, none, node[heads], start, none, end[np.append(heads[1:], len(rest)) - 1] - start]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=SUFFIX)
 
-    schema = "node long, start long, stop long" if settled else "bucket long, refined long, node long, start int, lead short, size short"
-    return docs.select("node", "text").mapInArrow(sample, schema)
+    return docs.select("node", "text").mapInArrow(sample, "bucket long, refined long, node long, start int, lead short, size int")
 
 
 def _neighbours(batches):
     """Over rows sorted by (bucket, refined): those whose bucket has another row, with `whole` true if that holds for the
     refined bucket too, and `ask` true for the rows that have to be compared further: those alone in their refined bucket,
     and where two refined buckets meet a member of each. Only the next row is looked at, so a bucket may have any size."""
-    names = ["bucket", "refined", "node", "start", "lead", "size"]
     held = None
 
     def judged(rows: pa.Table, last: bool):
@@ -116,7 +114,7 @@ def _neighbours(batches):
         # The first row was judged with the batch before, the last one will be with the next.
         keep[0] &= first
         keep[-1] &= last
-        out = rows.filter(pa.array(keep)).select(names)
+        out = rows.filter(pa.array(keep)).select(SUFFIX)
         return out.append_column("whole", pa.array(whole[keep])).append_column("ask", pa.array(meets[keep]))
 
     # Each batch is judged with the last two rows before it: one to be judged now, one that it is compared with.
@@ -239,16 +237,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     their bucket repeat every string around the q-gram. Those left alone, and one or two members of each refined bucket
     that meets another, are refined by each offset on its own, from bytes brought for them only.
     """
-    forward = _suffixes(docs, False, length, gram)
-    met = forward.repartition("bucket").sortWithinPartitions("bucket", "refined")
-    schema = "bucket long, refined long, node long, start int, lead short, size short, whole boolean, ask boolean"
+    sampled = written(_suffixes(docs, length, gram), "sampled-suffixes")
+    met = sampled.filter("bucket is not null").repartition("bucket").sortWithinPartitions("bucket", "refined")
+    schema = "bucket long, refined long, node long, start int, lead short, size int, whole boolean, ask boolean"
     shared = written(met.mapInArrow(_neighbours, schema), "shared-suffixes")
-    whole = shared.filter("whole").select("node", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("stop"))
+    span = ("node", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("stop"))
+    whole = shared.filter("whole").select(*span).union(sampled.filter("bucket is null").select(*span))
     asked = shared.filter("ask")
     parts = asked.groupBy("bucket").agg(F.least(F.ceil(F.count("*") / BLOCK), F.lit(length - gram + 1)).cast("int").alias("parts"))
     ready = _contexts(asked.join(parts, "bucket"), docs).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     found = ready.mapInArrow(_refined(length, gram), "node long, start long, stop long")
-    return whole.union(found).union(_suffixes(docs, True, length, gram))
+    return whole.union(found)
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:

@@ -67,3 +67,17 @@ def test_texts_without_repeats(spark):
     out = {r.doc_id: (r.text, r._x) for r in repeats.without_repeats(docs, 40, 10).collect()}
     assert out == {1: ("é" * 10, "k"), 2: ("c", "k"), 3: (None, "k")}
     assert repeats.without_repeats(docs.limit(0), 40, 10).count() == 0
+
+
+def test_copies_are_judged_in_one_pass(spark):
+    """What is removed does not depend on a later scan cutting the rows into the batches of the first."""
+    texts = fixture(8)
+    texts += [texts[3] + " " + "q" * 30] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = repeats.repeat_digest(docs, 60, 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = {r.doc_id: tuple(r)[1:] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == dict(enumerate(plain(texts, 60)))
