@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,15 @@ from shelltrail.llm.common import Hasher, mixed, text_steps, written
 
 #: Bytes of a repeated string, and of the q-grams that make the initial buckets.
 LENGTH, GRAM = 200, 64
-#: Members of a bucket whose strings one task compares at once; larger buckets are dealt by
-#: ranges of the offset.
+#: Members of a bucket whose strings one task compares at once; the strings of larger buckets
+#: are dealt by their hash.
 BLOCK = 1 << 14
 SUFFIX = ["bucket", "refined", "node", "start", "lead", "size"]
-CONTEXT = ["bucket", "part", "parts", "node", "start", "lead", "whole", "context"]
+#: What is asked about: bytes around a suffix, a string of a large bucket, or a span that is settled.
+ASKED = ["kind", "bucket", "node", "start", "stop", "lead", "open", "context"]
+CONTEXT, STRING, SPAN = 0, 1, 2
+#: Members of large buckets whose equal strings combine before they travel.
+COMBINED = 1 << 12
 SEED = 41
 
 
@@ -134,99 +139,200 @@ def _neighbours(batches):
         yield from judged(held, True).to_batches()
 
 
-def _contexts(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """bucket, part, parts, node, start, lead, whole, context: the bytes around each asked suffix, for each part."""
-    names = ("bucket", "start", "lead", "size", "whole", "parts")
-    lists = asked.groupBy("node").agg(F.collect_list(F.struct(*names)).alias("asked"))
+def _asked(asked: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """kind, bucket, node, start, stop, lead, open, context: for an asked suffix the bytes around it, or if its bucket is
+    `large` a narrow row for each string around it, whose `bucket` is the string's own hash; `open` if it still needs
+    another of its kind. Equal strings combine before they travel: a block of members sends one of each, and those it has
+    twice are settled by that and sent as spans.
+
+    Rows of `docs` that repeat in a batch bring theirs once: they only bear witness, as copies of a row have nothing
+    open. Rows of a node are alike and stand in order of the node, with what is asked in order, so a task that runs again
+    makes the same blocks.
+    """
+    names = ("bucket", "start", "lead", "size", "whole", "large")
+    lists = asked.groupBy("node").agg(F.array_sort(F.collect_set(F.struct(*names))).alias("asked"))
+    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.bool_(), pa.binary())
 
     def cut(batches):
+        last, hasher = None, Hasher(SEED)
         for batch in batches:
-            rows = []
-            for node, text, wanted in zip(*(batch.column(c) for c in ("node", "text", "asked"))):
-                node, data = node.as_py(), text.as_py().encode()
-                for bucket, start, lead, size, whole, parts in zip(*(wanted.values.field(c).to_pylist() for c in names)):
-                    context = data[start : start + size]
-                    rows += [(bucket, part, parts, node, start, lead, whole, context) for part in range(parts)]
-                if len(rows) > 1 << 14:
-                    yield of(rows)
-                    rows = []
-            if rows:
-                yield of(rows)
-
-    def of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int16(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=CONTEXT)
-
-    schema = "bucket long, part int, parts int, node long, start int, lead short, whole boolean, context binary"
-    return docs.join(lists, "node").select("node", "text", "asked").mapInArrow(cut, schema)
+            if not batch.num_rows:
+                continue
+            few, many, nodes = [], [], batch.column("node").to_numpy()
+            new = np.append(nodes[0] != last, nodes[1:] != nodes[:-1])
+            last = nodes[-1]
+            for i in np.flatnonzero(new):
+                node, data, wanted = int(nodes[i]), batch.column("text")[i].as_py().encode(), batch.column("asked")[i]
+                for bucket, start, lead, size, whole, large in zip(*(wanted.values.field(c).to_pylist() for c in names)):
+                    (many if large else few).append((CONTEXT, bucket, node, start, None, lead, not whole, data[start : start + size]))
+                    if len(few) == COMBINED:
+                        yield of(zip(*few))
+                        few = []
+                    if len(many) == COMBINED:
+                        yield from strings(of(zip(*many)), hasher)
+                        many = []
+            if few:
+                yield of(zip(*few))
+            if many:
+                yield from strings(of(zip(*many)), hasher)
+
+    def of(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=ASKED)
+
+    def strings(batch: pa.RecordBatch, hasher: Hasher):
+        table = pa.Table.from_batches([batch])
+        keys, members = string_keys(table, hasher, length, gram), _members(table)
+        node, start, stop = _repeated(keys, members, length)
+        none = [None] * len(node)
+        yield of((np.full(len(node), SPAN), node, node, start, stop, none, none, none))
+        node, start, lead, open_ = members
+        key, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        key, first, counts = key[key > 0], first[key > 0], counts[key > 0]
+        member, offset = np.divmod(first, keys.shape[1])
+        begin, none = (start + lead)[member].astype(np.int64) - offset, [None] * len(key)
+        yield of((np.full(len(key), STRING), key.view(np.int64), node[member], begin, none, none, open_[member] & (counts == 1), none))
+
+    schema = "kind byte, bucket long, node long, start int, stop int, lead short, open boolean, context binary"
+    rows = docs.join(lists, "node").select("node", "text", "asked").sortWithinPartitions("node")
+    return rows.mapInArrow(cut, schema)
+
+
+def string_keys(rows: pa.Table, hasher: Hasher, length: int, gram: int) -> np.ndarray:
+    """(member, offset) hash of bucket, offset and the string that begins `offset` bytes before the q-gram, 0 where there
+    is none."""
+    width = length - gram + 1
+    data = rows.column("context").combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    places = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    held = np.frombuffer(data.buffers()[2], np.uint8)[places[0] : places[-1]] if places[-1] else np.zeros(0, np.uint8)
+    places -= places[0]
+    prefix = hasher.prefix(held)
+    begin = (places[:-1] + rows.column("lead").to_numpy())[:, None] - np.arange(width)
+    good = (begin >= places[:-1, None]) & (begin + length <= places[1:, None])
+    begin = np.where(good, begin, 0)
+    out = np.zeros(begin.shape, np.uint64)
+    out[good] = hasher.between(prefix, begin[good], begin[good] + length)
+    key = mixed(rows.column("bucket").to_numpy().view(np.uint64))[:, None] + np.arange(1, width + 1, dtype=np.uint64)
+    return np.where(good, mixed(out ^ mixed(key)) | np.uint64(1), np.uint64(0))
+
+
+def _members(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """node, start, lead and open of contexts."""
+    return *(rows.column(c).to_numpy() for c in ("node", "start", "lead")), rows.column("open").to_numpy().astype(bool)
+
+
+def _repeated(keys: np.ndarray, members: tuple, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, start, stop of the strings that occur again among `keys`, for members that are open."""
+    node, start, lead, open_ = members
+    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    again = (counts[inverse].reshape(keys.shape) > 1) & (keys > 0) & open_[:, None]
+    member, offset = np.nonzero(again)
+    begin = (start + lead)[member].astype(np.int64) - offset
+    # Strings of one member that begin next to each other are one span; offsets count backwards.
+    head = np.ones(len(member), bool)
+    head[1:] = (member[1:] != member[:-1]) | (begin[:-1] != begin[1:] + 1)
+    heads = np.flatnonzero(head)
+    tails = np.append(heads[1:], len(member)) - 1 if len(heads) else heads
+    return node[member[heads]], begin[tails], begin[heads] + length
 
 
 def _refined(length: int, gram: int):
-    """mapInArrow over contexts sorted by (bucket, part): spans (node, start, stop) of the strings of `length` bytes that
-    occur in another member of the bucket, string by string, from the offsets that are dealt to `part` of `parts`."""
-    width = length - gram + 1
-
-    def hashes(rows: pa.Table, hasher: Hasher) -> np.ndarray:
-        """(member, offset) hash of the string that begins `offset` bytes before the q-gram, of 0 where there is none."""
-        data = rows.column("context").combine_chunks()
-        data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-        places = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-        held = np.frombuffer(data.buffers()[2], np.uint8)[places[0] : places[-1]] if places[-1] else np.zeros(0, np.uint8)
-        places -= places[0]
-        prefix = hasher.prefix(held)
-        begin = (places[:-1] + rows.column("lead").to_numpy())[:, None] - np.arange(width)
-        part, parts = rows.column("part").to_numpy()[:, None], rows.column("parts").to_numpy()[:, None]
-        mine = np.arange(width) * parts // width == part
-        good = (begin >= places[:-1, None]) & (begin + length <= places[1:, None]) & mine
-        begin = np.where(good, begin, 0)
-        out = np.zeros(begin.shape, np.uint64)
-        out[good] = hasher.between(prefix, begin[good], begin[good] + length)
-        key = mixed(rows.column("bucket").to_numpy().view(np.uint64))[:, None] + np.arange(1, width + 1, dtype=np.uint64)
-        return np.where(good, mixed(out ^ mixed(key)) | np.uint64(1), np.uint64(0))
-
-    def spans(keys: np.ndarray, rows: list[tuple]) -> pa.RecordBatch:
-        node, start, lead, whole = (np.concatenate(c) for c in zip(*rows))
-        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        again = (counts[inverse].reshape(keys.shape) > 1) & (keys > 0) & ~whole[:, None]
-        member, offset = np.nonzero(again)
-        begin = (start + lead)[member].astype(np.int64) - offset
-        # Strings of one member that begin next to each other are one span; offsets count backwards.
-        head = np.ones(len(member), bool)
-        head[1:] = (member[1:] != member[:-1]) | (begin[:-1] != begin[1:] + 1)
-        heads = np.flatnonzero(head)
-        tails = np.append(heads[1:], len(member)) - 1 if len(heads) else heads
-        return pa.RecordBatch.from_arrays([pa.array(node[member[heads]]), pa.array(begin[tails]), pa.array(begin[heads] + length)], names=["node", "start", "stop"])
+    """mapInArrow over contexts sorted by bucket: spans (node, start, stop) of the strings of `length` bytes that occur in
+    another member of the bucket, string by string. Holds one bucket at a time, so for buckets of bounded size."""
 
     def refine(batches):
         hasher = Hasher(SEED)
         keys, rows, last = [], [], None
+
+        def spans() -> pa.RecordBatch:
+            found = _repeated(np.concatenate(keys), tuple(np.concatenate(c) for c in zip(*rows)), length)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["node", "start", "stop"])
+
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for low in range(0, table.num_rows, 1024):
                 some = table.slice(low, 1024)
-                found = hashes(some, hasher)
-                group = np.stack([some.column(c).to_numpy().astype(np.int64) for c in ("bucket", "part")], 1)
-                values = [some.column(c).to_numpy() for c in ("node", "start", "lead")] + [some.column("whole").to_numpy().astype(bool)]
-                changes = np.flatnonzero((np.diff(group, axis=0) != 0).any(1)) + 1
-                if last is not None and tuple(group[0]) != last:
+                found, values, bucket = string_keys(some, hasher, length, gram), _members(some), some.column("bucket").to_numpy()
+                changes = np.flatnonzero(np.diff(bucket)) + 1
+                if last is not None and bucket[0] != last:
                     changes = np.append(0, changes)
                 if len(changes):
-                    # All before the last change are whole groups.
+                    # All before the last change are whole buckets.
                     cut = int(changes[-1])
                     if cut or keys:
-                        whole_keys, whole_rows = [*keys, found[:cut]], [*rows, tuple(v[:cut] for v in values)]
-                        yield spans(np.concatenate(whole_keys), whole_rows)
+                        keys.append(found[:cut])
+                        rows.append(tuple(v[:cut] for v in values))
+                        yield spans()
                     keys, rows = [found[cut:]], [tuple(v[cut:] for v in values)]
                 else:
                     keys.append(found)
-                    rows.append(tuple(values))
-                last = tuple(group[-1])
+                    rows.append(values)
+                last = bucket[-1]
         if keys:
-            yield spans(np.concatenate(keys), rows)
+            yield spans()
 
     return refine
 
 
+def _met(length: int):
+    """mapInArrow over strings sorted by their hash: spans (node, start, stop) of the open ones that have another of it.
+    Only the next row is looked at, so there may be any number of equal ones."""
+
+    def spans(rows: pa.Table, first: bool, last: bool) -> pa.RecordBatch:
+        same = _beside(rows.column("bucket").to_numpy())
+        # The first row was judged with the batch before, the last one will be with the next.
+        same[0] &= first
+        same[-1] &= last
+        same &= rows.column("open").to_numpy().astype(bool)
+        start = rows.column("start").to_numpy()[same].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows.column("node").to_numpy()[same]), pa.array(start), pa.array(start + length)], names=["node", "start", "stop"])
+
+    def meet(batches):
+        # Each batch is judged with the last two rows before it: one to be judged now, one that it is compared with.
+        held, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch.select(["bucket", "node", "start", "open"])])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows >= 2:
+                yield spans(held, first, False)
+                first, held = False, held.slice(held.num_rows - 2)
+        if held is not None:
+            yield spans(held, first, True)
+
+    return meet
+
+
+def _beside(key: np.ndarray) -> np.ndarray:
+    """Which of sorted keys have an equal next to them."""
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[1:] == key[:-1]
+    return same[1:] | same[:-1]
+
+
+def _judged(length: int, gram: int):
+    """mapInArrow over rows of `_asked` sorted by kind and bucket: spans (node, start, stop)."""
+    judges = {CONTEXT: _refined(length, gram), STRING: _met(length)}
+
+    def pieces(batches):
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(kinds)) + 1, [len(kinds)]])
+            yield from ((int(kinds[a]), batch.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
+
+    def judge(batches):
+        for kind, run in groupby(pieces(batches), lambda piece: piece[0]):
+            if kind in judges:
+                yield from judges[kind](piece for _, piece in run)
+            else:
+                for _, piece in run:
+                    columns = [piece.column("node"), piece.column("start").cast(pa.int64()), piece.column("stop").cast(pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "start", "stop"])
+
+    return judge
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """node, start, stop (in bytes) of spans that together cover exactly the bytes of strings of `length` bytes that also
     start anywhere else. `docs` has node and text (not null); rows of the same node have the same text.
@@ -235,7 +341,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     The initial buckets are the q-grams. A bucket with one member is done: no string around it occurs twice. The others
     are refined by what stands at the offsets before and behind. First by all of it at once: members that still share
     their bucket repeat every string around the q-gram. Those left alone, and one or two members of each refined bucket
-    that meets another, are refined by each offset on its own, from bytes brought for them only.
+    that meets another, are refined by each offset on its own, from bytes brought for them only. A bucket of up to BLOCK
+    such members is refined by one task; of a larger one the strings are dealt by their hash, a narrow row each.
     """
     sampled = written(_suffixes(docs, length, gram), "sampled-suffixes")
     met = sampled.filter("bucket is not null").repartition("bucket").sortWithinPartitions("bucket", "refined")
@@ -244,9 +351,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     span = ("node", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("stop"))
     whole = shared.filter("whole").select(*span).union(sampled.filter("bucket is null").select(*span))
     asked = shared.filter("ask")
-    parts = asked.groupBy("bucket").agg(F.least(F.ceil(F.count("*") / BLOCK), F.lit(length - gram + 1)).cast("int").alias("parts"))
-    ready = _contexts(asked.join(parts, "bucket"), docs).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    found = ready.mapInArrow(_refined(length, gram), "node long, start long, stop long")
+    large = written(asked.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket"), "large-buckets")
+    asked = asked.join(F.broadcast(large.withColumn("large", F.lit(True))), "bucket", "left").fillna(False, ["large"])
+    ready = _asked(asked, docs, length, gram).repartition("bucket").sortWithinPartitions("kind", "bucket")
+    found = ready.mapInArrow(_judged(length, gram), "node long, start long, stop long")
     return whole.union(found)
 
 

@@ -81,3 +81,32 @@ def test_copies_are_judged_in_one_pass(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == dict(enumerate(plain(texts, 60)))
+
+
+def test_no_task_holds_a_large_bucket(spark, monkeypatch, tmp_path):
+    """Members of a common passage with other surroundings each: more than BLOCK of them never meet in one task's memory,
+    and a row that repeats brings its bytes once a batch."""
+    monkeypatch.setattr(repeats, "BLOCK", 8)
+    plain_refined, seen = repeats._refined, tmp_path / "seen"
+    seen.mkdir()
+
+    def watched(length, gram):
+        refine = plain_refined(length, gram)
+
+        def run(batches):
+            batches = list(batches)
+            buckets = Counter(b for batch in batches for b in batch.column("bucket").to_pylist())
+            (seen / str(random.random())).write_text(str(max(buckets.values(), default=0)))
+            return refine(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(repeats, "_refined", watched)
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    texts = ["".join(rng.choice("ijklmnop ") for _ in range(70)) + line + "".join(rng.choice("ijklmnop ") for _ in range(70)) for _ in range(60)]
+    rows = [*enumerate(texts), *[(None, texts[0] + "x")] * 30, *[(None, "y" + line)] * 30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(repr, (tuple(r) for r in repeats.repeat_digest(docs, 60, 20).collect())))
+    assert got == sorted(repr((i, *p)) for (i, _), p in zip(rows, plain([t for _, t in rows], 60)))
+    assert max(int(f.read_text()) for f in seen.iterdir()) <= 8
