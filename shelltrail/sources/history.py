@@ -38,10 +38,13 @@ def compact_days(spark: SparkSession, streamed: str, path: str, before: str, pro
     """Moves the days before ``before`` from a streamed archive (a folder per day and micro-batch) into the history.
 
     What the history holds of those days, from an earlier run or for late events, is merged by event id, so a run that
-    broke off is simply run again. Returns the days, which are all that the driver sees.
+    broke off is simply run again. Only the micro-batches that were read leave the archive: what a stream writes beside
+    this run stays for the next. Returns the days; the driver sees them and the numbers of their micro-batches.
     """
     old = prepare(spark).read.option("basePath", streamed).parquet(streamed).where(F.col(DAY) < F.lit(before).cast("date"))
-    days = [row[0] for row in old.select(DAY).distinct().collect()]
+    # The files were listed once, so these are the folders that all reads of `old` see.
+    read = [tuple(row) for row in old.select(DAY, "batch").distinct().collect()]
+    days = sorted({day for day, _ in read})
     if not days:
         return []
     events = old.drop("batch", DAY)
@@ -56,9 +59,9 @@ def compact_days(spark: SparkSession, streamed: str, path: str, before: str, pro
         write_history(dated, path, "overwrite", promote, only_days=True)
     finally:
         Folder(spark, staged).delete()
-    for day in days:
-        Folder(spark, f"{streamed}/{DAY}={day}").delete()
-    return sorted(days)
+    for day, batch in read:
+        Folder(spark, f"{streamed}/{DAY}={day}/batch={batch}").delete()
+    return days
 
 
 def rewrite_history(events: DataFrame, policy: EnvPolicy, out: str | None = None) -> DataFrame:

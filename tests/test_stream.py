@@ -169,3 +169,21 @@ def test_closed_days_are_compacted(spark, arriving, tmp_path):
     ingest()
     history.compact_days(spark, archive, kept, "2024-03-02")
     assert history.read_history(spark, kept).count() == 121 and history.compact_days(spark, archive, kept, "2024-03-02") == []
+
+
+def test_events_that_arrive_during_compaction_stay(spark, make_events, tmp_path, monkeypatch):
+    archive, kept = str(tmp_path / "archive"), str(tmp_path / "kept")
+    first, late = (make_events([{"event_id": i, "start_timestamp": "2024-03-01T08:00:00Z"}]) for i in (1, 2))
+    feeds._archive(first, archive, 0)
+    plain = history.write_history
+
+    def beside(*args, **named):
+        plain(*args, **named)
+        feeds._archive(late, archive, 1)
+
+    monkeypatch.setattr(history, "write_history", beside)
+    history.compact_days(spark, archive, kept, "2024-03-02")
+    monkeypatch.undo()
+    assert spark.read.parquet(archive).count() == 1
+    history.compact_days(spark, archive, kept, "2024-03-02")
+    assert history.read_history(spark, kept).count() == 2
