@@ -64,10 +64,12 @@ class ContextTrees:
     costs no escape. Below the empty context every byte costs eight bits.
     """
 
-    def __init__(self, langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray):
-        self.langs, size = langs, len(langs)
+    def __init__(self, langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray, longest: np.ndarray | None = None):
+        """`longest` is the order up to which a row counts, ORDER if not given."""
+        self.langs, size, rows = langs, len(langs), (lang, key, n)
         self.symbols, self.costs, self.contexts, self.escapes = [], [], [], []
         for order in range(ORDER + 1):
+            lang, key, n = rows if longest is None else (column[longest >= order] for column in rows)
             pair, inverse = np.unique(np.stack([lang.astype(np.uint64), low(key, order)]), axis=1, return_inverse=True)
             of, own = pair[0].astype(np.int64), pair[1]
             count = np.bincount(inverse.ravel(), n)
@@ -106,17 +108,22 @@ class ContextTrees:
 
 
 def fit(docs: DataFrame, learned: Column, fit_docs: int = 400, least: int = 2) -> ContextTrees:
-    """Trees from at most `fit_docs` documents of each language; long contexts seen fewer than `least` times are left out.
+    """Trees from at most `fit_docs` documents of each language. A byte seen fewer than `least` times after a context of
+    ORDER bytes is left out there, and counts in all shorter contexts; a language with one learned byte has a tree.
 
     The tables that reach the driver grow with the number of languages and the sample, not with the corpus.
     """
     known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learned).dropDuplicates(["doc_id"])
     picked = F.broadcast(written(first_per(known, "lang", fit_docs), "language-sample"))
     sample = docs.select("doc_id", "text").join(picked, "doc_id")
-    counts = count_contexts(sample).filter(F.col("n") >= least).toPandas()
+    kept = F.col("n") >= least
+    key = F.when(kept, F.col("key")).otherwise(F.col("key").bitwiseAND(F.lit((1 << (8 * ORDER)) - 1)))
+    longest = F.when(kept, ORDER).otherwise(ORDER - 1)
+    counts = count_contexts(sample).groupBy("lang", key.alias("key"), longest.alias("longest")).agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts.lang))
     number = {name: i for i, name in enumerate(langs)}
-    return ContextTrees(langs, counts.lang.map(number).to_numpy(np.int64), counts.key.to_numpy(np.int64).astype(np.uint64), counts.n.to_numpy(np.float64))
+    columns = counts.lang.map(number).to_numpy(np.int64), counts.key.to_numpy(np.int64).astype(np.uint64), counts.n.to_numpy(np.float64)
+    return ContextTrees(langs, *columns, counts.longest.to_numpy(np.int64))
 
 
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:

@@ -136,3 +136,18 @@ def test_sparse_weights_follow_the_definition():
             z[i] += g - sigma * w[i]
             n[i] += g * g
     assert all(a == pytest.approx(b) for a, b in seen)
+
+
+def test_a_language_with_one_short_document_is_learned(spark):
+    """At the production default of `least`: nothing of a short text comes twice, all of it counts in short contexts."""
+    texts = [(i, f"the cat number {i} sat on the mat", "en") for i in range(40)] + [(40, "zażółć", "pl"), (41, "x", "xx")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    trees = language.fit(docs, F.lit(True))
+    assert trees.langs == ["en", "pl", "xx"]
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs, trees).collect()}
+    assert found == {i: lang for i, _, lang in texts}
+    every = language.fit(docs, F.lit(True), least=1)
+    for order in range(language.ORDER):
+        assert np.array_equal(trees.costs[order], every.costs[order]) and np.array_equal(trees.escapes[order], every.escapes[order])
+    alone = language.fit(docs.filter("lang = 'xx'"), F.lit(True))
+    assert [r.lang_pred for r in language.predict(docs.filter("doc_id = 40"), alone).collect()] == ["xx"]
