@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelltrail.llm import bpe, chat, embeddings, fingerprint, jaccard, language, mixing, quality, repeats, toxicity
+from shelltrail.llm import bpe, chat, embeddings, fingerprint, jaccard, language, mixing, pieces, quality, repeats, toxicity
 from shelltrail.llm.common import fold, table
 
 
@@ -69,6 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.read_model("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -80,4 +84,5 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op13_pieces": op13_pieces,
 }
