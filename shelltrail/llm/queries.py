@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelltrail.llm import bpe, chat, embeddings, fingerprint, jaccard, language, mixing, pieces, quality, repeats, toxicity
+from shelltrail.llm import alignment, bpe, chat, embeddings, fingerprint, jaccard, language, mixing, pieces, quality, repeats, toxicity
 from shelltrail.llm.common import fold, table
 
 
@@ -69,6 +69,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (alignment.tokenizer_file(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.tokenizer_alignment(table(spark, sf_dir, "documents"), first, second)
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.read_model("piece_bpe_32k.model"))
 
@@ -84,5 +89,6 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
     "op13_pieces": op13_pieces,
 }
