@@ -201,9 +201,9 @@ class PrefixTable:
             state[character] = step
         return step
 
-    def last_tokens(self, text: str) -> array:
-        """The last token of each prefix of `text`, spaces written as pieces have them; 4 bytes a character."""
-        last, grow, fits, pairs, shift, state = array("i"), self.grow, self.fits, self.pairs, self.shift, self.states[""]
+    def last_tokens(self, text: str) -> list[int]:
+        """The last token of each prefix of `text`, spaces written as pieces have them; a pointer a character."""
+        last, grow, fits, pairs, shift, state = [], self.grow, self.fits, self.pairs, self.shift, self.states[""]
         for end, character in enumerate(text):
             state, found = state.get(character) or grow(state, character)
             for token, size in found:
@@ -220,7 +220,7 @@ class PrefixTable:
             last.append(token)
         return last
 
-    def backwards(self, last: array) -> list[int]:
+    def backwards(self, last: list[int]) -> list[int]:
         found, sizes, byte_ids = [], self.sizes, self.pieces.byte_ids
         at = len(last) - 1
         while at >= 0:
@@ -238,7 +238,8 @@ class PrefixTable:
         """(decimal ids joined by commas, ids) of a segment."""
         output = self.before.get(text)
         if output is None:
-            ids = tuple(self.backwards(self.last_tokens(text)))
+            whole = self.made.get(text)  # a piece that merges make is its own token
+            ids = tuple(self.backwards(self.last_tokens(text))) if whole is None else (whole,)
             output = (",".join([self.numbers[i] for i in ids]), ids)
         if len(text) <= LONGEST_SEGMENT:
             if len(self.known) >= MOST_SEGMENTS // 2:
@@ -316,7 +317,7 @@ def encode_documents(docs: DataFrame, model: dict, keep_ids: bool = False) -> Da
     ids joined by commas, `decoded_sha256` of the UTF-8 text that the ids decode to. Strings like `<s>` are plain text.
     Null and empty texts have no tokens and the digests of nothing. A U+2581 in a text decodes to a space, as it does in the
     library. Rows are independent: nothing is shuffled, repeated rows give repeated results, null ids stay, other columns
-    are not read. A very long text costs 4 bytes a character between two cuts besides itself.
+    are not read. A very long text costs 8 bytes a character between two cuts besides itself.
     The model and the parts of its pieces (a few MB, a fixed size) go to the workers.
     """
     held = docs.sparkSession.sparkContext.broadcast({"model": model, "parts": Pieces(model).parts})

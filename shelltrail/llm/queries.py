@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelltrail.llm import alignment, bpe, chat, embeddings, fingerprint, jaccard, language, mixing, pieces, quality, repeats, toxicity
+from shelltrail.llm import alignment, bpe, chat, embeddings, fingerprint, jaccard, language, mixing, pieces, quality, repair, repeats, toxicity
 from shelltrail.llm.common import fold, table
 
 
@@ -74,6 +74,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.tokenizer_alignment(table(spark, sf_dir, "documents"), first, second)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair_digest(repair.damaged(turns), turns)
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.read_model("piece_bpe_32k.model"))
 
@@ -90,5 +95,6 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
     "op11_alignment": op11_alignment,
+    "op12_repair": op12_repair,
     "op13_pieces": op13_pieces,
 }
