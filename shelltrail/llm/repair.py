@@ -25,7 +25,7 @@ from shelltrail.llm.common import written
 #: Most symbols of a conversation in one row; a longer conversation has several.
 CHUNK = 1024
 #: Bounds of the grammar. What they leave out is multiplied symbol by symbol: results do not depend on them.
-MOST_RULES, MOST_ROUNDS, RULES_A_ROUND = 96, 16, 8
+MOST_RULES, MOST_ROUNDS, RULES_A_ROUND = 96, 8, 12
 #: Rows of symbols whose product a worker remembers, and the longest of them: some 50 MB at most.
 MOST_PRODUCTS, LONGEST_PRODUCT = 10_000, 32
 #: Rows and characters of text after which a record batch goes out.
