@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelltrail.llm.common import LOWER, Hasher, mixed, runs_of_words, text_steps, word_bytes, word_places, written
@@ -13,15 +13,17 @@ from shelltrail.llm.graph import components
 SHINGLE = 5
 #: Similarity intersection / union >= 3 / 4, in whole numbers.
 OVER, UNDER = 3, 4
-#: Sizes of a band go from its lower end to RATIO times it; its domain has CELLS partitions per element of its largest set.
-RATIO, CELLS = 16, 1
-#: Documents looked at, and how many of those a shingle is in, for it to come late in the order of signatures.
-HOT_SAMPLE, HOT_IN = 10_000, 3
-#: Least and most buckets of the counts that bound how much two sets differ; a set has about half as many as elements.
-BUCKETS = (64, 1 << 20)
-#: Sets that meet each other in one go when pairs are verified.
-BLOCK = 64
-HOT_BIT = np.uint64(1 << 63)
+#: Sizes of a band go up to RATIO times its lower end; its domain has a group per GROUP elements of its largest set, and a
+#: group PARTS partitions, of which signatures cover all but one.
+RATIO, GROUP, PARTS = 2, 6, 3
+#: Documents looked at, how many of those a shingle is in for it to be frequent, and how many frequent shingles are kept.
+HOT_SAMPLE, HOT_IN, HOT_MOST = 10_000, 3, 200_000
+#: Nodes and elements that stand on one side when sets are compared in blocks; a larger set is a block of its own.
+BLOCK_NODES, BLOCK_ELEMENTS = 512, 1 << 19
+#: Columns of a block that are multiplied at once, and rows of one signature that are counted together.
+COLUMNS, RUN = 4096, 1 << 16
+#: A signature that more clusters share is compared as a whole, not cluster by cluster.
+MOST_CLUSTERS = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, inside: np.ndarray) -> list[np.ndarray]:
@@ -54,102 +56,185 @@ def set_hashes(elements: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def bands(size: int) -> list[tuple[int, int, int]]:
-    """(band, cells, most differences) of the one or two bands in which a set of `size` elements meets its partners.
+def bands(sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(which sets, their band, its groups, most differences) of the bands in which sets meet their partners, two at most.
 
-    Partners have between 3/4 and 4/3 of its size. Two sets meet in the band of the larger one. With |A| + |B| = n an
-    intersection of at least 3 n / 7 is needed, so at most n / 7 elements are in one of the two only.
+    Partners have between 3/4 and 4/3 of a set's size, and two sets meet in the band of the larger one: a set's own, or the
+    next. With |A| + |B| = n an intersection of at least 3 n / 7 is needed, so at most n / 7 elements are in one only.
     """
-    band, low = 0, 1
-    while size >= low * RATIO:
-        band, low = band + 1, low * RATIO
-    largest = size * UNDER // OVER
-    found = [(band, CELLS * low * RATIO, (size + min(largest, low * RATIO - 1)) // 7)]
-    if largest >= low * RATIO:
-        found.append((band + 1, CELLS * low * RATIO * RATIO, (size + largest) // 7))
-    return found
-
-
-def signatures(elements: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Signatures of a set (sorted hashes): sets of similarity 3/4 or more share at least one.
-
-    The domain is cut into partitions by hash, and what a set has in a partition is one value. Similar sets differ in at
-    most k partitions, so of all single partitions taken (the subsets enumerated, C(n, 1)) all but k agree. Put the
-    values in one order for all sets: the first k + 1 of each must share one. The order has values of `hot` shingles
-    last, which keeps what many documents share out of the signatures, and goes by hash among equals; any order is right.
-    If a set has so few non-empty partitions that the agreeing ones may all be empty, its elements are values as well.
+    band = np.zeros(len(sizes), np.int64)
+    low = 1
+    while (sizes >= low * RATIO).any():
+        low *= RATIO
+        band += sizes >= low
+    high = np.power(RATIO, band + 1, dtype=np.int64)
+    largest = sizes * UNDER // OVER
+    own = np.arange(len(sizes))
+    more = np.flatnonzero(largest >= high)
+    groups = np.maximum(1, high // GROUP)
+    return [
+        (own, band, groups, (sizes + np.minimum(largest, high - 1)) // 7),
+        (more, band[more] + 1, np.maximum(1, high[more] * RATIO // GROUP), (sizes[more] + largest[more]) // 7),
+    ]
+
+
+def enumerated(elements: np.ndarray, owner: np.ndarray, band: np.ndarray, groups: np.ndarray, most: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, their owners, which owners are safe) of sets whose elements stand together, owners in order.
+
+    The domain is cut into groups by hash and each group into PARTS partitions. A signature is what a set has in a group
+    without one of its partitions; those of nothing are left out. Two sets that differ in at most one element of a group
+    agree without the partition it is in. To lose every signature of a group takes two differences, or one if the set has
+    elements in one partition of it only. So a set needs the groups in order until it would take more than `most`
+    differences to lose them all; of two sets, the one that needs fewer groups shares one of their signatures with the other.
+    A set that runs out of groups is not safe: it may share nothing with a similar set that is not safe either.
     """
-    found = []
-    at = np.searchsorted(hot, elements)
-    is_hot = hot[np.minimum(at, len(hot) - 1)] == elements if len(hot) else np.zeros(len(elements), bool)
-    inner = mixed(elements)
-    for band, cells, most in bands(len(elements)):
-        cell = ((elements >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
-        heads = np.flatnonzero(np.diff(cell, prepend=np.uint64(1 << 62)))
-        values = mixed(np.add.reduceat(inner, heads) + mixed(cell[heads] + np.uint64(band << 40)))
-        late = np.logical_and.reduceat(is_hot, heads)
-        order = (values >> np.uint64(1)) | np.where(late, HOT_BIT, np.uint64(0))
-        if len(values) > most + 1:
-            values = values[np.argpartition(order, most)[: most + 1]]
-        elif len(values) <= most:
-            found.append(mixed(inner + np.uint64((band << 40) + 1)))
-        found.append(values)
-    return np.concatenate(found)
-
-
-def _sets(docs: DataFrame, what: str) -> DataFrame:
-    """Per document: doc_id, n_shingles, h1, h2 and, by `what`, its `counts` or its `elements`.
-
-    `counts` are the elements in each of the domain's parts, a byte each.
+    hashed = mixed(elements + np.uint64(salt * 0x9E37))
+    cell = ((hashed >> np.uint64(32)) * (groups[owner] * PARTS).astype(np.uint64)) >> np.uint64(32)
+    key = (owner.astype(np.uint64) << np.uint64(40)) | cell
+    order = np.argsort(key, kind="stable")
+    key, hashed = key[order], hashed[order]
+    safe = np.zeros(len(groups), bool)
+    if not len(key):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), safe
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    values, key = np.add.reduceat(hashed, heads), key[heads]
+    cell = (key & np.uint64((1 << 40) - 1)).astype(np.int64)
+    group, part = np.divmod(cell, PARTS)
+    holder = (key >> np.uint64(40)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (holder[1:] != holder[:-1])))
+    filled = np.diff(np.append(first, len(group)))
+    group, holder = group[first], holder[first]
+    cost = np.minimum(filled, 2)
+    reach = np.cumsum(cost)
+    starts = np.searchsorted(holder, np.arange(len(groups)))
+    reach -= np.append(0, reach)[starts][holder]
+    safe[holder[reach > most[holder]]] = True
+    taken = reach - cost <= most[holder]
+    inside = np.zeros((len(first), PARTS), np.uint64)
+    inside[np.repeat(np.arange(len(first)), filled), part] = values
+    rest = np.add.reduceat(values, first)[:, None] - inside
+    alone = (filled == 1)[:, None] & (inside != 0)
+    place = (group[:, None] * PARTS + np.arange(PARTS)).astype(np.uint64) + ((band[holder].astype(np.uint64) << np.uint64(40)) + np.uint64(salt << 60))[:, None]
+    there = taken[:, None] & ~alone
+    return mixed(rest + mixed(place))[there], np.broadcast_to(holder[:, None], there.shape)[there], safe
+
+
+def signatures(sets: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, which set each is of): sets of similarity 3/4 or more share at least one. Sets are of distinct elements.
+
+    Elements in `hot` are left out first: two sets differ no more in the rest of the domain. A set that is not safe without
+    them is enumerated once more with all its elements, and one that is not safe then either has each element for a
+    signature. So of two similar sets that share none without `hot` both are enumerated again, and so on.
     """
+    found, owners = [], []
+    sizes = np.array([len(x) for x in sets], np.int64)
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    at = np.minimum(np.searchsorted(hot, every), max(len(hot) - 1, 0))
+    rare = hot[at] != every if len(hot) else np.ones(len(every), bool)
+    of_set = np.repeat(np.arange(len(sets)), sizes)
+    for which, band, groups, most in bands(sizes):
+        chosen = np.flatnonzero(np.isin(of_set, which))
+        if not len(chosen):
+            continue
+        owner = np.searchsorted(which, of_set[chosen])
+        kept = rare[chosen]
+        found_here, of, safe = enumerated(every[chosen[kept]], owner[kept], band, groups, most, 1)
+        found.append(found_here)
+        owners.append(which[of])
+        again = ~safe[owner]
+        found_here, of, safe_too = enumerated(every[chosen[again]], owner[again], band, groups, most, 2)
+        found.append(found_here)
+        owners.append(which[of])
+        single = again & ~safe_too[owner]
+        found.append(mixed(every[chosen[single]] + (band[owner[single]].astype(np.uint64) << np.uint64(40)) + np.uint64(3)))
+        owners.append(which[owner[single]])
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(owners)
+
+
+def node_of(one: int, two: int, clashes: frozenset) -> int:
+    """A set's name: half of its hash, or both halves where different sets share the one."""
+    return one ^ two if one in clashes else one
+
+
+def _sets(docs: DataFrame, elements: bool = False, clashes: frozenset = frozenset()) -> DataFrame:
+    """Per document doc_id, n_shingles, h1, h2; with `elements` instead node, n and the elements of each non-empty set."""
 
     def build(batches):
         hasher, inside = Hasher(29), word_bytes()
         for batch in batches:
-            sizes, ones, twos, more = [], [], [], []
-            for _, _, data, offsets in text_steps(batch.column("text")):
-                for elements in shingle_sets(data, offsets, hasher, inside):
-                    one, two = set_hashes(elements) if len(elements) else (0, 0)
-                    sizes.append(len(elements))
-                    ones.append(one)
-                    twos.append(two)
-                    if what == "counts":
-                        more.append(bucket_counts(elements))
-                    else:
-                        more.append(elements.astype("<u8").tobytes())
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, ones, twos)), pa.array(more, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", what])
-
-    schema = f"doc_id long, n_shingles long, h1 long, h2 long, {what} binary"
+            ids = batch.column("doc_id")
+            for first, _, data, offsets in text_steps(batch.column("text")):
+                sets = shingle_sets(data, offsets, hasher, inside)
+                hashes = [set_hashes(x) if len(x) else (0, 0) for x in sets]
+                sizes = [len(x) for x in sets]
+                if elements:
+                    there = [i for i, n in enumerate(sizes) if n]
+                    values = [pa.array([node_of(*hashes[i], clashes) for i in there], pa.int64()), pa.array([sizes[i] for i in there], pa.int64())]
+                    columns = [*values, pa.array([sets[i].astype("<u8").tobytes() for i in there], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements"])
+                else:
+                    halves = [pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(sizes, pa.int64()), *halves], names=["doc_id", "n_shingles", "h1", "h2"])
+
+    schema = "node long, n long, elements binary" if elements else "doc_id long, n_shingles long, h1 long, h2 long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema)
 
 
-def _signature_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """signature, node: a row per signature of each set, once per equal set of a batch. A node is 64 bits of the set."""
-    late = docs.sparkSession.sparkContext.broadcast(hot)
+def _signature_rows(docs: DataFrame, hot: np.ndarray, clashes: frozenset) -> DataFrame:
+    """signature, node: a row per signature of each set, once per equal set of a batch."""
+    frequent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def build(batches):
-        hasher, inside, hot = Hasher(29), word_bytes(), late.value
+        hasher, inside, hot = Hasher(29), word_bytes(), frequent.value
         for batch in batches:
             seen: set[int] = set()
             for _, _, data, offsets in text_steps(batch.column("text")):
-                found, nodes = [], []
+                sets, nodes = [], []
                 for elements in shingle_sets(data, offsets, hasher, inside):
-                    node = set_hashes(elements)[0] if len(elements) else None
+                    node = node_of(*set_hashes(elements), clashes) if len(elements) else None
                     if node is not None and node not in seen:
                         seen.add(node)
-                        found.append(signatures(elements, hot).view(np.int64))
+                        sets.append(elements)
                         nodes.append(node)
-                if found:
-                    owners = np.repeat(np.array(nodes, np.int64), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owners)], names=["signature", "node"])
+                if sets:
+                    found, of = signatures(sets, hot)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.array(nodes, np.int64)[of])], names=["signature", "node"])
 
     return docs.select("text").mapInArrow(build, "signature long, node long")
 
 
-def hot_shingles(docs: DataFrame, sample: int = HOT_SAMPLE, least: int = HOT_IN) -> np.ndarray:
-    """Shingles in at least `least` of `sample` documents picked by a hash of the id: sample / least times a document's
-    shingles at most, whatever the corpus. They only order signatures; results do not depend on them."""
+def _shared(batches):
+    """Over (signature, node) in order: signature, node, size of the signatures that different nodes have, a row per node.
+
+    `size` counts the nodes, of very many in runs; it only tells which nodes come first.
+    """
+
+    def grouped(signature, node):
+        heads = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
+        size = np.repeat(np.diff(np.append(heads, len(signature))), np.diff(np.append(heads, len(signature))))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (signature[size > 1], node[size > 1], size[size > 1])], names=["signature", "node", "size"])
+
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        signature, node = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in zip(held, ("signature", "node")))
+        if not len(signature):
+            continue
+        new = np.append(True, (signature[1:] != signature[:-1]) | (node[1:] != node[:-1]))
+        signature, node = signature[new], node[new]
+        # The last signature may go on; a run of RUN nodes, which are four at least, goes out but for the last two of them.
+        begins = int(np.searchsorted(signature, signature[-1]))
+        cut = begins if len(signature) - begins < RUN else len(signature) - 2
+        yield grouped(signature[:cut], node[:cut])
+        held = signature[cut:], node[cut:]
+    if len(held[0]):
+        yield grouped(*held)
+
+
+def hot_shingles(docs: DataFrame, sample: int = HOT_SAMPLE, least: int = HOT_IN, most: int = HOT_MOST) -> np.ndarray:
+    """The `most` most frequent shingles of those in at least `least` of `sample` documents, which are picked by a hash of
+    the id. Results do not depend on them."""
     picked = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(31)), "doc_id").limit(sample)
     some = docs.select("doc_id", "text").join(F.broadcast(written(picked.distinct(), "hot-sample")), "doc_id")
 
@@ -158,157 +243,224 @@ def hot_shingles(docs: DataFrame, sample: int = HOT_SAMPLE, least: int = HOT_IN)
             elements = np.frombuffer(b"".join(batch.column("elements").to_pylist()), "<u8")
             yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64))], names=["e"])
 
-    every = _sets(some, "elements").select("elements").mapInArrow(split, "e long")
-    counts = every.groupBy("e").count().filter(F.col("count") >= least)
+    every = _sets(some, elements=True).select("elements").mapInArrow(split, "e long")
+    counts = every.groupBy("e").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "e").limit(most)
     return np.sort(counts.toPandas().e.to_numpy(np.int64).view(np.uint64))
 
 
-def _compared(pairs: DataFrame, values: DataFrame, column: str, fits) -> DataFrame:
-    """Those of `pairs` (a, b) for whose two values, bytes in `column` of (node, ...), `fits` holds."""
+def similar(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Which sets of `one` are similar to which of `other`, from products of their 0/1 rows over what both sides have."""
+
+    def columns(sets, common):
+        owner, place = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, place), max(len(common) - 1, 0))
+        there = common[at] == place if len(common) else np.zeros(len(place), bool)
+        owner, at = owner[there], at[there]
+        order = np.argsort(at, kind="stable")
+        return owner[order], at[order]
+
+    if other is one:
+        values, counts = np.unique(np.concatenate(one), return_counts=True)
+        common = values[counts > 1]
+    else:
+        common = np.intersect1d(np.concatenate(one), np.concatenate(other))
+    sides = [columns(sets, common) for sets in (one, other)]
+    both = np.zeros((len(one), len(other)), np.float64)
+    for low in range(0, len(common), COLUMNS):
+        rows = []
+        for sets, (owner, at) in zip((one, other), sides):
+            a, b = np.searchsorted(at, (low, low + COLUMNS))
+            matrix = np.zeros((len(sets), min(COLUMNS, len(common) - low)), np.float32)
+            matrix[owner[a:b], at[a:b] - low] = 1
+            rows.append(matrix)
+        both += rows[0] @ rows[1].T
+    n, m = (np.array([len(x) for x in sets], np.float64) for sets in (one, other))
+    return UNDER * both >= OVER * (n[:, None] + m - both)
+
+
+def spanning(pairs, parts: list[list[int]]) -> list[int]:
+    """Which of `pairs` of places join parts that the ones before leave apart; `parts` names the part of each place."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for k, (i, j) in enumerate(pairs):
+        a, b = find(parts[0][i]), find(parts[1][j])
+        if a != b:
+            root[a] = b
+            kept.append(k)
+    return kept
+
+
+def _links(batches):
+    """Over rows (unit, x, y, side, node, part, elements) in order: links a, b between sets of different parts, as many as
+    it takes to join what belongs together in a block. Side 0 meets side 1; without a side 1 it meets itself."""
+    names = ("unit", "x", "y", "side", "node", "part", "elements")
+
+    def compared(sides):
+        nodes, parts, sets = ([[row[k] for row in side] for side in sides] for k in range(3))
+        if not sides[0] or (not sides[1] and len(sides[0]) < 2):
+            return None
+        if not sides[1]:
+            nodes[1], parts[1], sets[1] = nodes[0], parts[0], sets[0]
+        found = np.argwhere(similar(sets[0], sets[1]) & (np.array(parts[0])[:, None] != np.array(parts[1]))).tolist()
+        kept = [found[k] for k in spanning(found, parts)]
+        if kept:
+            return pa.RecordBatch.from_arrays([pa.array([nodes[side][pair[side]] for pair in kept], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    sides, last = ([], []), None
+    for batch in batches:
+        for unit, x, y, side, node, part, elements in zip(*(batch.column(c).to_pylist() for c in names)):
+            if (unit, x, y) != last:
+                links = compared(sides)
+                if links is not None:
+                    yield links
+                sides, last = ([], []), (unit, x, y)
+            sides[side].append((node, part, np.frombuffer(elements, "<u8")))
+    links = compared(sides)
+    if links is not None:
+        yield links
 
-    def compare(batches):
-        for batch in batches:
-            keep = [fits(x, y) for x, y in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = values.select(F.col("node").alias("a"), F.col(column).alias("one"))
-    other = values.select(F.col("node").alias("b"), F.col(column).alias("other"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(compare, "a long, b long")
+def _pieces(rows: str, elements: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_NODES), F.ceil(F.col(elements) / BLOCK_ELEMENTS), F.lit(1)).cast("int")
 
 
-def bucket_counts(elements: np.ndarray) -> bytes:
-    """Elements by their hash modulo a power of two that grows with the set, 255 at most in each."""
-    least, most = BUCKETS
-    buckets = min(most, max(least, 1 << max(0, len(elements) // 2 - 1).bit_length()))
-    counts = np.bincount((elements & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+def _spread(asked: DataFrame) -> DataFrame:
+    """unit, x, y, side, node, part: every row of `asked` (unit, side, node, part, n) in the blocks in which it meets others.
 
+    The nodes of a side are dealt to blocks by their hash. Each block of side 0 meets each of side 1; of a unit with one
+    side only, blocks meet each other once and themselves. A node is in as many blocks as its unit has on the other side.
+    """
+    side = F.col("side")
+    sizes = asked.groupBy("unit").agg(
+        *(F.count(F.when(side == k, 1)).alias(f"n{k}") for k in (0, 1)), *(F.coalesce(F.sum(F.when(side == k, F.col("n"))), F.lit(0)).alias(f"e{k}") for k in (0, 1))
+    )
+    cut = sizes.select("unit", _pieces("n0", "e0").alias("p0"), F.when(F.col("n1") > 0, _pieces("n1", "e1")).alias("p1"))
+    dealt = asked.join(cut, "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.when(side == 0, F.col("p0")).otherwise(F.col("p1"))).cast("int"))
+    block = F.col("block")
 
-def _may_fit(x: bytes, y: bytes) -> bool:
-    """False only for sets that differ in more than a seventh of their sizes' sum: each bucket shows at least how much."""
-    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if max(x.max(), y.max()) == 255:
-        return True  # the sum of the counts is not the size here
-    buckets = min(len(x), len(y))
-    x, y = (z.reshape(-1, buckets).sum(0, dtype=np.int32) for z in (x, y))
-    return int(np.abs(x - y).sum()) * (UNDER + OVER) <= int(x.sum() + y.sum()) * (UNDER - OVER)
+    def place(x, y, side):
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).alias("side"))
 
+    def count(end):
+        return F.filter(F.sequence(F.lit(0), end), lambda i: i < end)
 
-def _fit(x: bytes, y: bytes) -> bool:
-    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return UNDER * both >= OVER * (len(x) + len(y) - both)
+    two_sided = F.when(side == 0, F.transform(count(F.col("p1")), lambda y: place(block, y, 0))).otherwise(F.transform(count(F.col("p0")), lambda x: place(x, block, 1)))
+    later = F.transform(F.filter(count(F.col("p0")), lambda y: y >= block), lambda y: place(block, y, 0))
+    earlier = F.transform(count(block), lambda x: place(x, block, 1))
+    places = F.when(F.col("p1").isNotNull(), two_sided).otherwise(F.concat(later, earlier))
+    return dealt.select("unit", "node", "part", F.explode(places).alias("at")).select("unit", "at.x", "at.y", "at.side", "node", "part")
 
 
-def _in_blocks(pairs: DataFrame) -> DataFrame:
-    """a, b, part, i, j: nodes that pairs connect are numbered, and a pair belongs to the blocks of its two numbers.
+def links_in_blocks(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b of similarity 3/4 or more between nodes of different parts that meet in a unit of `asked` (unit, side, node,
+    part): enough of them to join all that belongs together. Sets travel once for each block, pairs never do."""
+    key = ["unit", "x", "y"]
+    rows = _spread(asked.join(sets.select("node", "n"), "node")).join(sets.select("node", "elements"), "node")
+    ready = rows.select(*key, "side", "node", "part", "elements").repartition(*key).sortWithinPartitions(*key, "side")
+    return ready.mapInArrow(_links, "a long, b long")
 
-    The members of a family of near copies are in many pairs; in blocks of BLOCK a set travels once for each block that
-    its own one meets, not once for each pair, and no task holds more than two blocks.
-    """
-    parts = components(pairs)
-    place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
-    numbered = written(parts.select("node", F.col("component").alias("part"), F.floor(place / BLOCK).cast("int").alias("block")), "blocks")
-    one = numbered.select(F.col("node").alias("a"), "part", F.col("block").alias("block_a"))
-    other = numbered.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
-    named = pairs.join(one, "a").join(other, "b")
-    return named.select("a", "b", "part", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"))
-
-
-def _fit_in_blocks(batches):
-    """Over rows sorted by (part, i, j), in each of which sets (a, elements) stand before pairs (a, b): the pairs that fit."""
-    sets, last = {}, None
-    for batch in batches:
-        found = []
-        for part, i, j, a, b, elements in zip(*(batch.column(c).to_pylist() for c in ("part", "i", "j", "a", "b", "elements"))):
-            if (part, i, j) != last:
-                sets, last = {}, (part, i, j)
-            if b is None:
-                sets[a] = elements
-            elif _fit(sets[a], sets[b]):
-                found.append((a, b))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) of nodes whose shingle sets, built anew from the whole texts, have similarity 3/4 or more.
-
-    The counts of `nodes` come first: most pairs that share a common passage only are ruled out by them, for certain.
+
+def stars(met: DataFrame) -> DataFrame:
+    """node, centre: of each signature the node that is in the largest signatures is the centre; of the centres a node meets,
+    it gets the one it shares most signatures with. The original of a family of copies is the centre of most."""
+    weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    centre = met.join(weight, "node").groupBy("signature").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"), F.max("weight").alias("weight"))
+    with_centre = met.join(centre, "signature").filter("node <> centre")
+    shared = with_centre.groupBy("node", "centre").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+    return shared.groupBy("node").agg(F.max_by("centre", F.struct("n", "weight", "centre")).alias("centre"))
+
+
+def open_units(met: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
+    """unit, side, node, part of what is still to be compared: nodes that share a signature and are in different components.
+
+    Nodes with the same centre are a cluster. A unit is: a cluster, whose nodes meet each other; a cluster and the nodes of
+    smaller clusters that share a signature with one of its nodes; or, where more than MOST_CLUSTERS clusters share a
+    signature, that signature. So rows grow with nodes and clusters, not with pairs of nodes.
     """
-    close = _in_blocks(written(_compared(pairs, nodes, "counts", _may_fit), "close-pairs"))
-    close = written(close, "close-pairs")
-    key = ["part", "i", "j"]
-    needed = close.select(*key, "a").union(close.select(*key, "b")).distinct()
-    ids = needed.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    named = written(ids.select(F.col("doc_id").alias("_doc")).distinct(), "pair-ids")
-    texts = docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("_doc"), "left_semi")
-    # An id may stand for several texts; the set's own hash tells which one is meant.
-    sets = written(_sets(texts, "elements").select(F.col("h1").alias("a"), "elements").dropDuplicates(["a"]), "pair-sets")
-    there = needed.join(sets, "a").select(*key, "a", F.lit(None).cast("long").alias("b"), "elements")
-    asked = close.select(*key, "a", "b", F.lit(None).cast("binary").alias("elements"))
-    ready = there.union(asked).repartition(*key).sortWithinPartitions(*key, F.col("b").isNotNull())
-    return ready.mapInArrow(_fit_in_blocks, "a long, b long").distinct()
+    centres = near.select(F.col("centre").alias("c")).distinct()
+    cluster = met.select("node").distinct().join(near, "node", "left").join(centres, F.col("node") == F.col("c"), "left")
+    cluster = cluster.select("node", F.when(F.col("c").isNotNull(), F.col("node")).otherwise(F.col("centre")).alias("cluster"))
+    cluster = cluster.withColumn("cluster", F.coalesce("cluster", "node"))
+    named = written(cluster.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("part")), "clusters")
+    rows = met.select("signature", "node").join(named, "node")
+    spans = rows.groupBy("signature").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.bit_xor("node").alias("s1"), F.bit_xor(F.xxhash64("node")).alias("s2"))
+    # Signatures that the same nodes share say the same: one of them is enough.
+    once = spans.filter("low < high").groupBy("n", "s1", "s2").agg(F.min("signature").alias("signature")).select("signature")
+    rows = written(rows.join(once, "signature", "left_semi"), "open-signatures")
+
+    groups = rows.groupBy("signature", "cluster").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    sizes = rows.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("size"))
+    groups = written(groups.join(sizes, "cluster"), "open-groups")
+    many = groups.groupBy("signature").agg(F.count("*").alias("k"), F.min("low").alias("s_low"), F.max("high").alias("s_high"))
+    crowded = many.filter(F.col("k") > MOST_CLUSTERS).select("signature")
+    unit = lambda kind, column: F.concat(F.lit(kind), F.col(column).cast("string")).alias("unit")
+    whole = rows.join(crowded, "signature", "left_semi").select(unit("s", "signature"), F.lit(0).alias("side"), "node", "part")
+
+    calm = groups.join(crowded, "signature", "left_anti")
+    within = calm.filter("low < high").select("signature", "cluster")
+    inner = rows.join(within, ["signature", "cluster"], "left_semi").select(unit("c", "cluster"), F.lit(0).alias("side"), "node", "part").distinct()
+    host = calm.select("signature", F.col("cluster").alias("host"), F.struct("size", "cluster").alias("h_rank"), F.col("low").alias("h_low"), F.col("high").alias("h_high"))
+    guest = calm.select("signature", "cluster", F.struct("size", "cluster").alias("rank"), "low", "high")
+    apart = (F.col("h_low") != F.col("high")) | (F.col("h_high") != F.col("low"))
+    visits = host.join(guest, "signature").filter((F.col("rank") < F.col("h_rank")) & apart).select("signature", "cluster", "host")
+    guests = written(rows.join(visits, ["signature", "cluster"]).select("host", "node", "part").distinct(), "guests")
+    hosts = rows.select("cluster", "node", "part").distinct().join(guests.select(F.col("host").alias("cluster")).distinct(), "cluster", "left_semi")
+    cross = hosts.select(unit("h", "cluster"), F.lit(0).alias("side"), "node", "part").union(guests.select(unit("h", "host"), F.lit(1).alias("side"), "node", "part"))
+    return whole.union(inner).union(cross)
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable by links of similarity 3/4 or more.
 
-    1. Equal sets are one node, named by 64 bits of the set; copies in a batch give their signatures once.
+    1. Equal sets are one node, named by a hash of the set; copies in a batch give their signatures once.
     2. Nodes that share a signature stand next to each other after one shuffle of (signature, node). Each is first
-       paired with one node, which shares most signatures with most others; those pairs are verified and joined to
-       components, so that a family of copies is one before its members would meet each other.
-    3. Pairs of different components that share a signature and fit in size are verified, all of them. So no link
-       between components is missed, and links inside a component need not be listed.
+       compared with one node, its centre; so that a family of copies is one component before its members would meet.
+    3. Nodes of different components that share a signature are compared, all of them, cluster by cluster in blocks of
+       sets. So no link between components is missed, and links inside a component need not be listed.
     Texts without words, null ones too, have no shingles and link with nothing. Rows that share an id share their links;
     a null id links with nothing that has no other row. The order of words and lines that repeat does not matter.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    member = written(_sets(docs, "counts"), "members")
-    nodes = member.filter("n_shingles > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
-    nodes = written(nodes.filter(F.col("doc_id").isNotNull()), "nodes")
-
-    group = Window.partitionBy("signature")
-    rows = _signature_rows(docs.filter(F.col("doc_id").isNotNull()), hot_shingles(docs))
-    rows = rows.withColumn("before", F.lag("node").over(group.orderBy("node")))
-    met = rows.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group)).withColumn("size", F.count("*").over(group))
-    # Equal sets of several batches are one row again.
-    met = met.filter((F.col("low") < F.col("high")) & ~F.col("before").eqNullSafe(F.col("node")))
-    met = written(met.select("signature", "node", "size"), "signatures")
-
-    # The original of a family of copies has the signatures that most of them kept: it is the one to compare them with.
-    weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = met.join(weight, "node").groupBy("signature").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"), F.max("weight").alias("weight"))
-    with_centre = met.join(centre, "signature").filter("node <> centre")
-    # Of the centres a node meets, the one it shares most signatures with.
-    shared = with_centre.groupBy("node", "centre").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
-    near = shared.groupBy("node").agg(F.max_by("centre", F.struct("n", "weight", "centre")).alias("centre"))
-    tried = written(near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
-    links = written(verified(tried, nodes, docs), "links")
-    found = components(links)
-
-    # Signatures that the same nodes share say the same: one of them is enough.
-    of = met.groupBy("signature").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
-    met = met.join(of.groupBy("n", "x", "y").agg(F.min("signature").alias("signature")).select("signature"), "signature", "left_semi")
-    named = written(
-        met.select("signature", "node").join(nodes.select("node", "n"), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")),
-        "signatures",
-    )
-    spans = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("signature")
-    open_ = named.join(spans, "signature", "left_semi")
-    left = open_.select("signature", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = open_.select("signature", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = (F.least("n_a", "n_b") * UNDER >= F.greatest("n_a", "n_b") * OVER) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    rest = written(left.join(right, "signature").filter(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = components(links.union(verified(rest, nodes, docs)))
+    member = written(_sets(docs), "members")
+    full = member.filter("n_shingles > 0")
+    # Different sets with the same first half of their hash: less than one pair in 10^9 documents.
+    clashes = frozenset(row.h1 for row in full.groupBy("h1").agg(F.min("h2").alias("x"), F.max("h2").alias("y")).filter("x <> y").select("h1").collect())
+    node = F.when(F.col("h1").isin(*clashes), F.col("h1").bitwiseXOR(F.col("h2"))).otherwise(F.col("h1")) if clashes else F.col("h1")
+    full = full.select("doc_id", node.alias("node"))
+    nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter(F.col("doc_id").isNotNull()), "nodes")
+
+    rows = _signature_rows(docs.filter(F.col("doc_id").isNotNull()), hot_shingles(docs), clashes)
+    met = written(rows.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "signature long, node long, size long"), "signatures")
+
+    # Sets of the nodes that share anything, built anew from their texts.
+    ids = written(met.select("node").distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_doc")), "met-nodes")
+    texts = docs.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi")
+    # An id may stand for several texts; the set's own name tells which one is meant.
+    built = _sets(texts, elements=True, clashes=clashes).join(ids.select("node"), "node", "left_semi")
+    sets = written(built.dropDuplicates(["node"]), "sets")
+
+    near = written(stars(met), "stars")
+    star = near.select(F.col("centre").cast("string").alias("unit"), F.lit(1).alias("side"), "node", F.col("node").alias("part"))
+    middle = near.select("centre").distinct().select(F.col("centre").cast("string").alias("unit"), F.lit(0).alias("side"), F.col("centre").alias("node"), F.col("centre").alias("part"))
+    links = written(links_in_blocks(middle.union(star), sets), "links")
+    asked = written(open_units(met, near, components(links)), "open-units")
+    found = components(links.union(written(links_in_blocks(asked, sets), "links")))
 
     # Components are named by sets so far; the smallest id of theirs is the name asked for.
-    parts = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    parts = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     ids = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    parts = parts.join(ids, "component").select("node", "doc_id", "component_id")
+    parts = parts.join(ids, "component").select("node", "component_id")
     # Rows that share an id share their links: their components are one.
-    shared = member.filter("n_shingles > 0").join(parts.select(F.col("node").alias("k"), F.col("component_id").alias("c")), F.col("h1") == F.col("k"))
+    shared = full.join(parts.select(F.col("node").alias("k"), F.col("component_id").alias("c")), F.col("node") == F.col("k"))
     pooled = components(shared.select(F.col("doc_id").alias("a"), F.col("c").alias("b")).filter(F.col("a") != F.col("b")))
-    out = member.select("doc_id", "n_shingles", "h1").join(parts.select(F.col("node").alias("k"), F.col("component_id").alias("c")), (F.col("h1") == F.col("k")) & (F.col("n_shingles") > 0), "left")
+    every = member.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, node).alias("k"))
+    out = every.join(parts.select("node", F.col("component_id").alias("c")), F.col("k") == F.col("node"), "left").drop("node")
     out = out.withColumn("c", F.coalesce("c", "doc_id")).join(pooled, F.col("c") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "c").alias("component_id"))

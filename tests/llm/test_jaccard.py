@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shelltrail.llm import jaccard
 
@@ -59,14 +61,96 @@ def test_equals_all_pairs(spark, seed):
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for size in [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 20, 26, 27, 28, 80, 81, 100, 240, 243, 700, 729, 3000]:
-        for _ in range(40):
+        for round_ in range(40):
             shared = rng.integers(0, 1 << 63, size, dtype=np.uint64)
             extra = rng.integers(0, 1 << 63, size, dtype=np.uint64)
             total = size * 4 // 3
             mine = rng.integers(0, total - size + 1)
             a, b = np.sort(np.append(shared, extra[:mine])), np.sort(np.append(shared, extra[mine : total - size]))
-            hot = np.sort(rng.choice(a, len(a) // 2, replace=False))
-            assert set(jaccard.signatures(a, hot)) & set(jaccard.signatures(b, hot)), (size, len(a), len(b))
+            hot = np.sort(rng.choice(a, len(a) * (round_ % 5) // 4, replace=False))
+            found, of = jaccard.signatures([a, b], hot)
+            assert set(found[of == 0]) & set(found[of == 1]), (size, len(a), len(b))
+            alone, _ = jaccard.signatures([b], hot)
+            assert sorted(alone) == sorted(found[of == 1])
+
+
+def test_similar_in_columns(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    base = [set(rng.integers(0, 60, 30).tolist()) for _ in range(6)]
+    sets = [x - set(rng.integers(0, 60, rng.integers(0, 9)).tolist()) or {1} for x in base for _ in range(5)]
+    arrays = [np.array(sorted(x), np.uint64) for x in sets]
+    want = [[100 * len(x & y) >= 75 * len(x | y) for y in sets] for x in sets]
+    assert jaccard.similar(arrays, list(arrays)).tolist() == want
+    own = jaccard.similar(arrays, arrays)
+    assert [[own[i][j] for j in range(30) if j != i] for i in range(30)] == [[want[i][j] for j in range(30) if j != i] for i in range(30)]
+
+
+def pa_batches(signature, node, size):
+    return [pa.RecordBatch.from_arrays([pa.array(signature[i : i + size], pa.int64()), pa.array(node[i : i + size], pa.int64())], names=["signature", "node"]) for i in range(0, len(node), size)]
+
+
+@pytest.mark.parametrize("run", [4, 1 << 16])
+def test_shared_signatures(monkeypatch, run):
+    monkeypatch.setattr(jaccard, "RUN", run)
+    rng = random.Random(4)
+    rows = sorted((rng.randint(0, 12) ** 2, rng.randint(0, 9)) for _ in range(200)) + [(999, 1), (999, 1)]
+    for size in (1, 2, 7, 500):
+        got = [tuple(row.values())[:2] for batch in jaccard._shared(iter(pa_batches(*zip(*rows), size))) for row in batch.to_pylist()]
+        once = sorted(set(rows))
+        assert got == [r for r in once if sum(x[0] == r[0] for x in once) > 1]
+
+
+def unlike(count, rng, passage=0, own=120):
+    """Texts that share a passage of their own each and nothing else."""
+    common = " ".join(f"c{i}" for i in range(passage))
+    return [common + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(own)) for _ in range(count)]
+
+
+def counted(spark, monkeypatch, texts):
+    """(components, rows that were compared in the last step)."""
+    seen = []
+    plain_units = jaccard.open_units
+    monkeypatch.setattr(jaccard, "open_units", lambda *tables: seen.append(plain_units(*tables)) or seen[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_components(docs).collect()}
+    return got, jaccard._spread(seen[0].withColumn("n", F.lit(100))).count()
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    texts = unlike(2000, random.Random(5), passage=60)
+    got, rows = counted(spark, monkeypatch, texts)
+    assert all(i == c for i, c in got.items()) and rows < 2 * len(texts)
+
+
+def test_a_family_of_near_copies(spark, monkeypatch):
+    rng = random.Random(6)
+    original = [f"o{i}" for i in range(150)]
+    texts = [" ".join(original)]
+    for n in range(700):  # from one word changed to most shingles changed
+        copy = list(original)
+        for at in rng.sample(range(150), 1 + n % 12):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    got, rows = counted(spark, monkeypatch, texts)
+    assert got == {i: c for i, (_, c) in plain(texts).items()}
+    assert rows < 8 * len(texts) and 1 < len(set(got.values())) < len(texts)
+
+
+@pytest.mark.parametrize("name, value", [("BLOCK_NODES", 3), ("BLOCK_ELEMENTS", 100), ("MOST_CLUSTERS", 1), ("HOT_IN", 2)])
+def test_small_blocks(spark, monkeypatch, name, value):
+    monkeypatch.setattr(jaccard, name, value)
+    texts = fixture(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(docs).collect()} == plain(texts)
+
+
+def test_sets_with_half_a_hash_in_common(spark, monkeypatch):
+    whole = jaccard.set_hashes
+    monkeypatch.setattr(jaccard, "set_hashes", lambda elements: (whole(elements)[0] % 3, whole(elements)[1]))
+    texts = fixture(5)[:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(docs).collect()} == plain(texts)
 
 
 def test_odd_tables(spark):
@@ -75,17 +159,3 @@ def test_odd_tables(spark):
     got = sorted((tuple(r) for r in jaccard.similarity_components(docs).collect()), key=str)
     assert got == sorted([(5, 2, 5), (5, 2, 5), (5, 3, 5), (9, 3, 5), (None, 2, 5), (None, 0, None)], key=str)
     assert jaccard.similarity_components(docs.limit(0)).count() == 0
-
-
-def test_counts_rule_out_no_similar_sets():
-    rng = np.random.default_rng(2)
-    for size in [1, 2, 5, 40, 129, 700, 5000]:
-        for _ in range(30):
-            shared = rng.integers(0, 1 << 63, size, dtype=np.uint64)
-            total = size * 4 // 3
-            extra = rng.integers(0, 1 << 63, total - size, dtype=np.uint64)
-            mine = rng.integers(0, total - size + 1)
-            a, b = np.append(shared, extra[:mine]), np.append(shared, extra[mine:])
-            assert jaccard._may_fit(jaccard.bucket_counts(a), jaccard.bucket_counts(b))
-    far = [jaccard.bucket_counts(rng.integers(0, 1 << 63, 6000, dtype=np.uint64)) for _ in range(2)]
-    assert not jaccard._may_fit(*far)
