@@ -7,17 +7,22 @@ import codecs
 import hashlib
 import itertools
 import os
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: States of the transducer, pieces whose whole output it keeps, and the longest such piece in bytes.
-MOST_STATES = 200_000
-MOST_PIECES = 400_000
+#: What a worker remembers: states of the transducer (about 450 bytes each), ids of whole pieces (220 bytes), verdicts on
+#: pairs (100 bytes); some 150 MB in all. Of the pieces and verdicts the older half goes when there are too many.
+MOST_STATES = 150_000
+MOST_PIECES = 300_000
+MOST_PAIRS = 200_000
+#: The longest piece whose output is remembered, in bytes, and ids after which a record batch goes out.
 LONGEST_PIECE = 64
+IDS_OUT = 1 << 18
 
 NOTHING = -1
-KINDS = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+KINDS = (pa.int64(), pa.string(), pa.string())
 
 
 def vocabulary(name_or_path: str) -> bytes:
@@ -47,7 +52,7 @@ class Transducer:
 
     States and transitions are made when a text first needs them, and kept: at most MOST_STATES, then the machine starts
     anew. Later tokens begin within the state's suffix, so what all its places agree on is written (`feed`): the lookahead
-    is bounded by the longest token. `outputs` keeps what short pieces gave, MOST_PIECES at most.
+    is bounded by the longest token. `outputs` keeps what short pieces gave.
     """
 
     def __init__(self, rank_file: bytes, splits: dict[int, tuple[int, int]] | None = None):
@@ -55,10 +60,13 @@ class Transducer:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.begins = {token[:n] for token in self.ranks for n in range(1, len(token))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.fits_before: dict[int, bool] = {}
         self.splits = self.merges() if splits is None else splits
         self.unmade = {rank for rank, size in self.sizes.items() if size > 1 and rank not in self.splits}
-        self.outputs: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.outputs: dict[str, tuple[int, ...]] = {}
+        self.outputs_before: dict[str, tuple[int, ...]] = {}
+        self.numbers = {rank: str(rank) for rank in self.tokens}
         self.start: dict = {None: (b"", (NOTHING,))}
         self.states: dict[tuple, dict] = {}
 
@@ -90,12 +98,15 @@ class Transducer:
         """
         if left == NOTHING:
             return right not in self.unmade
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4 * MOST_PIECES:
-                self.fits.clear()
-            known = self.fits[key] = self._apart(left, right)
+            known = self.fits_before.get(key)
+            if known is None:
+                known = self._apart(left, right)
+            if len(self.fits) >= MOST_PAIRS // 2:
+                self.fits_before, self.fits = self.fits, {}
+            self.fits[key] = known
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -164,16 +175,18 @@ class Transducer:
             end -= self.sizes[lasts[end - 1]]
         return found[::-1]
 
-    def piece(self, text: str) -> tuple[str, tuple[int, ...]]:
-        """(decimal ids joined by spaces, ids) of one match of the pattern. A piece that is a token is that token."""
-        data = text.encode()
-        whole = self.ranks.get(data)
-        ids = tuple(self.feed(data)) if whole is None else (whole,)
-        output = (" ".join(map(str, ids)), ids)
-        if len(data) <= LONGEST_PIECE:
-            if len(self.outputs) >= MOST_PIECES:
-                self.outputs.clear()
-            self.outputs[text] = output
+    def piece(self, text: str) -> tuple[int, ...]:
+        """Ids of one match of the pattern. A piece that is a token is that token."""
+        output = self.outputs_before.get(text)
+        if output is None:
+            data = text.encode()
+            whole = self.ranks.get(data)
+            output = tuple(self.feed(data)) if whole is None else (whole,)
+            if len(data) > LONGEST_PIECE:
+                return output
+        if len(self.outputs) >= MOST_PIECES // 2:
+            self.outputs_before, self.outputs = self.outputs, {}
+        self.outputs[text] = output
         return output
 
 
@@ -222,27 +235,38 @@ def encode_documents(docs: DataFrame, rank_file: bytes, split: str | None = None
 
         shared, matches = held.value, regex.compile(split)
         machine = shared.get("machine") or shared.setdefault("machine", Transducer(shared["ranks"], shared["splits"]))
-        known = machine.outputs
+        numbers = machine.numbers.__getitem__
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                ids_hash, bytes_hash, n, ids, space = hashlib.sha256(), hashlib.sha256(), 0, [], ""
+            rows, ids, first = [], array("i"), 0
+            for place, text in enumerate(batch.column("text")):
+                ids_hash, bytes_hash, n, space = hashlib.sha256(), hashlib.sha256(), 0, ""
                 decoder = Decoder(machine.tokens)
                 for some in pieces(matches, text.as_py() or ""):
-                    outputs = [known.get(piece) or machine.piece(piece) for piece in some]
-                    if not outputs:
+                    known = machine.outputs
+                    found = [i for piece in some for i in known.get(piece) or machine.piece(piece)]
+                    if not found:
                         continue
-                    ids_hash.update((space + " ".join([x[0] for x in outputs])).encode())
+                    ids_hash.update((space + " ".join(map(numbers, found))).encode())
                     space = " "
-                    found = [i for x in outputs for i in x[1]]
                     n += len(found)
-                    bytes_hash.update(decoder.feed(found))
+                    # Through the decoder's state machine: what reaches the digest are whole characters.
+                    bytes_hash.update(decoder.text(decoder.feed(found)).encode())
                     if keep_ids:
-                        ids += found
-                rows.append((n, ids_hash.hexdigest(), bytes_hash.hexdigest(), ids))
-            columns = [batch.column("doc_id"), *(pa.array(c, kind) for c, kind in zip(zip(*rows), KINDS))] if rows else []
+                        ids.extend(found)
+                bytes_hash.update(decoder.finish().encode())
+                rows.append((n, ids_hash.hexdigest(), bytes_hash.hexdigest()))
+                if len(ids) >= IDS_OUT:
+                    yield out(batch, first, rows, ids)
+                    rows, ids, first = [], array("i"), place + 1
             if rows:
-                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+                yield out(batch, first, rows, ids)
+
+    def out(batch, first, rows, ids):
+        columns = [batch.column("doc_id").slice(first, len(rows)), *(pa.array(c, kind) for c, kind in zip(zip(*rows), KINDS))]
+        if keep_ids:
+            ends = list(itertools.accumulate((row[0] for row in rows), initial=0))
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

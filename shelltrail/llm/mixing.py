@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelltrail.llm.common import text_steps, word_bytes, word_places, written
+from shelltrail.plans.once import worked_out
 
 
 def word_count(text: Column) -> Column:
@@ -67,9 +68,10 @@ def _share(docs: DataFrame, targets: DataFrame, max_epochs: int, seed: int, doc_
     size, of = F.col("_mix_size"), F.col("_mix_source_size")
     exact = F.when(of > 0, size * F.col("_mix_target") / of).otherwise(F.lit(0.0))
     whole = F.when(size > 0, F.floor(F.col("_mix_taken") / size)).otherwise(F.lit(0)).cast("long")
+    # Words are counted once a row, whatever is filtered by their number later.
+    sized = worked_out(docs, {"_mix_size": word_count(F.col(text))})
     return (
-        docs.join(renamed, F.col(source).eqNullSafe(F.col("_mix_source")))
-        .withColumn("_mix_size", word_count(F.col(text)))
+        sized.join(renamed, F.col(source).eqNullSafe(F.col("_mix_source")))
         .withColumn("_mix_taken", F.least(F.floor(exact + draw).cast("long"), size * max_epochs))
         .withColumn("_mix_whole", whole)
         .withColumn("_mix_part", F.col("_mix_taken") - F.col("_mix_whole") * size)

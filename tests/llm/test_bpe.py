@@ -23,7 +23,7 @@ TEXTS = [
 
 
 def ids_of(text):
-    return [i for piece in MATCHES.findall(text) for i in MACHINE.piece(piece)[1]]
+    return [i for piece in MATCHES.findall(text) for i in MACHINE.piece(piece)]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -45,13 +45,16 @@ def test_a_long_piece_is_written_before_its_end():
 
 def test_a_full_machine_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_STATES", 20)
-    monkeypatch.setattr(bpe, "MOST_PIECES", 5)
+    monkeypatch.setattr(bpe, "MOST_PIECES", 6)
+    monkeypatch.setattr(bpe, "MOST_PAIRS", 8)
     machine = bpe.Transducer(RANKS)
     for text in TEXTS:
-        assert [i for piece in MATCHES.findall(text) for i in machine.piece(piece)[1]] == LIBRARY.encode_ordinary(text)
+        assert [i for piece in MATCHES.findall(text) for i in machine.piece(piece)] == LIBRARY.encode_ordinary(text)
 
 
-def test_documents_and_round_trip(spark):
+@pytest.mark.parametrize("ids_out", [1 << 18, 300])
+def test_documents_and_round_trip(spark, monkeypatch, ids_out):
+    monkeypatch.setattr(bpe, "IDS_OUT", ids_out)
     rows = [(i, text, "extra") for i, text in enumerate([*TEXTS, None, TEXTS[3]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     encoded = bpe.encode_documents(docs, RANKS, keep_ids=True)
