@@ -173,6 +173,11 @@ def train_next_command(
         forest = RandomForestClassifier(
             numTrees=trees, maxDepth=max_depth, seed=seed, featuresCol="features", labelCol="label", maxMemoryInMB=1024
         ).fit(train)
+        # A forest of two classes holds on to its training summary, and through it to the session, which tasks cannot
+        # take along; one that was saved and loaded does not.
+        paths.append(scratch_path(spark, "forest"))
+        forest.write().save(paths[-1])
+        forest = RandomForestClassificationModel.load(paths[-1])
         return NextCommandModel(features, labels, forest, evaluate_accuracy(forest, test), train.count(), test.count())
     finally:
         for path in paths:

@@ -1,8 +1,10 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelltrail.operators import predict
+from shelltrail.sources import history
 from test_text import python_ngrams
 
 CYCLE = ["git add .", "git commit -m 'x y'", "git push", "make test", "ls -la"]
@@ -103,3 +105,12 @@ def test_same_seed_same_model(log, model):
 def test_rare_labels_are_errors_not_hits(log):
     narrow = predict.train_next_command(log, trees=5, max_depth=4, max_classes=1)
     assert len(narrow.labels) == 1 and narrow.accuracy <= 0.25
+
+
+def test_two_classes_after_an_observation(log, spark):
+    lines = log.select(F.to_json(F.struct("command")).alias("value"))
+    watched, counts = history.observe_ingest(lines)
+    assert watched.count() == 800 and counts.get["received"] == 800
+    found = predict.train_next_command(log, trees=3, max_depth=4, max_classes=1)
+    listed = predict.predict_next_command(found, log, ["hostname", "user"], 1).collect()
+    assert len(listed) == 2 and {row["command"] for row in listed} == set(found.labels)
