@@ -23,6 +23,8 @@ from shelltrail.llm.common import written
 #: Segments a worker remembers (the older half goes when they are too many), and the longest of them in characters.
 MOST_SEGMENTS = 160_000
 LONGEST_SEGMENT = 40
+#: Characters of unknown segments that are read in one go.
+ROW_CHARS = 1 << 14
 #: Characters of text whose segments are looked at in one go, and of a long text the segments in one go.
 STEP_CHARS = 1 << 20
 AT_ONCE = 1 << 14
@@ -75,6 +77,8 @@ class Pair:
         for i in sorted(ids, key=model.is_byte):  # a piece comes before a byte that says the same
             if self.b_bytes[i]:
                 places.setdefault(self.b_bytes[i], i)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.words = self._words()
         self.identity = np.array([places.get(data, -1) if i not in special else -1 for i, data in enumerate(self.a_bytes)], np.int64)
 
     @staticmethod
@@ -89,6 +93,73 @@ class Pair:
         b = self.second.encode([segment[1:] for segment in segments], num_threads=1)
         return [(x, y if segment != " " else [self.lone_space]) for segment, x, y in zip(segments, a, b)]
 
+    def _words(self) -> list[str]:
+        """An id and what follows it: of A a comma or, as a group's last, a bar; of B a comma, a semicolon, or a line's end."""
+        ends = [(self.a_bytes, ","), (self.a_bytes, "|"), (self.b_bytes, ","), (self.b_bytes, ";"), (self.b_bytes, "\n")]
+        self.follow = np.cumsum([0, *(len(side) for side, _ in ends)])
+        return [f"{i}{end}" for side, end in ends for i in range(len(side))]
+
+    def aligned(self, segments: list[str]) -> list[tuple | None]:
+        """What `align` gives for each segment. Segments are read in rows of them, as one text each; one that ends in white
+        space, or whose row does not have its bytes, is read by itself."""
+        out: dict[str, tuple | None] = {}
+        rows, size, alone = [[]], 0, []
+        for segment in segments:
+            if segment[-1].isspace() or len(segment) > LONGEST_SEGMENT:
+                alone.append(segment)
+                continue
+            rows[-1].append(segment)
+            size += len(segment)
+            if size > ROW_CHARS:
+                rows.append([])
+                size = 0
+        for row in rows:
+            found = self._aligned_row(row) if row else []
+            if found is None:
+                alone += row
+            else:
+                out.update(zip(row, found))
+        for segment, (a, b) in zip(alone, self.encode(alone) if alone else ()):
+            out[segment] = self.align(segment, a, b)
+        return [out[segment] for segment in segments]
+
+    def _aligned_row(self, segments: list[str]) -> list[tuple] | None:
+        text = "".join(segments)
+        data = text.encode()
+        a, b = self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:])
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.union1d(a_ends, b_ends)
+        a_of, b_of = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        cut = (a_ends[a_of] == ends) & (b_ends[b_of] == ends)
+        group_ends = ends[cut]
+        stops = np.cumsum([len(segment.encode()) for segment in segments])
+        last = np.searchsorted(group_ends, stops)  # the last group of each segment
+        if (group_ends[last] != stops).any():
+            return None
+        group = np.searchsorted(group_ends, ends)
+        linked_a, linked_b = a[a_of], b[b_of]
+        regular = (np.bincount(group)[group] == 1) & (self.identity[linked_a] == linked_b)
+        segment = np.searchsorted(last, group)
+
+        n = len(segments)
+        a_group, b_group = np.searchsorted(group_ends, a_ends), np.searchsorted(group_ends, b_ends)
+        a_final, b_final = (np.append(x[1:] != x[:-1], True) for x in (a_group, b_group))
+        closes = np.zeros(len(group_ends), bool)
+        closes[last] = True
+        codes = np.concatenate([a + self.follow[a_final.astype(int)], b + self.follow[2 + b_final + (b_final & closes[b_group])]])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        lines = "".join(map(self.words.__getitem__, codes[order].tolist())).split("\n")
+        counts = [np.bincount(np.searchsorted(last, x), minlength=n).tolist() for x in (a_group, b_group, np.arange(len(group_ends)), group)]
+        sides = []
+        for values, mask in ((linked_a, regular), (linked_a << SHIFT | linked_b, ~regular)):
+            places = np.append(0, np.cumsum(np.bincount(segment[mask], minlength=n))).tolist()
+            flat = values[mask].tolist()
+            sides.append([tuple(flat[i:j]) for i, j in zip(places, places[1:])])
+        return list(zip(*counts, lines, *sides))
+
     def align(self, segment: str, a: list[int], b: list[int]) -> tuple | None:
         """(tokens of A, of B, groups, links, groups as text, ids of A in one-to-one groups, other pairs), or None if the
         tokens do not have the segment's bytes."""
@@ -142,8 +213,8 @@ class Aligner:
                 out[segment] = known[segment] = before[segment]
             else:
                 missing.append(segment)
-        for segment, (a, b) in zip(missing, self.pair.encode(missing) if missing else ()):
-            out[segment] = aligned = self.pair.align(segment, a, b)
+        for segment, aligned in zip(missing, self.pair.aligned(missing)):
+            out[segment] = aligned
             if len(segment) <= LONGEST_SEGMENT:
                 known[segment] = aligned
         if len(known) > MOST_SEGMENTS // 2:

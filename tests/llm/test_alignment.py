@@ -115,6 +115,13 @@ def test_segments_have_the_tokens_of_the_whole(text):
         assert [i for _, b in encoded for i in b] == B.encode(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab▁ é東'\n", max_size=7) | st.sampled_from(["the", "x  y", "instructor"]), max_size=12))
+def test_rows_of_segments_equal_single_ones(words):
+    segments = list(dict.fromkeys(alignment.SEGMENTS.findall("".join(" " + word for word in words))))
+    assert PAIR.aligned(segments) == [PAIR.align(x, *ids) for x, ids in zip(segments, PAIR.encode(segments))]
+
+
 def test_identity_has_the_same_bytes():
     there = [(a, b) for a, b in enumerate(PAIR.identity.tolist()) if b >= 0]
     assert len(there) > 10_000 and all(PAIR.a_bytes[a] == PAIR.b_bytes[b] for a, b in there)
