@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -71,6 +72,51 @@ def test_last_events_over_several_batches(spark, arriving, tmp_path):
     )
 
 
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    everyone = [wire(number, env={"USER": f"u{number}"}) for number in range(200)]
+    (folder / "0.json").write_text("\n".join(everyone) + "\n")
+
+    def arrive(name, lines):
+        if lines:
+            (folder / name).write_text("\n".join(lines) + "\n")
+        feeds.recent_events_stream(stream(spark, str(folder)), str(out), str(tmp_path / "check"), 3, buckets=32).awaitTermination()
+
+    def rows_of(version):
+        return spark.read.parquet(f"{out}/rows/version={version}").count()
+
+    arrive("0.json", None)
+    assert rows_of(0) == 200
+    late = [wire(500 + k, hostname="h0", env={"USER": "u4"}) for k in range(5)]
+    arrive("1.json", late)
+    # One key has come: its bucket is written, about one in 32 of the rows.
+    assert len(list((out / "rows" / "version=1").glob("bucket=*"))) == 1 and rows_of(1) < 40
+    for number in range(2, 7):
+        arrive(f"{number}.json", [wire(600 + number, hostname="h1", env={"USER": "u5"})])
+    found = feeds.latest_lists(spark, str(out))
+    want = sequence.last_n_events(source.read_events(spark, str(folder)), 3)
+    names = ("hostname", "user", "event_id", "command")
+    assert rows(found, *names) == rows(want, *names)
+    # Lists that count no more are gone, and what only they named.
+    kept = {path.name for path in (out / "rows").glob("version=*/bucket=*")}
+    assert len(list(out.glob("version=*"))) == 3 and sum(1 for _ in (out / "rows").glob("version=*/bucket=*/*.parquet")) <= len(kept) + 3
+
+
+def test_a_replayed_batch_gives_the_same_last_events(spark, arriving, tmp_path):
+    out, check = tmp_path / "out", tmp_path / "check"
+
+    def go():
+        feeds.recent_events_stream(stream(spark, arriving), str(out), str(check), 7).awaitTermination()
+        return rows(feeds.latest_lists(spark, str(out)), "hostname", "user", "event_id")
+
+    first = go()
+    newest = max((check / "commits").glob("[0-9]*"), key=lambda path: int(path.name))
+    for path in (newest, check / "commits" / f".{newest.name}.crc"):
+        path.unlink(missing_ok=True)
+    assert go() == first
+
+
 def test_latest_directory(spark, arriving, tmp_path):
     updates = run(spark, feeds.latest_directory_stream(stream(spark, arriving)), tmp_path)
     newest = updates.groupBy("hostname", "user").agg(F.max_by("pwd", "batch").alias("pwd"))
@@ -95,6 +141,54 @@ def test_repeated_and_late_delivery(spark, arriving, tmp_path):
     assert spark.read.parquet(out).count() == 120 + 1 + 1 + 1
 
 
+def delivered(spark, folder, tmp_path, monkeypatch, **options):
+    """(archive, folders of identities that each batch asked for)."""
+    asked, plain = [], feeds.known_identities
+    monkeypatch.setattr(feeds, "known_identities", lambda spark, path, folders: asked.append(sorted(folders)) or plain(spark, path, folders))
+    out = str(tmp_path / "out")
+    feeds.dedupe_stream(stream(spark, folder), out, str(tmp_path / "check"), NOW, **options).awaitTermination()
+    return spark.read.parquet(out), asked
+
+
+def test_fresh_events_do_not_ask_the_archive(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    now = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    fresh = [wire(number, start_timestamp=now, end_timestamp=now) for number in range(30)]
+    old = [wire(number) for number in (1, 2)]
+    (tmp_path / "in" / "0.json").write_text("\n".join(fresh + old) + "\n")
+    (tmp_path / "in" / "1.json").write_text("\n".join([*fresh, *old, wire(3)]) + "\n")
+    archive, asked = delivered(spark, str(tmp_path / "in"), tmp_path, monkeypatch)
+    assert archive.count() == 33
+    # Old events ask for the hour and bucket they are in; second deliveries that the state knows ask nothing.
+    assert all(slot == "2024-03-01-10" for folders in asked for slot, _ in folders)
+    assert [len(folders) for folders in asked if folders] == [len({b for _, b in asked[0]}), 1]
+
+
+def test_identities_that_the_state_has_forgotten(spark, arriving, tmp_path, monkeypatch):
+    """With no time in the state, only the table knows."""
+    (tmp_path / "in" / "again.json").write_text("\n".join(wire(number) for number in range(0, 120, 7)) + "\n")
+    archive, _ = delivered(spark, arriving, tmp_path, monkeypatch, keep="0 seconds")
+    assert archive.count() == 120
+    known = str(tmp_path / "out-identities")
+    files = lambda: len(list((tmp_path / "out-identities").glob("slot=*/bucket=*/batch=*/*.parquet")))
+    before = files()
+    assert feeds.compact_identities(spark, known, str(tmp_path / "check"), "2024-03-01-11") == ["2024-03-01-10"]
+    assert files() == 16 < before and feeds.compact_identities(spark, known, str(tmp_path / "check"), "2024-03-01-11") == []
+    (tmp_path / "in" / "once_more.json").write_text("\n".join(wire(number) for number in range(110, 130)) + "\n")
+    archive, _ = delivered(spark, arriving, tmp_path, monkeypatch, keep="0 seconds")
+    assert archive.count() == 130
+
+
+def test_a_replayed_batch_replaces_itself(spark, arriving, tmp_path, monkeypatch):
+    archive, _ = delivered(spark, arriving, tmp_path, monkeypatch)
+    check = tmp_path / "check"
+    newest = max(int(path.name) for path in (check / "commits").glob("[0-9]*"))
+    for path in (check / "commits" / str(newest), check / "commits" / f".{newest}.crc"):
+        path.unlink(missing_ok=True)
+    archive, _ = delivered(spark, arriving, tmp_path, monkeypatch)
+    assert archive.count() == 120
+
+
 def test_late_events_are_counted(spark, arriving, tmp_path):
     (tmp_path / "in" / "late.json").write_text(wire(7, start_timestamp="2024-03-01T07:00:00Z") + "\n")
     updates = run(spark, feeds.commands_over_time_stream(stream(spark, arriving), "1 minute"), tmp_path)
@@ -146,6 +240,27 @@ def test_many_subscriptions(spark, make_events):
     assert {row[0]: row[1] for row in found.collect()} == {"all": 12, "fails": 4, "both": 2}
 
 
+def test_odd_subscriptions(spark, make_events):
+    events = make_events([{"command": "x", "return_code": None, "hostname": "h"}, {"command": "y", "return_code": 0, "hostname": "h"}])
+    asked = [(1, None), (2, {"hostname": None}), (3, {"return_code": "0", "command": "y"}), (4, {"config_version": "1"}), (5, {"command": "z"}), (3, {"hostname": "h"})]
+    frame = spark.createDataFrame(asked, "subscriber_id long, filter map<string,string>")
+    found = feeds.match_subscriptions(events, frame)
+    assert sorted((row["subscriber_id"], row["command"]) for row in found.collect()) == [(1, "x"), (1, "y"), (3, "x"), (3, "y"), (3, "y")]
+    assert feeds.match_subscriptions(events, frame.where("subscriber_id = 2")).count() == 0
+    assert feeds.match_subscriptions(events, frame.where("subscriber_id = 2")).columns == found.columns
+
+
+def test_filters_that_begin_alike_meet_only_their_events(spark, make_events):
+    events = make_events([{"command": f"c{i}", "hostname": f"h{i}", "config_version": "1"} for i in range(50)])
+    asked = [(i, {"_config_version": "1", "hostname": f"h{i}"}) for i in range(10_000)]
+    frame = spark.createDataFrame(asked, "subscriber_id long, filter map<string,string>")
+    found = feeds.match_subscriptions(events, frame)
+    assert sorted(row["subscriber_id"] for row in found.collect()) == list(range(50))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # One join on key set and values, and nothing to be checked after it.
+    assert plan.count("Join Inner, (") == 1 and "forall" not in plan.split("Join Inner")[1].split("\n")[0]
+
+
 def test_metrics(spark, arriving, tmp_path):
     watched = feeds.stream_metrics(stream(spark, arriving), "feed")
     running = feeds.store_batches(watched.drop("env"), str(tmp_path / "o"), str(tmp_path / "c"), "append", NOW)
