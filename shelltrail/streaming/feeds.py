@@ -251,23 +251,25 @@ def dedupe_stream(
     trigger: dict | None = None,
     keep: str = "1 day",
     identities: str | None = None,
+    slot: str = "yyyy-MM-dd",
     buckets: int = 16,
 ) -> StreamingQuery:
     """Archives a stream under ``path``, each event once, however late it or its second delivery comes.
 
     Identities stay in the query's state for ``keep`` after they came; that settles second deliveries that follow soon.
     The clock is that of arrival, so no event is too late for it. All identities are also written to a table
-    (``identities``, by default beside ``path``) with a folder per hour of the event and bucket of its hash. A second
+    (``identities``, by default beside ``path``) with a folder per day of the event and bucket of its hash (``slot`` is a
+    date pattern; a large fleet has hours and more buckets). A second
     delivery has the times of the first, so one that comes when the state has forgotten it is older than half of ``keep``:
     only such events, and those without a time, ask that table, in the folders they would be in. A batch costs what it
     brings and these folders, whatever the archive has. A clock that is ahead by more than half of ``keep`` can hide a
     second delivery that comes later than ``keep``. A replayed batch replaces its own files. Null parts of an identity are
-    equal. ``buckets`` must not change during the life of a table.
+    equal. ``slot`` and ``buckets`` must not change during the life of a table.
     """
     known = identities or f"{path.rstrip('/')}-identities"
     named = with_day(with_user(stream)).withColumn("_same", F.xxhash64(*IDENTITY)).withColumn("_same2", F.sha2(F.to_json(F.struct(*IDENTITY)), 256))
     fresh = named.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", keep).dropDuplicatesWithinWatermark(["_same2"])
-    placed = fresh.withColumn("slot", F.coalesce(F.date_format("start_timestamp", "yyyy-MM-dd-HH"), F.lit("none"))).withColumn(
+    placed = fresh.withColumn("slot", F.coalesce(F.date_format("start_timestamp", slot), F.lit("none"))).withColumn(
         "bucket", F.pmod("_same", F.lit(buckets)).cast("int")
     )
     old = F.col("start_timestamp").isNull() | (F.col("start_timestamp") < F.expr(f"_arrived - (INTERVAL {keep}) / 2"))
@@ -284,7 +286,9 @@ def dedupe_stream(
                 rows = frame.join(before, (F.col("_same") == F.col("k_same")) & (F.col("_same2") == F.col("k_same2")), "left_anti")
             rows = rows.withColumn("batch", F.lit(number))
             columns = [*stream.columns, *[c for c in same if c not in stream.columns], "batch"]
-            for table, folders, target in ((rows.select(*columns), [DAY], path), (rows.select("_same", "_same2", "slot", "bucket", "batch"), ["slot", "bucket"], known)):
+            # One file of identities per folder.
+            marks = rows.select("_same", "_same2", "slot", "bucket", "batch").repartition("slot", "bucket")
+            for table, folders, target in ((rows.select(*columns), [DAY], path), (marks, ["slot", "bucket"], known)):
                 table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "batch").parquet(target)
         finally:
             frame.unpersist()
@@ -308,7 +312,7 @@ def known_identities(spark: SparkSession, path: str, asked: list[tuple[str, int]
 
 
 def compact_identities(spark: SparkSession, path: str, checkpoint: str, before: str) -> list[str]:
-    """Makes one file of each bucket's micro-batches, for the hours before ``before`` (yyyy-MM-dd-HH). Returns these hours.
+    """Makes one file of each bucket's micro-batches, for the slots before ``before``. Returns these slots.
 
     For a stream that stands still. Only batches that its checkpoint has committed are merged, under the number of the last
     of them, as these are never replayed. A run that broke off is run again.

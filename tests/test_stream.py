@@ -159,8 +159,8 @@ def test_fresh_events_do_not_ask_the_archive(spark, tmp_path, monkeypatch):
     (tmp_path / "in" / "1.json").write_text("\n".join([*fresh, *old, wire(3)]) + "\n")
     archive, asked = delivered(spark, str(tmp_path / "in"), tmp_path, monkeypatch)
     assert archive.count() == 33
-    # Old events ask for the hour and bucket they are in; second deliveries that the state knows ask nothing.
-    assert all(slot == "2024-03-01-10" for folders in asked for slot, _ in folders)
+    # Old events ask for the day and bucket they are in; second deliveries that the state knows ask nothing.
+    assert all(slot == "2024-03-01" for folders in asked for slot, _ in folders)
     assert [len(folders) for folders in asked if folders] == [len({b for _, b in asked[0]}), 1]
 
 
@@ -172,8 +172,8 @@ def test_identities_that_the_state_has_forgotten(spark, arriving, tmp_path, monk
     known = str(tmp_path / "out-identities")
     files = lambda: len(list((tmp_path / "out-identities").glob("slot=*/bucket=*/batch=*/*.parquet")))
     before = files()
-    assert feeds.compact_identities(spark, known, str(tmp_path / "check"), "2024-03-01-11") == ["2024-03-01-10"]
-    assert files() == 16 < before and feeds.compact_identities(spark, known, str(tmp_path / "check"), "2024-03-01-11") == []
+    assert feeds.compact_identities(spark, known, str(tmp_path / "check"), "2024-03-02") == ["2024-03-01"]
+    assert files() == 16 < before and feeds.compact_identities(spark, known, str(tmp_path / "check"), "2024-03-02") == []
     (tmp_path / "in" / "once_more.json").write_text("\n".join(wire(number) for number in range(110, 130)) + "\n")
     archive, _ = delivered(spark, arriving, tmp_path, monkeypatch, keep="0 seconds")
     assert archive.count() == 130
