@@ -19,9 +19,12 @@ RATIO, GROUP, PARTS = 2, 6, 3
 #: Documents looked at, how many of those a shingle is in for it to be frequent, and how many frequent shingles are kept.
 HOT_SAMPLE, HOT_IN, HOT_MOST = 10_000, 3, 200_000
 #: Nodes and elements that stand on one side when sets are compared in blocks; a larger set is a block of its own.
-BLOCK_NODES, BLOCK_ELEMENTS = 512, 1 << 19
-#: Columns of a block that are multiplied at once, and rows of one signature that are counted together.
-COLUMNS, RUN = 4096, 1 << 16
+BLOCK_NODES, BLOCK_ELEMENTS = 2048, 1 << 21
+#: Elements of two blocks that are looked at together, columns that are multiplied at once, and how rare among the pairs of two
+#: blocks those of a column are for these to be counted one by one.
+TOGETHER, COLUMNS, RARE = 1 << 17, 2048, 1 / 256
+#: Rows of one signature that are counted together.
+RUN = 1 << 16
 #: A signature that more clusters share is compared as a whole, not cluster by cluster.
 MOST_CLUSTERS = 32
 
@@ -248,32 +251,61 @@ def hot_shingles(docs: DataFrame, sample: int = HOT_SAMPLE, least: int = HOT_IN,
     return np.sort(counts.toPandas().e.to_numpy(np.int64).view(np.uint64))
 
 
+def intersections(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of `one` has in common with each of `other`; sets are sorted, their elements hashes.
+
+    Elements are looked at in ranges, TOGETHER at a time. A column, the sets that have an element, counts for all pairs of
+    the two sides: rare columns pair by pair, the others as products of 0/1 rows.
+    """
+    both = np.zeros((len(one), len(other)))
+    ranges = 1 + sum(len(x) for sets in (one, other) for x in sets) // TOGETHER
+    edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
+    cuts = [[np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in sets] for sets in (one, other)]
+    for r in range(ranges):
+        sides = []
+        for sets, places in zip((one, other), cuts):
+            parts = [x[c[r] : c[r + 1]] for x, c in zip(sets, places)]
+            values, owner = np.concatenate(parts), np.repeat(np.arange(len(sets)), [len(x) for x in parts])
+            order = np.argsort(values, kind="stable")
+            sides.append((values[order], owner[order]))
+        common = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+        if not len(common):
+            continue
+        (n, a), (m, b) = (_columns(*side, common) for side in sides)
+        rare = n * m <= max(1, RARE * both.size)
+        column = np.flatnonzero(rare)
+        if len(column):
+            starts = [np.concatenate([[0], np.cumsum(counts)]) for counts in (n, m)]
+            pairs = n[column] * m[column]
+            of = np.repeat(column, pairs)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            i, j = a[starts[0][of] + place // m[of]], b[starts[1][of] + place % m[of]]
+            both += np.bincount(i * len(other) + j, minlength=both.size).reshape(both.shape)
+        for low in range(0, len(common), COLUMNS):
+            dense = np.flatnonzero(~rare[low : low + COLUMNS])
+            if len(dense):
+                both += _zero_one(n, a, low, dense, len(one)) @ _zero_one(m, b, low, dense, len(other)).T
+    return both
+
+
+def _columns(values: np.ndarray, owner: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets have each element of `common`, and these sets, column by column."""
+    at = np.searchsorted(common, values)
+    there = common[np.minimum(at, len(common) - 1)] == values
+    return np.bincount(at[there], minlength=len(common)), owner[there]
+
+
+def _zero_one(counts: np.ndarray, owner: np.ndarray, low: int, columns: np.ndarray, rows: int) -> np.ndarray:
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros((rows, min(COLUMNS, len(counts) - low)), np.float32)
+    held = owner[starts[low] : starts[low + out.shape[1]]]
+    out[held, np.repeat(np.arange(out.shape[1]), counts[low : low + out.shape[1]])] = 1
+    return out[:, columns]
+
+
 def similar(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
-    """Which sets of `one` are similar to which of `other`, from products of their 0/1 rows over what both sides have."""
-
-    def columns(sets, common):
-        owner, place = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
-        at = np.minimum(np.searchsorted(common, place), max(len(common) - 1, 0))
-        there = common[at] == place if len(common) else np.zeros(len(place), bool)
-        owner, at = owner[there], at[there]
-        order = np.argsort(at, kind="stable")
-        return owner[order], at[order]
-
-    if other is one:
-        values, counts = np.unique(np.concatenate(one), return_counts=True)
-        common = values[counts > 1]
-    else:
-        common = np.intersect1d(np.concatenate(one), np.concatenate(other))
-    sides = [columns(sets, common) for sets in (one, other)]
-    both = np.zeros((len(one), len(other)), np.float64)
-    for low in range(0, len(common), COLUMNS):
-        rows = []
-        for sets, (owner, at) in zip((one, other), sides):
-            a, b = np.searchsorted(at, (low, low + COLUMNS))
-            matrix = np.zeros((len(sets), min(COLUMNS, len(common) - low)), np.float32)
-            matrix[owner[a:b], at[a:b] - low] = 1
-            rows.append(matrix)
-        both += rows[0] @ rows[1].T
+    """Which sets of `one` are similar to which of `other`."""
+    both = intersections(one, other)
     n, m = (np.array([len(x) for x in sets], np.float64) for sets in (one, other))
     return UNDER * both >= OVER * (n[:, None] + m - both)
 
@@ -396,7 +428,8 @@ def open_units(met: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     rows = written(rows.join(once, "signature", "left_semi"), "open-signatures")
 
     groups = rows.groupBy("signature", "cluster").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-    sizes = rows.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("size"))
+    there = written(rows.select("cluster", "node", "part").distinct(), "open-nodes")
+    sizes = there.groupBy("cluster").agg(F.count("*").alias("size"))
     groups = written(groups.join(sizes, "cluster"), "open-groups")
     many = groups.groupBy("signature").agg(F.count("*").alias("k"), F.min("low").alias("s_low"), F.max("high").alias("s_high"))
     crowded = many.filter(F.col("k") > MOST_CLUSTERS).select("signature")
@@ -411,7 +444,7 @@ def open_units(met: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     apart = (F.col("h_low") != F.col("high")) | (F.col("h_high") != F.col("low"))
     visits = host.join(guest, "signature").filter((F.col("rank") < F.col("h_rank")) & apart).select("signature", "cluster", "host")
     guests = written(rows.join(visits, ["signature", "cluster"]).select("host", "node", "part").distinct(), "guests")
-    hosts = rows.select("cluster", "node", "part").distinct().join(guests.select(F.col("host").alias("cluster")).distinct(), "cluster", "left_semi")
+    hosts = there.join(guests.select(F.col("host").alias("cluster")).distinct(), "cluster", "left_semi")
     cross = hosts.select(unit("h", "cluster"), F.lit(0).alias("side"), "node", "part").union(guests.select(unit("h", "host"), F.lit(1).alias("side"), "node", "part"))
     return whole.union(inner).union(cross)
 
