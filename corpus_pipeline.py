@@ -1,7 +1,7 @@
 """From documents to token ids: the stages of a training corpus, each written as Parquet and read again.
 
 Every stage works on all rows that the one before kept and returns the columns of documents; the last one returns ids.
-Column names that begin with `_quality`, `_predicted`, `_spans`, `_node` or `_mix_` are taken.
+Columns besides doc_id, text, source and n_chars may have any names.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelltrail.llm import bpe, jaccard, mixing, quality, repeats
-from shelltrail.llm.common import fold, table, written
+from shelltrail.llm.common import fold, settled, shielded, table
 from shelltrail.llm.queries import HELD_OUT_QUALITY
 
 
@@ -24,7 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It learns from labels of the rows that op5 learns from."""
     model = quality.quality_model(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != HELD_OUT_QUALITY)
-    return quality.score(docs, model).filter("_predicted = 1").select(docs.columns)
+    return shielded(docs, ("doc_id", "text"), lambda inner: quality.score(inner, model).filter("_predicted = 1"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that share an id are one document and stay or go together; rows without an id, and those without words, stay.
     """
     found = jaccard.similarity_components(docs)
-    kept = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept-ids")
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.union(docs.filter(F.col("doc_id").isNull()))
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+
+    def chosen(inner: DataFrame) -> DataFrame:
+        named = inner.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+        return named.union(inner.filter(F.col("doc_id").isNull()))
+
+    return shielded(docs, ("doc_id",), chosen)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    def after(n: int) -> DataFrame:
+        """The written output of the first n stages. What a stage has read goes when its output is written."""
+        if not n:
+            return table(spark, sf_dir, "documents")
+        name, stage = STAGES[n - 1]
+        return settled(spark, f"pipeline-{name}", lambda: stage(spark, after(n - 1), sf_dir))
+
+    # The last stage's input stays: its rows are read when those of the result are.
+    return STAGES[-1][1](spark, after(len(STAGES) - 1), sf_dir)
