@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import written
+from shelltrail.llm.common import leaves_no_tables, written
 
 #: Segments a worker remembers (the older half goes when they are too many), and the longest of them in characters.
 MOST_SEGMENTS = 160_000
@@ -356,6 +356,7 @@ def pair_counts(aligned: DataFrame, identity: np.ndarray) -> DataFrame:
     return counts.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+@leaves_no_tables
 def tokenizer_alignment(docs: DataFrame, first: bytes, second: bytes, hot: int = HOT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, a row per row of `docs`.
 

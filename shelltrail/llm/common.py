@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelltrail.session import scratch_path
+from shelltrail.session import Folder, scratch_path
 
 #: Bytes of text that one numpy step looks at; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -27,14 +28,54 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: Tables written inside each `settled` that runs, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
 def written(frame: DataFrame, label: str) -> DataFrame:
     """`frame` as a table in the shared folder: cuts the lineage, survives lost executors, is worked out once."""
     spark = frame.sparkSession
     path = scratch_path(spark, label)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def settled(spark: SparkSession, label: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """What `work` gives, as a written table; the tables that were written on the way to it are removed."""
+    _WRITTEN.append([])
+    try:
+        frame = work()
+        path = scratch_path(spark, label)
+        frame.write.parquet(path)
+    finally:
+        for old in _WRITTEN.pop():
+            Folder(spark, old).delete()
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def leaves_no_tables(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a DataFrame, its first argument, whose result is settled."""
+
+    @functools.wraps(operator)
+    def settling(docs: DataFrame, *args, **named) -> DataFrame:
+        return settled(docs.sparkSession, operator.__name__.replace("_", "-"), lambda: operator(docs, *args, **named))
+
+    return settling
+
+
+def shielded(docs: DataFrame, names: Iterable[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`work` on `docs`, of which it may use the columns `names`: all others go by names that clash with nothing, and get
+    theirs back after."""
+    inner = {c: c if c in names else f"_other_{i}" for i, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    out = work(docs.select(*[quoted(c).alias(name) for c, name in inner.items()]))
+    return out.select(*[F.col(name).alias(c) for c, name in inner.items()])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each begins; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

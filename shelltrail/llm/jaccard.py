@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import LOWER, Hasher, mixed, runs_of_words, text_steps, word_bytes, word_places, written
+from shelltrail.llm.common import LOWER, Hasher, leaves_no_tables, mixed, runs_of_words, text_steps, word_bytes, word_places, written
 from shelltrail.llm.graph import components
 
 SHINGLE = 5
@@ -449,6 +449,7 @@ def open_units(met: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     return whole.union(inner).union(cross)
 
 
+@leaves_no_tables
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable by links of similarity 3/4 or more.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import text_steps, word_bytes, word_places, written
+from shelltrail.llm.common import shielded, text_steps, word_bytes, word_places, written
 from shelltrail.plans.once import worked_out
 
 
@@ -124,6 +124,10 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
     """The mixture as rows of `docs` (doc_id, text, source, any other columns): one row per whole repetition, and one
     with the first `part` words for a fractional one. A document that takes nothing has no row.
     """
+    return shielded(docs, ("doc_id", "text", "source"), lambda inner: _mixed(inner, max_epochs, weights, seed))
+
+
+def _mixed(docs: DataFrame, max_epochs: int, weights: tuple[int, ...], seed: int) -> DataFrame:
     targets = mixing_targets(docs, max_epochs, weights)
     shared = _share(docs, targets, max_epochs, seed, "doc_id", "text", "source")
     copies = F.col("_mix_whole") + F.when(F.col("_mix_part") > 0, 1).otherwise(0)

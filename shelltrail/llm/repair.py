@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from shelltrail.llm.common import written
+from shelltrail.llm.common import leaves_no_tables, written
 
 #: Most symbols of a conversation in one row; a longer conversation has several.
 CHUNK = 1024
@@ -452,6 +452,7 @@ def audits(turns: DataFrame) -> DataFrame:
     return written(solved(chunks, shared_grammar(chunks)), "repair-audits")
 
 
+@leaves_no_tables
 def repair_digest(turns: DataFrame, everyone: DataFrame) -> DataFrame:
     """The audits of `turns`, with the digest of the repaired texts, for every conv_id of `everyone`: without any turns
     zeros, no audit, and the digest of nothing."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import Hasher, mixed, text_steps, written
+from shelltrail.llm.common import Hasher, leaves_no_tables, mixed, shielded, text_steps, written
 
 #: Bytes of a repeated string, and of the q-grams that make the initial buckets.
 LENGTH, GRAM = 200, 64
@@ -351,8 +351,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     span = ("node", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("stop"))
     whole = shared.filter("whole").select(*span).union(sampled.filter("bucket is null").select(*span))
     asked = shared.filter("ask")
+    # How many large buckets there are grows with the corpus, so Spark chooses the join.
     large = written(asked.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket"), "large-buckets")
-    asked = asked.join(F.broadcast(large.withColumn("large", F.lit(True))), "bucket", "left").fillna(False, ["large"])
+    asked = asked.join(large.withColumn("large", F.lit(True)), "bucket", "left").fillna(False, ["large"])
     ready = _asked(asked, docs, length, gram).repartition("bucket").sortWithinPartitions("kind", "bucket")
     found = ready.mapInArrow(_judged(length, gram), "node long, start long, stop long")
     return whole.union(found)
@@ -367,15 +368,15 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The rows of `docs` (doc_id, text, any others) with `_spans`: what of the text's UTF-8 bytes is to be removed.
+    """The rows of `docs` (doc_id, text, others with no clashing names, see `shielded`) with `_spans`: what of the text's UTF-8 bytes is to be removed.
 
     A row is named by 64 bits of its id and text. So rows may repeat, each is then a copy of the other, and ids may
     repeat or be null. Null texts are empty. Texts shorter than `length` lose nothing.
     """
     node = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
     spans = repeated_spans(docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text")), length, gram)
-    lists = spans.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return docs.withColumn("_node", node).join(lists, F.col("_node") == F.col("node"), "left").select(*docs.columns, "_spans")
+    lists = spans.groupBy(F.col("node").alias("_of")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    return docs.withColumn("_node", node).join(lists, F.col("_node") == F.col("_of"), "left").select(*docs.columns, "_spans")
 
 
 def cut_out(text: str | None, spans: pa.Scalar) -> tuple[bytes, bytes, int]:
@@ -391,6 +392,7 @@ def cut_out(text: str | None, spans: pa.Scalar) -> tuple[bytes, bytes, int]:
     return data, b"".join([*kept, data[at:]]), len(runs)
 
 
+@leaves_no_tables
 def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of `docs`."""
 
@@ -425,4 +427,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             names = [n for n in batch.schema.names if n != "_spans"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    return with_spans(docs, length, gram).mapInArrow(cut, docs.schema)
+    return shielded(docs, ("doc_id", "text"), lambda inner: with_spans(inner, length, gram).mapInArrow(cut, inner.schema))
