@@ -191,19 +191,21 @@ def evaluate_accuracy(forest: RandomForestClassificationModel, test: DataFrame)
 
 
 def top_k_probabilities(predicted: DataFrame, labels: list[str], keys: list[str], k: int = 5) -> DataFrame:
-    """The ``k`` most probable labels per row, best first. The class without a name is never among them."""
-    names = F.array(*[F.lit(name) for name in labels], F.lit(None).cast("string"))
-    pairs = F.zip_with(
-        vector_to_array("probability"),
-        names,
-        lambda p, name: F.struct((-p).alias("order"), name.alias("command")),
-    )
-    best = F.slice(F.array_sort(F.filter(pairs, lambda pair: pair["command"].isNotNull())), 1, k)
-    return predicted.select(*keys, F.posexplode(best).alias("place", "_pair")).select(
-        *keys,
-        (F.col("place") + 1).alias("place"),
-        F.col("_pair.command").alias("command"),
-        (-F.col("_pair.order")).alias("probability"),
+    """The ``k`` most probable labels per row, best first; of equal ones the more frequent label, which has the lower number.
+    The class without a name is never among them.
+
+    Rows carry numbers: the k-th largest probability is found first, and only the classes that reach it are put in order.
+    Names, MOST_CLASSES at most, come from one broadcast join with the places; the plan does not grow with them.
+    """
+    named = F.slice(vector_to_array("probability"), 1, len(labels))
+    least = F.element_at(F.sort_array("_named", asc=False), F.least(F.lit(k), F.size("_named")))
+    classes = F.transform("_named", lambda p, i: F.struct((-p).alias("order"), i.alias("label")))
+    best = F.slice(F.array_sort(F.filter(classes, lambda c: -c["order"] >= F.col("_least"))), 1, k)
+    rows = predicted.select(*keys, named.alias("_named")).where(F.size("_named") > 0).withColumn("_least", least)
+    placed = rows.select(*keys, F.posexplode(best).alias("place", "_class"))
+    names = predicted.sparkSession.createDataFrame(list(enumerate(labels)), "_label int, command string")
+    return placed.join(F.broadcast(names), F.col("_class.label") == F.col("_label")).select(
+        *keys, (F.col("place") + 1).alias("place"), "command", (-F.col("_class.order")).alias("probability")
     )
 
 

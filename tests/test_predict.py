@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from shelltrail.operators import predict
@@ -114,3 +115,24 @@ def test_two_classes_after_an_observation(log, spark):
     found = predict.train_next_command(log, trees=3, max_depth=4, max_classes=1)
     listed = predict.predict_next_command(found, log, ["hostname", "user"], 1).collect()
     assert len(listed) == 2 and {row["command"] for row in listed} == set(found.labels)
+
+
+def test_many_labels_do_not_grow_the_plan(spark):
+    def scored(n):
+        rows = [(i, Vectors.dense([float((j * 37 + i) % 11 == 0) * (j % 5) for j in range(n)] + [99.0])) for i in range(6)]
+        names = [f"command {j}" for j in range(n)]
+        frame = spark.createDataFrame(rows, ["id", "probability"])
+        return rows, names, predict.top_k_probabilities(frame, names, ["id"], 4)
+
+    sizes = []
+    for n in (50, 10_000):
+        rows, names, best = scored(n)
+        got = {}
+        for row in best.orderBy("id", "place").collect():
+            got.setdefault(row["id"], []).append((row["place"], row["command"], row["probability"]))
+        for i, vector in rows:
+            want = sorted(((-p, j) for j, p in enumerate(vector.toArray()[:n])))[:4]
+            assert got[i] == [(place, names[j], -p) for place, (p, j) in enumerate(want, 1)]
+        plan = best._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(plan))
+    assert sizes[1] < sizes[0] + 200
