@@ -737,6 +737,15 @@ _ev("latest_directory_stream", f'SELECT hostname, "user", pwd, start_timestamp F
 _ev("commands_over_time_stream", OVER_TIME)
 _ev("dedupe_stream", f"SELECT {SCALARS} FROM ev")
 _ev("dedupe_late_stream", f"SELECT {SCALARS} FROM ev")
+# Of the newest third of the time a third of the events come three times.
+_ev(
+    "stream_metric_totals",
+    """SELECT 'feed.' || metric AS metric, CAST(sum(CASE metric WHEN 'published' THEN 1 ELSE CAST(return_code IS DISTINCT FROM 0 AS INTEGER) END * times) AS BIGINT) AS total,
+      CAST(3 AS BIGINT) AS batches
+    FROM (SELECT return_code, CASE WHEN event_id % 3 = 0 AND floor((epoch(start_timestamp) // 1 - low) * 3 / (high - low + 1)) = 2 THEN 3 ELSE 1 END AS times
+      FROM ev, (SELECT min(epoch(start_timestamp) // 1) AS low, max(epoch(start_timestamp) // 1) AS high FROM ev)), (VALUES ('published'), ('failed')) m(metric)
+    GROUP BY metric""",
+)
 _ev("commands_over_time_late_stream", OVER_TIME)
 _ev("stream_metrics", "SELECT count(*) AS published, count(*) FILTER (return_code <> 0) AS failed FROM ev")
 

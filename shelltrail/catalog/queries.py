@@ -29,7 +29,7 @@ from shelltrail.sources.activity import (
     wire_lines,
     wire_struct,
 )
-from shelltrail.streaming import feeds
+from shelltrail.streaming import feeds, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -925,6 +925,23 @@ def stream_metrics(spark, sf_dir):
     return counted.agg(F.sum("published").alias("published"), F.sum("failed").alias("failed"))
 
 
+@query
+def stream_metric_totals(spark, sf_dir):
+    """The totals that a listener has kept, over three micro-batches and a restart."""
+    kept, check, out = (scratch_path(spark, name) for name in ("totals", "check", "stream"))
+    stream = feeds.stream_metrics(_late(spark, sf_dir), "feed").select("event_id", "return_code")
+    listener = totals.MetricTotals(spark, kept)
+    spark.streams.addListener(listener)
+    try:
+        for _ in range(2):
+            running = feeds.store_batches(stream, out, check, "append")
+            running.awaitTermination()
+            listener.catch_up(running)
+    finally:
+        spark.streams.removeListener(listener)
+    return totals.metric_totals(spark, kept).select("metric", "total", "batches")
+
+
 # -- models --
 
 

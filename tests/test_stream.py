@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelltrail.functions.policy import EnvPolicy
 from shelltrail.operators import live, sequence, usage
 from shelltrail.sources import events as source, history
-from shelltrail.streaming import feeds
+from shelltrail.streaming import feeds, totals
 
 NOW = {"availableNow": True}
 
@@ -269,6 +269,35 @@ def test_metrics(spark, arriving, tmp_path):
     assert [(r["published"], r["failed"]) for r in reports] == [(40, 20)] * 3
 
 
+def test_totals_survive_forgotten_reports_and_a_restart(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    kept = str(tmp_path / "kept")
+    listener = totals.MetricTotals(spark, kept)
+    spark.streams.addListener(listener)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        for part in range(2):  # two runs of four batches each
+            for number in range(part * 4, part * 4 + 4):
+                (folder / f"{number}.json").write_text("\n".join(wire(number * 10 + k) for k in range(10)) + "\n")
+            watched = feeds.stream_metrics(stream(spark, str(folder)), "feed").drop("env")
+            running = feeds.store_batches(watched, str(tmp_path / "o"), str(tmp_path / "c"), "append", NOW)
+            running.awaitTermination()
+            listener.catch_up(running)
+            assert len(running.recentProgress) <= 2
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    want = [("feed.failed", 40, 8), ("feed.published", 80, 8)]
+    assert rows(totals.metric_totals(spark, kept), "metric", "total", "batches") == want
+    assert len(list((tmp_path / "kept").glob("query=*/batch=*"))) == 2
+    # A batch that is reported again, by another driver, counts once.
+    again = totals.MetricTotals(spark, kept)
+    query = next(path.name.partition("=")[2] for path in (tmp_path / "kept").glob("query=*"))
+    again.add(query, 7, {"feed.failed": 5, "feed.published": 10})
+    assert rows(totals.metric_totals(spark, kept), "metric", "total", "batches") == want
+
+
 def test_closed_days_are_compacted(spark, arriving, tmp_path):
     (tmp_path / "in" / "next.json").write_text(wire(500, start_timestamp="2024-03-02T07:00:00Z") + "\n")
     archive, kept = str(tmp_path / "archive"), str(tmp_path / "kept")
