@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: What a worker remembers: states of the transducer (about 450 bytes each), ids of whole pieces (220 bytes), verdicts on
-#: pairs (100 bytes); some 150 MB in all. Of the pieces and verdicts the older half goes when there are too many.
+#: pairs (100 bytes); some 130 MB in all. Of the pieces and verdicts the older half goes when there are too many.
 MOST_STATES = 150_000
-MOST_PIECES = 300_000
+MOST_PIECES = 200_000
 MOST_PAIRS = 200_000
 #: The longest piece whose output is remembered, in bytes, and ids after which a record batch goes out.
 LONGEST_PIECE = 64

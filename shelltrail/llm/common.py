@@ -18,8 +18,12 @@ STEP_BYTES = 1 << 20
 
 SPACES = b" \t\n\x0b\x0c\r"
 
+#: Rows of a record batch, which JVM and worker hold at the same time. Texts are large, so fewer than Spark's own number.
+BATCH_ROWS = 4000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

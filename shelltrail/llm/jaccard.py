@@ -19,7 +19,7 @@ RATIO, GROUP, PARTS = 2, 6, 3
 #: Documents looked at, how many of those a shingle is in for it to be frequent, and how many frequent shingles are kept.
 HOT_SAMPLE, HOT_IN, HOT_MOST = 10_000, 3, 200_000
 #: Nodes and elements that stand on one side when sets are compared in blocks; a larger set is a block of its own.
-BLOCK_NODES, BLOCK_ELEMENTS = 2048, 1 << 21
+BLOCK_NODES, BLOCK_ELEMENTS = 1024, 1 << 20
 #: Elements of two blocks that are looked at together, columns that are multiplied at once, and how rare among the pairs of two
 #: blocks those of a column are for these to be counted one by one.
 TOGETHER, COLUMNS, RARE = 1 << 17, 2048, 1 / 256
@@ -412,9 +412,10 @@ def stars(met: DataFrame) -> DataFrame:
 def open_units(met: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     """unit, side, node, part of what is still to be compared: nodes that share a signature and are in different components.
 
-    Nodes with the same centre are a cluster. A unit is: a cluster, whose nodes meet each other; a cluster and the nodes of
-    smaller clusters that share a signature with one of its nodes; or, where more than MOST_CLUSTERS clusters share a
-    signature, that signature. So rows grow with nodes and clusters, not with pairs of nodes.
+    Nodes with the same centre are a cluster. A unit is: what a cluster has outside its largest component, whose nodes meet
+    each other; these and that component; a cluster and the nodes of smaller clusters that share a signature with one of its
+    nodes; or, where more than MOST_CLUSTERS clusters share a signature, that signature. So rows grow with nodes and
+    clusters, not with pairs of nodes.
     """
     centres = near.select(F.col("centre").alias("c")).distinct()
     cluster = met.select("node").distinct().join(near, "node", "left").join(centres, F.col("node") == F.col("c"), "left")
@@ -438,7 +439,12 @@ def open_units(met: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
 
     calm = groups.join(crowded, "signature", "left_anti")
     within = calm.filter("low < high").select("signature", "cluster")
-    inner = rows.join(within, ["signature", "cluster"], "left_semi").select(unit("c", "cluster"), F.lit(0).alias("side"), "node", "part").distinct()
+    inside = written(rows.join(within, ["signature", "cluster"], "left_semi").select("cluster", "node", "part").distinct(), "inner-nodes")
+    most = inside.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    inside = inside.join(most, "cluster")
+    others = inside.filter("part <> main").select(unit("c", "cluster"), F.lit(0).alias("side"), "node", "part")
+    joined = inside.select(unit("m", "cluster"), (F.col("part") != F.col("main")).cast("int").alias("side"), "node", "part")
+    inner = others.union(joined)
     host = calm.select("signature", F.col("cluster").alias("host"), F.struct("size", "cluster").alias("h_rank"), F.col("low").alias("h_low"), F.col("high").alias("h_high"))
     guest = calm.select("signature", "cluster", F.struct("size", "cluster").alias("rank"), "low", "high")
     apart = (F.col("h_low") != F.col("high")) | (F.col("h_high") != F.col("low"))

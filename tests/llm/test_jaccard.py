@@ -113,10 +113,16 @@ def counted(spark, monkeypatch, texts):
     """(components, rows that were compared in the last step)."""
     seen = []
     plain_units = jaccard.open_units
-    monkeypatch.setattr(jaccard, "open_units", lambda *tables: seen.append(plain_units(*tables)) or seen[-1])
+
+    def units(*tables):
+        asked = plain_units(*tables)
+        seen.append(jaccard._spread(asked.withColumn("n", F.lit(100))).count())
+        return asked
+
+    monkeypatch.setattr(jaccard, "open_units", units)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in jaccard.similarity_components(docs).collect()}
-    return got, jaccard._spread(seen[0].withColumn("n", F.lit(100))).count()
+    return got, seen[0]
 
 
 def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
