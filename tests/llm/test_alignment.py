@@ -122,6 +122,12 @@ def test_rows_of_segments_equal_single_ones(words):
     assert PAIR.aligned(segments) == [PAIR.align(x, *ids) for x, ids in zip(segments, PAIR.encode(segments))]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=60) | st.text("aeéß 'stx12\n\x1c\x85\xa0", max_size=90))
+def test_ranks_give_the_ids_of_the_library(text):
+    assert PAIR.quick.encode_ordinary(text) == A.encode(text, add_special_tokens=False).ids
+
+
 def test_identity_has_the_same_bytes():
     there = [(a, b) for a, b in enumerate(PAIR.identity.tolist()) if b >= 0]
     assert len(there) > 10_000 and all(PAIR.a_bytes[a] == PAIR.b_bytes[b] for a, b in there)
