@@ -37,12 +37,17 @@ _WRITTEN: list[list[str]] = []
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
-    """`frame` as a table in the shared folder: cuts the lineage, survives lost executors, is worked out once."""
+    """`frame` as a table in the shared folder: cuts the lineage, survives lost executors, is worked out once.
+
+    What executors still hold of the shuffles behind it is not needed any more. Spark removes it when the driver's collector
+    has found the finished plans, which may take half an hour by itself.
+    """
     spark = frame.sparkSession
     path = scratch_path(spark, label)
     if _WRITTEN:
         _WRITTEN[-1].append(path)
     frame.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -53,6 +58,7 @@ def settled(spark: SparkSession, label: str, work: Callable[[], DataFrame]) -> D
         frame = work()
         path = scratch_path(spark, label)
         frame.write.parquet(path)
+        spark.sparkContext._jvm.System.gc()
     finally:
         for old in _WRITTEN.pop():
             Folder(spark, old).delete()

@@ -449,8 +449,10 @@ def open_units(met: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     guest = calm.select("signature", "cluster", F.struct("size", "cluster").alias("rank"), "low", "high")
     apart = (F.col("h_low") != F.col("high")) | (F.col("h_high") != F.col("low"))
     visits = host.join(guest, "signature").filter((F.col("rank") < F.col("h_rank")) & apart).select("signature", "cluster", "host")
-    guests = written(rows.join(visits, ["signature", "cluster"]).select("host", "node", "part").distinct(), "guests")
-    hosts = there.join(guests.select(F.col("host").alias("cluster")).distinct(), "cluster", "left_semi")
+    visits = written(visits, "visits")
+    guests = rows.join(visits, ["signature", "cluster"]).select("host", "node", "part").distinct()
+    visited = visits.select("signature", F.col("host").alias("cluster")).distinct()
+    hosts = rows.join(visited, ["signature", "cluster"], "left_semi").select("cluster", "node", "part").distinct()
     cross = hosts.select(unit("h", "cluster"), F.lit(0).alias("side"), "node", "part").union(guests.select(unit("h", "host"), F.lit(1).alias("side"), "node", "part"))
     return whole.union(inner).union(cross)
 
