@@ -156,13 +156,54 @@ def signatures(sets: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(found), np.concatenate(owners)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Whether a set has an odd number of elements in each cell; cells are low bits of the elements, two or more an element.
+
+    Two sets differ in at least as many elements as their sketches in bits. The sketch of half as many cells is the first half
+    xor the second.
+    """
+    cells = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def maybe_similar(sizes: list[np.ndarray], sketches: list[list[bytes]]) -> np.ndarray:
+    """Which sets of one side may be similar to which of the other: all that are, and few others.
+
+    Similar sets differ in at most a seventh of their sizes' sum. So their sketches have equal or neighbouring lengths.
+    """
+    n, m = sizes
+    lengths = [np.array([len(x) for x in side]) for side in sketches]
+    out = np.zeros((len(n), len(m)), bool)
+    for length in np.unique(lengths[0]):
+        one = np.flatnonzero(lengths[0] == length)
+        for other in (length // 2, length, 2 * length):
+            two = np.flatnonzero(lengths[1] == other)
+            if not len(two):
+                continue
+            sides = [np.frombuffer(b"".join([side[i] for i in which]), "<u8").reshape(len(which), -1) for side, which in zip(sketches, (one, two))]
+            cells = min(x.shape[1] for x in sides)
+            a, b = (x if x.shape[1] == cells else x[:, :cells] ^ x[:, cells:] for x in sides)
+            total = n[one][:, None] + m[two]
+            apart = np.abs(n[one][:, None] - m[two])
+            near = 7 * apart <= total
+            if near.any():
+                apart = np.zeros(near.shape, np.int64)
+                for k in range(cells):
+                    apart += np.bitwise_count(a[:, k, None] ^ b[:, k])
+                near &= 7 * apart <= total
+            out[np.ix_(one, two)] = near
+    return out
+
+
 def node_of(one: int, two: int, clashes: frozenset) -> int:
     """A set's name: half of its hash, or both halves where different sets share the one."""
     return one ^ two if one in clashes else one
 
 
 def _sets(docs: DataFrame, elements: bool = False, clashes: frozenset = frozenset()) -> DataFrame:
-    """Per document doc_id, n_shingles, h1, h2; with `elements` instead node, n and the elements of each non-empty set."""
+    """Per document doc_id, n_shingles, h1, h2 and the sketch; with `elements` instead node, n and the elements of each
+    non-empty set."""
 
     def build(batches):
         hasher, inside = Hasher(29), word_bytes()
@@ -179,9 +220,11 @@ def _sets(docs: DataFrame, elements: bool = False, clashes: frozenset = frozense
                     yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements"])
                 else:
                     halves = [pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(sizes, pa.int64()), *halves], names=["doc_id", "n_shingles", "h1", "h2"])
+                    sketches = pa.array([sketch(x) if len(x) else None for x in sets], pa.binary())
+                    columns = [ids.slice(first, len(sets)), pa.array(sizes, pa.int64()), *halves, sketches]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    schema = "node long, n long, elements binary" if elements else "doc_id long, n_shingles long, h1 long, h2 long"
+    schema = "node long, n long, elements binary" if elements else "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema)
 
 
@@ -329,34 +372,51 @@ def spanning(pairs, parts: list[list[int]]) -> list[int]:
     return kept
 
 
+def _blocks(batches, names: tuple[str, ...]):
+    """Over rows in order of unit, x, y: of each block its unit and the rows of either side, as tuples of the columns `names`."""
+    sides, last = ([], []), None
+    for batch in batches:
+        key = zip(*(batch.column(c).to_pylist() for c in ("unit", "x", "y", "side")))
+        for (unit, x, y, side), row in zip(key, zip(*(batch.column(c).to_pylist() for c in names))):
+            if (unit, x, y) != last:
+                if last is not None:
+                    yield last[0], sides
+                sides, last = ([], []), (unit, x, y)
+            sides[side].append(row)
+    if last is not None:
+        yield last[0], sides
+
+
+def _hopeful(batches):
+    """Over rows (unit, x, y, side, of, node, part, n, sketch) in order: unit, side (`of`), node, part of those that may be
+    similar to one of another part in the block."""
+    for unit, sides in _blocks(batches, ("of", "node", "part", "n", "sketch")):
+        both = [sides[0], sides[1] or sides[0]]
+        if not both[0]:
+            continue
+        parts, sizes = ([np.array([row[k] for row in side], np.int64) for side in both] for k in (2, 3))
+        near = maybe_similar(sizes, [[row[4] for row in side] for side in both])
+        near &= parts[0][:, None] != parts[1]
+        found = [side[i] for k, side in enumerate(both[: 1 + bool(sides[1])]) for i in np.flatnonzero(near.any(axis=1 - k))]
+        if found:
+            of, node, part = ([row[k] for row in found] for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array([unit] * len(of)), pa.array(of, pa.int32()), pa.array(node), pa.array(part)], names=["unit", "side", "node", "part"])
+
+
 def _links(batches):
     """Over rows (unit, x, y, side, node, part, elements) in order: links a, b between sets of different parts, as many as
     it takes to join what belongs together in a block. Side 0 meets side 1; without a side 1 it meets itself."""
-    names = ("unit", "x", "y", "side", "node", "part", "elements")
-
-    def compared(sides):
-        nodes, parts, sets = ([[row[k] for row in side] for side in sides] for k in range(3))
+    for _, sides in _blocks(batches, ("node", "part", "elements")):
         if not sides[0] or (not sides[1] and len(sides[0]) < 2):
-            return None
+            continue
+        nodes, parts = ([[row[k] for row in side] for side in sides] for k in range(2))
+        sets = [[np.frombuffer(row[2], "<u8") for row in side] for side in sides]
         if not sides[1]:
             nodes[1], parts[1], sets[1] = nodes[0], parts[0], sets[0]
         found = np.argwhere(similar(sets[0], sets[1]) & (np.array(parts[0])[:, None] != np.array(parts[1]))).tolist()
         kept = [found[k] for k in spanning(found, parts)]
         if kept:
-            return pa.RecordBatch.from_arrays([pa.array([nodes[side][pair[side]] for pair in kept], pa.int64()) for side in (0, 1)], names=["a", "b"])
-
-    sides, last = ([], []), None
-    for batch in batches:
-        for unit, x, y, side, node, part, elements in zip(*(batch.column(c).to_pylist() for c in names)):
-            if (unit, x, y) != last:
-                links = compared(sides)
-                if links is not None:
-                    yield links
-                sides, last = ([], []), (unit, x, y)
-            sides[side].append((node, part, np.frombuffer(elements, "<u8")))
-    links = compared(sides)
-    if links is not None:
-        yield links
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[side][pair[side]] for pair in kept], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
 
 def _pieces(rows: str, elements: str) -> Column:
@@ -364,7 +424,8 @@ def _pieces(rows: str, elements: str) -> Column:
 
 
 def _spread(asked: DataFrame) -> DataFrame:
-    """unit, x, y, side, node, part: every row of `asked` (unit, side, node, part, n) in the blocks in which it meets others.
+    """unit, x, y, side, of, node, part: every row of `asked` (unit, side, node, part, n) in the blocks in which it meets others;
+    `of` is its side in `asked`.
 
     The nodes of a side are dealt to blocks by their hash. Each block of side 0 meets each of side 1; of a unit with one
     side only, blocks meet each other once and themselves. A node is in as many blocks as its unit has on the other side.
@@ -387,16 +448,29 @@ def _spread(asked: DataFrame) -> DataFrame:
     later = F.transform(F.filter(count(F.col("p0")), lambda y: y >= block), lambda y: place(block, y, 0))
     earlier = F.transform(count(block), lambda x: place(x, block, 1))
     places = F.when(F.col("p1").isNotNull(), two_sided).otherwise(F.concat(later, earlier))
-    return dealt.select("unit", "node", "part", F.explode(places).alias("at")).select("unit", "at.x", "at.y", "at.side", "node", "part")
+    rows = dealt.select("unit", side.alias("of"), "node", "part", F.explode(places).alias("at"))
+    return rows.select("unit", "at.x", "at.y", "at.side", "of", "node", "part")
+
+
+def _in_blocks(asked: DataFrame, nodes: DataFrame, content: tuple[str, ...], work, schema: str) -> DataFrame:
+    """`work` on the blocks of `asked` (unit, side, node, part), each row with the columns `content` of its node."""
+    key = ["unit", "x", "y"]
+    rows = _spread(asked.join(nodes.select("node", "n"), "node")).join(nodes.select("node", *content), "node")
+    ready = rows.select(*key, "side", "of", "node", "part", *content).repartition(*key).sortWithinPartitions(*key, "side")
+    return ready.mapInArrow(work, schema)
+
+
+def hopeful(asked: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of `asked` (unit, side, node, part) that may be similar to a node of another part that they meet: all of those
+    that are. Their sketches travel once for each block."""
+    unit = f"unit {asked.schema['unit'].dataType.simpleString()}, side int, node long, part long"
+    return _in_blocks(asked, sketches, ("n", "sketch"), _hopeful, unit).distinct()
 
 
 def links_in_blocks(asked: DataFrame, sets: DataFrame) -> DataFrame:
     """Links a, b of similarity 3/4 or more between nodes of different parts that meet in a unit of `asked` (unit, side, node,
     part): enough of them to join all that belongs together. Sets travel once for each block, pairs never do."""
-    key = ["unit", "x", "y"]
-    rows = _spread(asked.join(sets.select("node", "n"), "node")).join(sets.select("node", "elements"), "node")
-    ready = rows.select(*key, "side", "node", "part", "elements").repartition(*key).sortWithinPartitions(*key, "side")
-    return ready.mapInArrow(_links, "a long, b long")
+    return _in_blocks(asked, sets, ("elements",), _links, "a long, b long")
 
 
 def stars(met: DataFrame) -> DataFrame:
@@ -466,6 +540,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
        compared with one node, its centre; so that a family of copies is one component before its members would meet.
     3. Nodes of different components that share a signature are compared, all of them, cluster by cluster in blocks of
        sets. So no link between components is missed, and links inside a component need not be listed.
+    Before either comparison the nodes meet with their sketches, a thirtieth of a set. Only sets of nodes that may be similar
+    to one they meet are built anew from the texts and travel.
     Texts without words, null ones too, have no shingles and link with nothing. Rows that share an id share their links;
     a null id links with nothing that has no other row. The order of words and lines that repeat does not matter.
     """
@@ -475,25 +551,29 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     # Different sets with the same first half of their hash: less than one pair in 10^9 documents.
     clashes = frozenset(row.h1 for row in full.groupBy("h1").agg(F.min("h2").alias("x"), F.max("h2").alias("y")).filter("x <> y").select("h1").collect())
     node = F.when(F.col("h1").isin(*clashes), F.col("h1").bitwiseXOR(F.col("h2"))).otherwise(F.col("h1")) if clashes else F.col("h1")
-    full = full.select("doc_id", node.alias("node"))
-    nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter(F.col("doc_id").isNotNull()), "nodes")
+    full = full.withColumn("node", node)
+    named = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    nodes = written(named.filter(F.col("doc_id").isNotNull()), "nodes")
+    full = full.select("doc_id", "node")
 
     rows = _signature_rows(docs.filter(F.col("doc_id").isNotNull()), hot_shingles(docs), clashes)
     met = written(rows.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "signature long, node long, size long"), "signatures")
 
-    # Sets of the nodes that share anything, built anew from their texts.
-    ids = written(met.select("node").distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_doc")), "met-nodes")
-    texts = docs.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi")
-    # An id may stand for several texts; the set's own name tells which one is meant.
-    built = _sets(texts, elements=True, clashes=clashes).join(ids.select("node"), "node", "left_semi")
-    sets = written(built.dropDuplicates(["node"]), "sets")
+    def links_of(asked):
+        may = written(hopeful(asked, nodes), "hopeful")
+        ids = written(may.select("node").distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_doc")), "hopeful-nodes")
+        texts = docs.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi")
+        # An id may stand for several texts; the set's own name tells which one is meant.
+        built = _sets(texts, elements=True, clashes=clashes).join(ids.select("node"), "node", "left_semi")
+        sets = written(built.dropDuplicates(["node"]), "sets")
+        return written(links_in_blocks(may, sets), "links")
 
     near = written(stars(met), "stars")
     star = near.select(F.col("centre").cast("string").alias("unit"), F.lit(1).alias("side"), "node", F.col("node").alias("part"))
     middle = near.select("centre").distinct().select(F.col("centre").cast("string").alias("unit"), F.lit(0).alias("side"), F.col("centre").alias("node"), F.col("centre").alias("part"))
-    links = written(links_in_blocks(middle.union(star), sets), "links")
+    links = links_of(middle.union(star))
     asked = written(open_units(met, near, components(links)), "open-units")
-    found = components(links.union(written(links_in_blocks(asked, sets), "links")))
+    found = components(links.union(links_of(asked)))
 
     # Components are named by sets so far; the smallest id of theirs is the name asked for.
     parts = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -103,6 +103,42 @@ def test_shared_signatures(monkeypatch, run):
         assert got == [r for r in once if sum(x[0] == r[0] for x in once) > 1]
 
 
+def test_sketches_lose_nothing_and_tell_unlike_sets_apart():
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in [1, 2, 5, 16, 31, 32, 33, 60, 64, 65, 127, 128, 129, 500, 3000]:
+        shared = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for more in (0, 1, size // 8, size // 7, size // 6, size // 5, size // 3):
+            sets.append(np.unique(np.append(shared, rng.integers(0, 1 << 63, more, dtype=np.uint64))))
+            sets.append(shared[: size - more] if more < size else shared)
+    sets = [np.sort(x) for x in sets]
+    sizes, sketches = np.array([len(x) for x in sets]), [jaccard.sketch(x) for x in sets]
+    may = jaccard.maybe_similar([sizes, sizes[:70]], [sketches, sketches[:70]])
+    exact = np.array([[4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y)) for y in sets[:70]] for x in sets])
+    assert not (exact & ~may).any() and may.sum() < 1.5 * exact.sum()
+    apart = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in rng.integers(100, 1000, 200)]
+    sizes, sketches = np.array([len(x) for x in apart]), [jaccard.sketch(x) for x in apart]
+    assert (jaccard.maybe_similar([sizes, sizes], [sketches, sketches]) == np.eye(200, dtype=bool)).all()
+
+
+@pytest.mark.parametrize("own", [60, 120])
+def test_sets_of_unlike_texts_stay_at_home(spark, monkeypatch, own):
+    seen = []
+    plain_links = jaccard.links_in_blocks
+
+    def links(asked, sets):
+        seen.append(sets.count())
+        return plain_links(asked, sets)
+
+    monkeypatch.setattr(jaccard, "links_in_blocks", links)
+    texts = unlike(300, random.Random(9), passage=60, own=own)
+    texts += [texts[0] + " more", texts[1] + " and more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_components(docs).collect()}
+    assert got == {i: {300: 0, 301: 1}.get(i, i) for i in range(302)}
+    assert max(seen) <= 4
+
+
 def unlike(count, rng, passage=0, own=120):
     """Texts that share a passage of their own each and nothing else."""
     common = " ".join(f"c{i}" for i in range(passage))
