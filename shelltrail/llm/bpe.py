@@ -13,15 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: What a worker remembers: states of the transducer (about 450 bytes each), ids of whole pieces (220 bytes), verdicts on
-#: pairs (100 bytes); some 130 MB in all. Of the pieces and verdicts the older half goes when there are too many.
+#: pairs and last tokens that stand for others (100 bytes), what ends and begins in a suffix (300 bytes); some 150 MB in all.
+#: Of the pieces and verdicts the older half goes when there are too many.
 MOST_STATES = 150_000
+MOST_SHAPES = 40_000
+#: Tokens that can go on from a place, for which last tokens are told apart by what fits them only.
+FEW = 8
 MOST_PIECES = 200_000
 MOST_PAIRS = 200_000
 #: The longest piece whose output is remembered, in bytes, and ids after which a record batch goes out.
 LONGEST_PIECE = 64
 IDS_OUT = 1 << 18
 
-NOTHING = -1
+#: Before the first token; at a place where no later token can begin.
+NOTHING, CLOSED = -1, -2
 KINDS = (pa.int64(), pa.string(), pa.string())
 
 
@@ -50,6 +55,9 @@ class Transducer:
     there and fits the last token at its start. Only so many bytes back matter as can still begin a token: a state is
     the longest suffix of the read bytes that a token begins with, and the last tokens at the places in it where one can.
 
+    Of a last token only counts which later tokens fit it: where at most FEW tokens can go on, one last token stands for all
+    that the same ones fit, and a place that none fits is given up. So many prefixes share a state.
+
     States and transitions are made when a text first needs them, and kept: at most MOST_STATES, then the machine starts
     anew. Later tokens begin within the state's suffix, so what all its places agree on is written (`feed`): the lookahead
     is bounded by the longest token. `outputs` keeps what short pieces gave.
@@ -59,7 +67,9 @@ class Transducer:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
-        self.begins = {token[:n] for token in self.ranks for n in range(1, len(token))}
+        self.begins = self._begun()
+        self.later: dict[bytes, dict] = {}
+        self.stand_ins = 0
         self.fits: dict[int, bool] = {}
         self.fits_before: dict[int, bool] = {}
         self.splits = self.merges() if splits is None else splits
@@ -67,8 +77,34 @@ class Transducer:
         self.outputs: dict[str, tuple[int, ...]] = {}
         self.outputs_before: dict[str, tuple[int, ...]] = {}
         self.numbers = {rank: str(rank) for rank in self.tokens}
-        self.start: dict = {None: (b"", (NOTHING,))}
+        self.shapes: dict[bytes, tuple] = {}
         self.states: dict[tuple, dict] = {}
+        self._start_anew()
+
+    def __del__(self):
+        # States refer to each other in rings: they would stay in a worker until Python's collector looks for rings.
+        self._let_go(getattr(self, "states", {}))
+
+    @staticmethod
+    def _let_go(states: dict[tuple, dict]) -> None:
+        for key, state in states.items():
+            state.clear()
+            state[None] = key  # a reader that is still in it can go on
+
+    def _start_anew(self) -> None:
+        self._let_go(self.states)
+        key = (b"", (NOTHING,))
+        self.start = {None: key}
+        self.states = {key: self.start}
+
+    def _begun(self) -> dict[bytes, tuple[int, ...]]:
+        """Of each proper beginning of a token the tokens that begin with it, if these are FEW at most, or else nothing."""
+        found: dict[bytes, tuple[int, ...]] = {}
+        for token, rank in self.ranks.items():
+            for n in range(1, len(token)):
+                known = found.get(token[:n], (rank,))
+                found[token[:n]] = known if known == (rank,) else (*known, rank) if known and len(known) < FEW else ()
+        return found
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[int]:
         """Merging by rank as defined, with ranks less than `below`: the lowest pair first, the leftmost of equals."""
@@ -133,23 +169,50 @@ class Transducer:
         """The transition of a state for a byte: the next state, and the last token after the byte."""
         suffix, lasts = state[None]
         read = suffix + bytes((byte,))
-        for start in range(len(read)):
-            token = self.ranks.get(read[start:])
-            if token is not None and self.pair_fits(lasts[start], token):
+        ends, later = self.shapes.get(read) or self._shape(read)
+        for place, token in ends:
+            if lasts[place] != CLOSED and self.pair_fits(lasts[place], token):
                 break
         else:
             raise ValueError(f"the ranks hold no token for {read[-1:]!r}")
-        # No later token begins at a place whose rest no token begins with: what came last there does not matter.
-        matters = [read[i:] in self.begins for i in range(len(read))]
-        start = matters.index(True) if True in matters else len(read)
-        kept = [last if matter else NOTHING for last, matter in zip(lasts[start:], matters[start:])]
+        start, kept = len(read), []
+        for place, (last, few) in enumerate(zip(lasts, later)):
+            if few and last != CLOSED:
+                last = few.get(last) or self._alike(last, few)
+            elif few is None:
+                last = CLOSED
+            if kept:
+                kept.append(last)
+            elif last != CLOSED:
+                start = place
+                kept.append(last)
         key = (read[start:], (*kept, token))
         if len(self.states) >= MOST_STATES:
-            self.states, self.start = {}, {None: (b"", (NOTHING,))}
+            self._start_anew()
         to = self.states.setdefault(key, {None: key})
         state[byte] = (to, token)
         return to, token
 
+    def _shape(self, read: bytes) -> tuple:
+        """(places and tokens from there to the end of `read`, what can go on from each place: None if nothing can, else the
+        last tokens that stand for others there, with the few tokens in question under None, or nothing if they are many)."""
+        if len(self.shapes) >= MOST_SHAPES or self.stand_ins >= MOST_PAIRS:
+            self.shapes, self.later, self.stand_ins = {}, {}, 0
+        ends = tuple((i, token) for i in range(len(read)) if (token := self.ranks.get(read[i:])) is not None)
+        later = []
+        for i in range(len(read)):
+            few = self.begins.get(read[i:])
+            later.append(few if few is None or not few else self.later.setdefault(read[i:], {None: few}))
+        shape = self.shapes[read] = (ends, later)
+        return shape
+
+    def _alike(self, last: int, few: dict) -> int:
+        """The last token that stands for `last` where the tokens few[None] can go on."""
+        fit = tuple([token for token in few[None] if self.pair_fits(last, token)])
+        self.stand_ins += 1
+        few[last] = found = few.setdefault(fit, last) if fit else CLOSED
+        return found
+
     def feed(self, data: bytes, at_once: int = 1024):
         """Token ids of one piece; of a long one those that no later byte can change, after every `at_once` bytes."""
         state, lasts, sizes = self.start, [], self.sizes
@@ -169,21 +232,31 @@ class Transducer:
         yield from self._back(lasts, len(lasts))
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
-        found = []
+        found, sizes = [], self.sizes
         while end > 0:
-            found.append(lasts[end - 1])
-            end -= self.sizes[lasts[end - 1]]
+            token = lasts[end - 1]
+            found.append(token)
+            end -= sizes[token]
         return found[::-1]
 
+    def short(self, data: bytes) -> list[int]:
+        """Token ids of a piece that is read as a whole: `feed` without writing on the way."""
+        state, lasts = self.start, []
+        for byte in data:
+            step = state.get(byte)
+            state, token = step if step is not None else self._grow(state, byte)
+            lasts.append(token)
+        return self._back(lasts, len(lasts))
+
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern. A piece that is a token is that token."""
         output = self.outputs_before.get(text)
         if output is None:
             data = text.encode()
             whole = self.ranks.get(data)
-            output = tuple(self.feed(data)) if whole is None else (whole,)
             if len(data) > LONGEST_PIECE:
-                return output
+                return tuple(self.feed(data)) if whole is None else (whole,)
+            output = tuple(self.short(data)) if whole is None else (whole,)
         if len(self.outputs) >= MOST_PIECES // 2:
             self.outputs_before, self.outputs = self.outputs, {}
         self.outputs[text] = output

@@ -1,5 +1,6 @@
 """The transducer next to the tiktoken library, and exact round trips."""
 
+import gc
 import hashlib
 import random
 
@@ -52,6 +53,33 @@ def test_a_full_machine_starts_anew(monkeypatch):
         assert [i for piece in MATCHES.findall(text) for i in machine.piece(piece)] == LIBRARY.encode_ordinary(text)
 
 
+def made_up_words(count):
+    rng = random.Random(7)
+    parts = ["th", "in", "ation", "er", "re", "on", "ous", "ing", "ent", "ly", "éa", "sch", "qu", "ra"]
+    return [" " + "".join(rng.choice(parts) for _ in range(rng.randint(2, 5))) for _ in range(count)]
+
+
+def test_prefixes_share_states():
+    machine = bpe.Transducer(RANKS)
+    words = made_up_words(6000)
+    assert [i for word in words for i in machine.piece(word)] == LIBRARY.encode_ordinary("".join(words))
+    assert len(machine.states) < 4000
+
+
+def test_a_machine_leaves_nothing_behind():
+    machine = bpe.Transducer(RANKS)
+    gc.collect()
+    gc.disable()
+    try:
+        empty = len(gc.get_objects())
+        for word in made_up_words(2000):
+            machine.piece(word)
+        del machine
+        assert len(gc.get_objects()) < empty
+    finally:
+        gc.enable()
+
+
 @pytest.mark.parametrize("ids_out", [1 << 18, 300])
 def test_documents_and_round_trip(spark, monkeypatch, ids_out):
     monkeypatch.setattr(bpe, "IDS_OUT", ids_out)
