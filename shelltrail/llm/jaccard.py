@@ -284,12 +284,15 @@ def hot_shingles(docs: DataFrame, sample: int = HOT_SAMPLE, least: int = HOT_IN,
     picked = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(31)), "doc_id").limit(sample)
     some = docs.select("doc_id", "text").join(F.broadcast(written(picked.distinct(), "hot-sample")), "doc_id")
 
-    def split(batches):
+    # Not one more Python operator over `_sets`: a task with two has two workers, which executors keep for the stages after.
+    def build(batches):
+        hasher, inside = Hasher(29), word_bytes()
         for batch in batches:
-            elements = np.frombuffer(b"".join(batch.column("elements").to_pylist()), "<u8")
-            yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64))], names=["e"])
+            for _, _, data, offsets in text_steps(batch.column("text")):
+                elements = np.concatenate([*shingle_sets(data, offsets, hasher, inside), np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64))], names=["e"])
 
-    every = _sets(some, elements=True).select("elements").mapInArrow(split, "e long")
+    every = some.select("text").mapInArrow(build, "e long")
     counts = every.groupBy("e").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "e").limit(most)
     return np.sort(counts.toPandas().e.to_numpy(np.int64).view(np.uint64))
 

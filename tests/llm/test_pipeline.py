@@ -92,3 +92,31 @@ def test_no_rows(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def workers_of_a_task(plan: str) -> int:
+    """The most Python operators that one task of a physical plan runs, each of which has a worker of its own."""
+    above, most = [], 0
+    for line in plan.splitlines():
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        above = [x for x in above if x[0] < depth]
+        n = 0 if "Exchange" in node.split(" ")[0] else (above[-1][1] if above else 0) + ("MapInArrow" in node)
+        above.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_a_task_has_one_python_worker(spark, stages, monkeypatch):
+    kind, seen = type(stages[0]), []
+    plain = kind.mapInArrow
+
+    def watched(self, *args, **named):
+        out = plain(self, *args, **named)
+        seen.append(workers_of_a_task(out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    for (_, stage), docs in zip(pipeline.STAGES, stages):
+        stage(spark, docs, SF)
+    assert len(seen) > len(pipeline.STAGES) and set(seen) == {1}
