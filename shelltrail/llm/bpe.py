@@ -12,6 +12,8 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shelltrail.llm.common import tidy
+
 #: What a worker remembers: states of the transducer (about 450 bytes each), ids of whole pieces (220 bytes), verdicts on
 #: pairs and last tokens that stand for others (100 bytes), what ends and begins in a suffix (300 bytes); some 150 MB in all.
 #: Of the pieces and verdicts the older half goes when there are too many.
@@ -343,7 +345,7 @@ def encode_documents(docs: DataFrame, rank_file: bytes, split: str | None = None
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(encode, schema + ", ids array<int>" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), schema + ", ids array<int>" * keep_ids)
 
 
 def decode_documents(encoded: DataFrame, rank_file: bytes, at_once: int = 4096) -> DataFrame:
@@ -359,4 +361,4 @@ def decode_documents(encoded: DataFrame, rank_file: bytes, at_once: int = 4096)
                 texts.append("".join(decoder.text(decoder.feed(ids[i : i + at_once])) for i in range(0, len(ids), at_once)) + decoder.finish())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(decode), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

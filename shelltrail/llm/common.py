@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,6 +16,8 @@ from shelltrail.session import Folder, scratch_path
 
 #: Bytes of text that one numpy step looks at; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
+#: The same in the operators of the pipeline: a step holds some ten numbers a byte, beside an executor that is full.
+FEWER_BYTES = 1 << 18
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -22,6 +25,28 @@ SPACES = b" \t\n\x0b\x0c\r"
 BATCH_ROWS = 4000
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work` on record batches in a worker that gives back what is free: before, what tables of an earlier stage took, and
+    after, what `work` has used. An executor's workers live on, and what they keep is missing in the stages that follow.
+    """
+
+    def run(batches):
+        given_back()
+        try:
+            yield from work(batches)
+        finally:
+            given_back()
+
+    return run
+
+
+def given_back() -> None:
+    """Free memory of this process goes back to the machine: Arrow's, and where the C library can do it that of all else."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

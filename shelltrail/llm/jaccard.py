@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import LOWER, Hasher, leaves_no_tables, mixed, runs_of_words, text_steps, word_bytes, word_places, written
+from shelltrail.llm.common import FEWER_BYTES, LOWER, Hasher, leaves_no_tables, mixed, runs_of_words, text_steps, tidy, word_bytes, word_places, written
 from shelltrail.llm.graph import components
 
 SHINGLE = 5
@@ -206,10 +206,10 @@ def _sets(docs: DataFrame, elements: bool = False, clashes: frozenset = frozense
     non-empty set."""
 
     def build(batches):
-        hasher, inside = Hasher(29), word_bytes()
+        hasher, inside = Hasher(29, FEWER_BYTES), word_bytes()
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, _, data, offsets in text_steps(batch.column("text")):
+            for first, _, data, offsets in text_steps(batch.column("text"), FEWER_BYTES):
                 sets = shingle_sets(data, offsets, hasher, inside)
                 hashes = [set_hashes(x) if len(x) else (0, 0) for x in sets]
                 sizes = [len(x) for x in sets]
@@ -225,7 +225,7 @@ def _sets(docs: DataFrame, elements: bool = False, clashes: frozenset = frozense
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
     schema = "node long, n long, elements binary" if elements else "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(build), schema)
 
 
 def _signature_rows(docs: DataFrame, hot: np.ndarray, clashes: frozenset) -> DataFrame:
@@ -233,10 +233,10 @@ def _signature_rows(docs: DataFrame, hot: np.ndarray, clashes: frozenset) -> Dat
     frequent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def build(batches):
-        hasher, inside, hot = Hasher(29), word_bytes(), frequent.value
+        hasher, inside, hot = Hasher(29, FEWER_BYTES), word_bytes(), frequent.value
         for batch in batches:
             seen: set[int] = set()
-            for _, _, data, offsets in text_steps(batch.column("text")):
+            for _, _, data, offsets in text_steps(batch.column("text"), FEWER_BYTES):
                 sets, nodes = [], []
                 for elements in shingle_sets(data, offsets, hasher, inside):
                     node = node_of(*set_hashes(elements), clashes) if len(elements) else None
@@ -248,7 +248,7 @@ def _signature_rows(docs: DataFrame, hot: np.ndarray, clashes: frozenset) -> Dat
                     found, of = signatures(sets, hot)
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.array(nodes, np.int64)[of])], names=["signature", "node"])
 
-    return docs.select("text").mapInArrow(build, "signature long, node long")
+    return docs.select("text").mapInArrow(tidy(build), "signature long, node long")
 
 
 def _shared(batches):
@@ -286,13 +286,13 @@ def hot_shingles(docs: DataFrame, sample: int = HOT_SAMPLE, least: int = HOT_IN,
 
     # Not one more Python operator over `_sets`: a task with two has two workers, which executors keep for the stages after.
     def build(batches):
-        hasher, inside = Hasher(29), word_bytes()
+        hasher, inside = Hasher(29, FEWER_BYTES), word_bytes()
         for batch in batches:
-            for _, _, data, offsets in text_steps(batch.column("text")):
+            for _, _, data, offsets in text_steps(batch.column("text"), FEWER_BYTES):
                 elements = np.concatenate([*shingle_sets(data, offsets, hasher, inside), np.zeros(0, np.uint64)])
                 yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64))], names=["e"])
 
-    every = some.select("text").mapInArrow(build, "e long")
+    every = some.select("text").mapInArrow(tidy(build), "e long")
     counts = every.groupBy("e").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "e").limit(most)
     return np.sort(counts.toPandas().e.to_numpy(np.int64).view(np.uint64))
 
@@ -460,7 +460,7 @@ def _in_blocks(asked: DataFrame, nodes: DataFrame, content: tuple[str, ...], wor
     key = ["unit", "x", "y"]
     rows = _spread(asked.join(nodes.select("node", "n"), "node")).join(nodes.select("node", *content), "node")
     ready = rows.select(*key, "side", "of", "node", "part", *content).repartition(*key).sortWithinPartitions(*key, "side")
-    return ready.mapInArrow(work, schema)
+    return ready.mapInArrow(tidy(work), schema)
 
 
 def hopeful(asked: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -560,7 +560,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     full = full.select("doc_id", "node")
 
     rows = _signature_rows(docs.filter(F.col("doc_id").isNotNull()), hot_shingles(docs), clashes)
-    met = written(rows.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "signature long, node long, size long"), "signatures")
+    met = written(rows.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(tidy(_shared), "signature long, node long, size long"), "signatures")
 
     def links_of(asked):
         may = written(hopeful(asked, nodes), "hopeful")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import shielded, text_steps, word_bytes, word_places, written
+from shelltrail.llm.common import FEWER_BYTES, shielded, text_steps, tidy, word_bytes, word_places, written
 from shelltrail.plans.once import worked_out
 
 
@@ -108,7 +108,7 @@ def first_words(batches):
         parts, copies = batch.column("_mix_part").to_pylist(), batch.column("_mix_copy").to_pylist()
         wholes = batch.column("_mix_whole").to_pylist()
         texts: list[str] = []
-        for first, last, data, offsets in text_steps(batch.column("text")):
+        for first, last, data, offsets in text_steps(batch.column("text"), FEWER_BYTES):
             _, ends, row = word_places(data, offsets, inside)
             begins = np.searchsorted(row, np.arange(last - first), "left")
             for i in range(last - first):
@@ -133,4 +133,4 @@ def _mixed(docs: DataFrame, max_epochs: int, weights: tuple[int, ...], seed: int
     copies = F.col("_mix_whole") + F.when(F.col("_mix_part") > 0, 1).otherwise(0)
     repeated = shared.filter(copies > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     extra = [F.col(f"_mix_{n}") for n in ("copy", "whole", "part")]
-    return repeated.select(*docs.columns, *extra).mapInArrow(first_words, docs.schema)
+    return repeated.select(*docs.columns, *extra).mapInArrow(tidy(first_words), docs.schema)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from shelltrail.llm.common import LOWER, Hasher, runs_of_words, text_steps, word_bytes, word_places
+from shelltrail.llm.common import FEWER_BYTES, LOWER, Hasher, runs_of_words, text_steps, tidy, word_bytes, word_places
 from shelltrail.llm.sampling import labelled_sample
 
 PASSAGE_WORDS = 64
@@ -169,11 +169,11 @@ def fit(sample: DataFrame, epochs: int = 20, seed: int = 3) -> bytes:
     """
 
     def learn(batches):
-        hasher, inside = Hasher(seed), word_bytes()
+        hasher, inside = Hasher(seed, FEWER_BYTES), word_bytes()
         bags = []
         for batch in batches:
             labels, ids = batch.column("label").to_pylist(), batch.column("doc_id").to_pylist()
-            for first, last, data, offsets in text_steps(batch.column("text")):
+            for first, last, data, offsets in text_steps(batch.column("text"), FEWER_BYTES):
                 owner, found = passages(data, offsets, hasher, inside)
                 for i, own in enumerate(np.split(found, np.searchsorted(owner, np.arange(1, last - first)))):
                     bags.append((ids[first + i], labels[first + i], own))
@@ -183,7 +183,7 @@ def fit(sample: DataFrame, epochs: int = 20, seed: int = 3) -> bytes:
             model.fit([x[2] for x in bags], np.array([x[1] for x in bags], float), epochs)
         yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], names=["model"])
 
-    models = sample.select("doc_id", "text", "label").coalesce(1).mapInArrow(learn, "model binary").collect()
+    models = sample.select("doc_id", "text", "label").coalesce(1).mapInArrow(tidy(learn), "model binary").collect()
     return bytes(models[0].model) if models else Attention(seed).packed()
 
 
@@ -195,17 +195,17 @@ def score(docs: DataFrame, model: bytes, threshold: float = 0.3, seed: int = 3)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches):
-        scorer, hasher, inside = Attention.unpacked(held.value), Hasher(seed), word_bytes()
+        scorer, hasher, inside = Attention.unpacked(held.value), Hasher(seed, FEWER_BYTES), word_bytes()
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for first, last, data, offsets in text_steps(batch.column("text")):
+            for first, last, data, offsets in text_steps(batch.column("text"), FEWER_BYTES):
                 owner, found = passages(data, offsets, hasher, inside)
                 scores[first:last] = scorer.forward(found, np.searchsorted(owner, np.arange(last - first)), owner)["y"]
             columns = [*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_quality", "_predicted"])
 
     added = [T.StructField("_quality", T.DoubleType()), T.StructField("_predicted", T.IntegerType())]
-    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(apply), T.StructType([*docs.schema.fields, *added]))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, learned, fit_rows: int = 8_000) -> bytes:

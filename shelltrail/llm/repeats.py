@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import Hasher, leaves_no_tables, mixed, shielded, text_steps, written
+from shelltrail.llm.common import FEWER_BYTES, Hasher, leaves_no_tables, mixed, shielded, text_steps, tidy, written
 
 #: Bytes of a repeated string, and of the q-grams that make the initial buckets.
 LENGTH, GRAM = 200, 64
@@ -68,10 +68,10 @@ def _suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int32())
 
     def sample(batches):
-        hasher = Hasher(SEED)
+        hasher = Hasher(SEED, FEWER_BYTES)
         for batch in batches:
             found, nodes = [], batch.column("node").to_numpy()
-            for first, _, data, offsets in text_steps(batch.column("text")):
+            for first, _, data, offsets in text_steps(batch.column("text"), FEWER_BYTES):
                 prefix = hasher.prefix(data)
                 chosen, bucket = sampled_suffixes(prefix, offsets, hasher, length, gram)
                 row, begin, end = surroundings(chosen, offsets, length, gram)
@@ -99,7 +99,7 @@ def _suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 columns = [none, none, node[heads], start, none, end[np.append(heads[1:], len(rest)) - 1] - start]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=SUFFIX)
 
-    return docs.select("node", "text").mapInArrow(sample, "bucket long, refined long, node long, start int, lead short, size int")
+    return docs.select("node", "text").mapInArrow(tidy(sample), "bucket long, refined long, node long, start int, lead short, size int")
 
 
 def _neighbours(batches):
@@ -154,7 +154,7 @@ def _asked(asked: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFra
     kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.bool_(), pa.binary())
 
     def cut(batches):
-        last, hasher = None, Hasher(SEED)
+        last, hasher = None, Hasher(SEED, FEWER_BYTES)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -194,7 +194,7 @@ def _asked(asked: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFra
 
     schema = "kind byte, bucket long, node long, start int, stop int, lead short, open boolean, context binary"
     rows = docs.join(lists, "node").select("node", "text", "asked").sortWithinPartitions("node")
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidy(cut), schema)
 
 
 def string_keys(rows: pa.Table, hasher: Hasher, length: int, gram: int) -> np.ndarray:
@@ -241,7 +241,7 @@ def _refined(length: int, gram: int):
     another member of the bucket, string by string. Holds one bucket at a time, so for buckets of bounded size."""
 
     def refine(batches):
-        hasher = Hasher(SEED)
+        hasher = Hasher(SEED, FEWER_BYTES)
         keys, rows, last = [], [], None
 
         def spans() -> pa.RecordBatch:
@@ -347,7 +347,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     sampled = written(_suffixes(docs, length, gram), "sampled-suffixes")
     met = sampled.filter("bucket is not null").repartition("bucket").sortWithinPartitions("bucket", "refined")
     schema = "bucket long, refined long, node long, start int, lead short, size int, whole boolean, ask boolean"
-    shared = written(met.mapInArrow(_neighbours, schema), "shared-suffixes")
+    shared = written(met.mapInArrow(tidy(_neighbours), schema), "shared-suffixes")
     span = ("node", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("stop"))
     whole = shared.filter("whole").select(*span).union(sampled.filter("bucket is null").select(*span))
     asked = shared.filter("ask")
@@ -355,7 +355,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     large = written(asked.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket"), "large-buckets")
     asked = asked.join(large.withColumn("large", F.lit(True)), "bucket", "left").fillna(False, ["large"])
     ready = _asked(asked, docs, length, gram).repartition("bucket").sortWithinPartitions("kind", "bucket")
-    found = ready.mapInArrow(_judged(length, gram), "node long, start long, stop long")
+    found = ready.mapInArrow(tidy(_judged(length, gram)), "node long, start long, stop long")
     return whole.union(found)
 
 
@@ -411,7 +411,7 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
     rows = with_spans(docs.select("doc_id", "text"), length, gram)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tidy(digest), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -427,4 +427,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             names = [n for n in batch.schema.names if n != "_spans"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    return shielded(docs, ("doc_id", "text"), lambda inner: with_spans(inner, length, gram).mapInArrow(cut, inner.schema))
+    return shielded(docs, ("doc_id", "text"), lambda inner: with_spans(inner, length, gram).mapInArrow(tidy(cut), inner.schema))

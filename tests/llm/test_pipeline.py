@@ -1,15 +1,18 @@
 """Each stage next to a brute-force version, on its own input."""
 
 import os
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from shelltrail.llm import bpe, mixing, quality
-from shelltrail.llm.common import fold, table
+from shelltrail.llm import bpe, jaccard, mixing, quality, repeats
+from shelltrail.llm.common import fold, table, tidy
 from test_jaccard import plain as components
 from test_repeats import plain as repeated
 
@@ -120,3 +123,50 @@ def test_a_task_has_one_python_worker(spark, stages, monkeypatch):
     for (_, stage), docs in zip(pipeline.STAGES, stages):
         stage(spark, docs, SF)
     assert len(seen) > len(pipeline.STAGES) and set(seen) == {1}
+
+
+def test_steps_of_a_worker_are_small(spark, monkeypatch):
+    """What numpy holds at once over a batch of 3 MB, beside the batch itself."""
+    empty = spark.createDataFrame([], "doc_id long, node long, text string")
+    works = []
+    monkeypatch.setattr(type(empty), "mapInArrow", lambda self, work, schema: works.append(work))
+    jaccard._sets(empty)
+    jaccard._signature_rows(empty, np.zeros(0, np.uint64), frozenset())
+    repeats._suffixes(empty, 200, 64)
+    quality.score(empty, quality.Attention().packed())
+    random = np.random.default_rng(1)
+    texts = ["".join(map(chr, random.choice([32, *range(97, 123)], 3000))) for _ in range(1000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["doc_id", "node", "text"])
+    for work in works:
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in work(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and most < 48e6
+    assert len(works) == 4
+
+
+def test_a_worker_gives_back_what_is_free(spark, stages, monkeypatch):
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return sum(int(line.split()[1]) for line in file if line.startswith("Anonymous:")) / 1000
+
+    pins = []
+
+    def work(batches):
+        blocks = [bytearray(2000) for _ in range(100_000)]
+        pins.append(bytearray(2000))  # behind all of them
+        yield len(blocks)
+
+    before = held()
+    assert list(tidy(work)(iter([]))) == [100_000]
+    assert held() - before < 50
+
+    # Every Python operator of the pipeline is such a one.
+    kind, seen = type(stages[0]), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, work, schema: seen.append(work.__qualname__) or plain(self, work, schema))
+    for (_, stage), docs in zip(pipeline.STAGES, stages):
+        stage(spark, docs, SF)
+    assert len(seen) > len(pipeline.STAGES) and set(seen) == {tidy(work).__qualname__}
